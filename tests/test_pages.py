@@ -8,11 +8,11 @@ from quirelens.operators import pages as pg
 from quirelens.plans import jobs
 
 VOLUME = [
-    ("mdp.1234", 1, "\n   This is the first\nsentence.  This is\nthe second sen-\ntence, and it's nice.\n\n   This is the third\n"),
-    ("mdp.1234", 2, "\nsentence. I am running\nout of ideas.\n"),
-    ("mdp.1234", 3, ""),
-    ("mdp.1234", 4, "\nThis is the fifth sentence."),
-    ("mdp.1234", 5, ""),
+    ("lib.1234", 1, "\n   This is the first\nsentence.  This is\nthe second sen-\ntence, and it's nice.\n\n   This is the third\n"),
+    ("lib.1234", 2, "\nsentence. I am running\nout of ideas.\n"),
+    ("lib.1234", 3, ""),
+    ("lib.1234", 4, "\nThis is the fifth sentence."),
+    ("lib.1234", 5, ""),
 ]
 EXPECTED = {
     1: ["This is the first\nsentence.", "This is\nthe second sentence,\nand it's nice.", "This is the third sentence."],
