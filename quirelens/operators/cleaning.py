@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
 from quirelens.operators.phrases import fuse_phrases
-from quirelens.operators.scale import bounded_list
-from quirelens.operators.tokens import LITERAL_WORDS, SENTENCE_BREAK, map_tokens, _rejoin
+from quirelens.operators.scale import bounded_list, rejoin
+from quirelens.operators.tokens import LITERAL_WORDS, SENTENCE_BREAK, map_tokens
 
 # Fixed value: always treated as a stop word (pronoun marker of older lemmatisers).
 PRONOUN_MARK = "-pron-"
@@ -64,4 +64,4 @@ def preprocess_pages(
     if phrases is not None:
         rewritten = fuse_phrases(rewritten, phrases, **options)
     final = F.array_join(tx.min_token_length(tx.extract_tokens(F.col("text"))), " ")
-    return _rejoin(pages, rewritten.select("volid", "seq", final.alias("text")))
+    return rejoin(pages, rewritten.select("volid", "seq", final.alias("text")))

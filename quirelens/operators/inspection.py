@@ -12,7 +12,7 @@ from quirelens.operators.scale import top_per_group
 
 def top_terms(topic_terms: DataFrame, n: int = 20) -> DataFrame:
     """``(topic, term, weight)`` -> the ``n`` heaviest terms per topic, ranked."""
-    return top_per_group(topic_terms, ["topic"], [F.desc("weight"), "term"], n, ["term"])
+    return top_per_group(topic_terms, ["topic"], [F.desc("weight"), "term"], n)
 
 
 def describe_ranked(ranked: DataFrame) -> DataFrame:

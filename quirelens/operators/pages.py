@@ -98,7 +98,14 @@ def _toggle(base: Column, order: Column, flips: Column) -> Column:
     return known["v"].bitwiseXOR(F.pmod(flips - known["f"], F.lit(2)).cast("int"))
 
 
-def stitch_pages(pages: DataFrame, block: int = BLOCK) -> DataFrame:
+def has_long_volumes(pages: DataFrame, block: int = BLOCK) -> bool:
+    """Whether any page lies outside block 0; reads ``seq`` only and stops at a hit."""
+    return not pages.where((F.col("seq") >= block) | (F.col("seq") < 0)).select("seq").isEmpty()
+
+
+def stitch_pages(
+    pages: DataFrame, block: int = BLOCK, long_volumes: bool | None = None
+) -> DataFrame:
     """Move the first sentence of page i+1 to the end of page i's last sentence.
 
     ``pages(volid, seq, sentences)``; pages are paired in ``seq`` order, from the
@@ -107,14 +114,25 @@ def stitch_pages(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     sentence counts n: 0 if it is the first page, is empty or follows an empty page; 1
     after a page with two or more sentences; otherwise the opposite of the page
     before.  Runs of one-sentence pages are thus a switch that flips per page.
+
+    Without long volumes (``has_long_volumes``, checked here when not given) every
+    volume is one block and a single shuffle does.  Otherwise the exchange of
+    the sentences is read twice, for the pages and for the block summaries.
+    Pages with a null key are no pages (see ``quality.split_pages``).
     """
+    if long_volumes is None:
+        long_volumes = has_long_volumes(pages, block)
     order = Window.partitionBy(*_KEY).orderBy("seq")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         pages.withColumn("_block", block_of(F.col("seq"), block))
         .withColumn("_n", F.size("sentences"))
-        .repartition(*_KEY)
-        .withColumn("_i", F.row_number().over(order))
+        .where(F.col("volid").isNotNull() & F.col("_block").isNotNull())
+    )
+    if long_volumes:
+        placed = placed.repartition(*_KEY)
+    placed = (
+        placed.withColumn("_i", F.row_number().over(order))
         .withColumn("_before", F.lag("_n").over(order))
     )
     base = (
@@ -127,18 +145,25 @@ def stitch_pages(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     inner = placed.withColumn("_base", base).withColumn(
         "_r", _toggle(F.col("_base"), upto, F.col("_i"))
     )
-    edges = _block_edges(inner)
+    if long_volumes:
+        linked = inner.join(_block_edges(inner), _KEY, "left")
+    else:
+        linked = inner.select(
+            "*",
+            F.lit(None).cast("int").alias("_enter"),
+            F.lit(None).cast("int").alias("_next_r"),
+            F.lit(None).cast("string").alias("_next_first"),
+        )
     follow = F.coalesce(F.lead("_r0").over(order), F.col("_next_r"))
     first = F.coalesce(
         F.lead(F.get("sentences", F.lit(0))).over(order), F.col("_next_first")
     )
     solved = (
-        inner.join(edges, _KEY, "left")
-        .withColumn(
+        linked.withColumn(
             "_r0",
             F.coalesce(
                 F.col("_r"),
-                F.col("_enter").bitwiseXOR(F.pmod(F.col("_i") - 1, F.lit(2)).cast("int")),
+                F.coalesce("_enter", F.lit(0)).bitwiseXOR(F.pmod(F.col("_i") - 1, F.lit(2)).cast("int")),
             ),
         )
         .withColumn("_taken", follow == 1)
@@ -159,7 +184,8 @@ def stitch_pages(pages: DataFrame, block: int = BLOCK) -> DataFrame:
 def _block_edges(inner: DataFrame) -> DataFrame:
     """Per block: state of its first page, and what the next block hands back.
 
-    One short row per block; at most 2**31 / BLOCK of them per volume.
+    One short row per block, at most 2**31 / BLOCK of them per volume, and only
+    blocks with a neighbour are handed on.
     """
     first = F.struct("_n", F.get("sentences", F.lit(0)).alias("s"))
     last = F.struct("_n", "_r")
@@ -174,6 +200,8 @@ def _block_edges(inner: DataFrame) -> DataFrame:
         summary.withColumn("_prev_n", F.lag("last._n").over(order))
         .withColumn("_prev_r", F.lag("last._r").over(order))
         .withColumn("_prev_pages", F.lag("pages").over(order))
+        .withColumn("_blocks", F.count("*").over(Window.partitionBy("volid")))
+        .where(F.col("_blocks") > 1)
     )
     # After a one-sentence page: known if that page's state is known inside its
     # block, else the state of that block's first page flipped once per page.

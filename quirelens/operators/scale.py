@@ -87,19 +87,15 @@ def lookup_join(
 
 
 def top_per_group(
-    rows: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    n: int,
-    spread_by: Sequence[str],
-    rank: str = "rank",
+    rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
     """First ``n`` rows of each group under a total order, for groups of any size.
 
-    Ranking inside hash slices first leaves at most ``n`` rows per slice, so the
-    last ranking sees at most ``SALTS * n`` rows per group.
+    Each task keeps its own first ``n`` per group before anything is shuffled;
+    tasks are bundled into slices that are cut to ``n`` again, so the last ranking
+    sees at most ``SALTS * n`` rows per group.  Slices do not affect the result.
     """
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+    sliced = rows.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     local = Window.partitionBy(*group, "_slice").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)
     return (
@@ -111,6 +107,14 @@ def top_per_group(
     )
 
 
+def rejoin(pages: DataFrame, changed: DataFrame) -> DataFrame:
+    """The columns of ``pages``, with those of ``changed(volid, seq, ...)`` replaced."""
+    extra = [c for c in pages.columns if c not in changed.columns]
+    if extra:
+        changed = changed.join(pages.select("volid", "seq", *extra), ["volid", "seq"])
+    return changed.select(*pages.columns)
+
+
 def spread(df: DataFrame, by: Sequence[str] | None = None, num: int | None = None) -> DataFrame:
     """Give heavy per-row work enough tasks.
 

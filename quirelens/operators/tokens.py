@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
-from quirelens.operators.scale import BROADCAST_ROWS, bounded_list, lookup_join
+from quirelens.operators.scale import (
+    BROADCAST_ROWS, bounded_list, fits_broadcast, lookup_join, rejoin,
+)
 
 # Up to this many words are written into the plan as an IN set.
 LITERAL_WORDS = 2_000
@@ -26,16 +28,17 @@ def map_tokens(
     pages: DataFrame,
     tokens: str,
     lemmas: DataFrame | None = None,
-    drop: DataFrame | None = None,
+    listed: DataFrame | None = None,
+    keep_listed: bool = False,
     keys: Sequence[str] = ("volid", "seq"),
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Replace tokens by their lemma and drop listed words, keeping token order.
+    """Replace tokens by their lemma and drop (or only keep) listed words, in token order.
 
     Returns ``keys`` and the token array.  Pages are distributed by key before
     their tokens are exploded, so when the word tables are small enough to be
     broadcast, collecting the tokens again needs no further shuffle; a group is one
-    page.  ``drop`` has one column of words, compared with the lemma.
+    page.  ``listed`` has one column of words, compared with the lemma.
     """
     keys = list(keys)
     rows = pages.select(*keys, tokens).repartition(*keys).select(
@@ -51,17 +54,18 @@ def map_tokens(
             max_broadcast_rows,
         ).withColumn("_token", F.coalesce("lemma", "form")).drop("form", "lemma")
     keep = F.col("_token").isNotNull()
-    if drop is not None:
-        listed = drop.select(F.col(drop.columns[0]).alias("_token")).distinct()
+    if listed is not None:
+        words = listed.select(F.col(listed.columns[0]).alias("_token")).distinct()
         rows = lookup_join(
             rows,
-            listed.withColumn("_listed", F.lit(True)),
+            words.withColumn("_listed", F.lit(True)),
             "_token",
             "left",
             [*keys, "_pos"],
             max_broadcast_rows,
         )
-        keep = keep & F.col("_listed").isNull()
+        hit = F.col("_listed").isNotNull()
+        keep = keep & (hit if keep_listed else ~hit)
     pairs = F.array_sort(F.collect_list(F.when(keep, F.struct("_pos", "_token"))))
     return rows.groupBy(*keys).agg(pairs.alias(tokens)).withColumn(
         tokens, F.transform(tokens, lambda p: p["_token"])
@@ -76,28 +80,49 @@ def lemmatise(pages: DataFrame, lemmas: DataFrame, tokens: str = "tokens", **opt
 def remove_words(
     pages: DataFrame,
     words: DataFrame | Sequence[str],
+    kept: DataFrame | None = None,
     literal_words: int = LITERAL_WORDS,
-    **options,
+    max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Drop listed words from ``text`` and join the rest with single blanks.
 
-    A short list becomes an IN set inside the projection; a long one is joined.
+    A short list becomes an IN set inside the projection.  A longer one is
+    broadcast if it, or the list of all other words (``kept``), is measured to be
+    small.  Beyond that, only the distinct words of each page meet the list,
+    hot words salted, and the page gets back the few words it has to lose.
     """
     short = bounded_list(words, literal_words)
     if short is not None:
         return pages.withColumn("text", tx.remove_tokens_text(F.col("text"), short))
     if not isinstance(words, DataFrame):
         words = pages.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    listed = words.select(F.col(words.columns[0]).alias("_token")).distinct()
     split = pages.withColumn("tokens", tx.whitespace_tokens(F.col("text")))
-    cleaned = map_tokens(split, "tokens", drop=words, **options)
-    return _rejoin(pages, cleaned.withColumn("text", F.array_join("tokens", " ")).drop("tokens"))
-
 
-def _rejoin(pages: DataFrame, cleaned: DataFrame) -> DataFrame:
-    extra = [c for c in pages.columns if c not in cleaned.columns]
-    if extra:
-        cleaned = cleaned.join(pages.select("volid", "seq", *extra), ["volid", "seq"])
-    return cleaned.select(*pages.columns)
+    def broadcast_pass(table: DataFrame, keep: bool) -> DataFrame:
+        done = map_tokens(split, "tokens", listed=table, keep_listed=keep)
+        return rejoin(pages, done.withColumn("text", F.array_join("tokens", " ")).drop("tokens"))
+
+    if kept is not None and fits_broadcast(kept, max_broadcast_rows):
+        return broadcast_pass(kept, True)
+    if fits_broadcast(listed, max_broadcast_rows):
+        return broadcast_pass(listed, False)
+    page = ["volid", "seq"]
+    on_page = split.select(*page, F.explode(F.array_distinct("tokens")).alias("_token"))
+    losses = (
+        lookup_join(on_page, listed, "_token", "left_semi", page, max_broadcast_rows)
+        .groupBy(*page)
+        .agg(F.collect_list("_token").alias("_lose"))
+    )
+    rest = F.filter("tokens", lambda t: ~F.array_contains(F.col("_lose"), t))
+    return (
+        split.join(losses, page, "left")
+        .withColumn(
+            "text",
+            F.array_join(F.when(F.col("_lose").isNull(), F.col("tokens")).otherwise(rest), " "),
+        )
+        .select(*pages.columns)
+    )
 
 
 def page_frequency(pages: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -63,7 +63,10 @@ def fixed_layout(features: DataFrame, partitions: int | None = None) -> DataFram
     LDA with a fixed seed repeats only on identical partitions, so pages are
     hashed into a fixed number of partitions and sorted inside each.
     """
-    n = partitions or features.sparkSession.sparkContext.defaultParallelism
+    spark = features.sparkSession
+    n = partitions or max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
     return features.repartition(n, "volid", "seq").sortWithinPartitions("volid", "seq")
 
 
@@ -123,4 +126,4 @@ def sweep_k(
 
 
 def model_info(model: LDAModel) -> dict[str, int]:
-    return {"vocabulary_size": model.vocabSize(), "topics": len(model.topicsMatrix().toArray()[0])}
+    return {"vocabulary_size": model.vocabSize(), "topics": model.getK()}

@@ -25,10 +25,13 @@ def full_page_sentences(
     abbreviations: tuple[str, ...] = (),
 ) -> DataFrame:
     """Clean pages, split them into sentences, repair sentences across page breaks."""
+    long_volumes = pg.has_long_volumes(pages)
     lines = pages.withColumn("text", tx.normalise_lines(F.col("text")))
     if running_lines:
         lines = pg.strip_running_lines(lines, repeats, within)
-    return pg.stitch_pages(pg.sentence_pages(lines, abbreviations))
+    return pg.stitch_pages(
+        pg.sentence_pages(lines, abbreviations), long_volumes=long_volumes
+    )
 
 
 def flat_pages(sentences: DataFrame) -> DataFrame:
@@ -72,10 +75,20 @@ def outlier_report(pages: DataFrame, min_pages: int, max_pages: int) -> DataFram
     return tk.outlier_tokens(tk.page_frequency(tokens), min_pages, max_pages)
 
 
-def remove_outliers(pages: DataFrame, min_pages: int, max_pages: int, **options) -> DataFrame:
-    """Outlier report, then those tokens dropped from every page."""
-    outliers = durable(outlier_report(pages, min_pages, max_pages).select("token"))
-    return tk.remove_words(pages, outliers, **options)
+def remove_outliers(
+    pages: DataFrame, min_pages: int, max_pages: int, **options
+) -> DataFrame:
+    """Outlier report, then those tokens dropped from every page.
+
+    Rare tokens are most of a vocabulary, so the tokens that stay are the shorter
+    list; when they can be broadcast they decide.  Pages are read twice here: pass
+    a written stage, not a long lineage.
+    """
+    tokens = pages.select(tx.whitespace_tokens(F.col("text")).alias("tokens"))
+    frequency = durable(tk.page_frequency(tokens))
+    outliers = tk.outlier_tokens(frequency, min_pages, max_pages).select("token")
+    kept = frequency.where(F.col("num_pages").between(min_pages, max_pages)).select("token")
+    return tk.remove_words(pages, outliers, kept=kept, **options)
 
 
 @dataclass

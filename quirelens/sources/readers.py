@@ -45,11 +45,15 @@ def read_pages(
     return only_volumes(pages, ids) if ids is not None else pages
 
 
-def read_stage_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless page CSV: text, volume id, seq."""
+def read_stage_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Headerless page CSV: text, volume id, seq.
+
+    Stage texts hold no line breaks, so files stay splittable; ``multiline`` reads
+    texts that do.
+    """
     return (
         spark.read.schema(STAGE_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)

@@ -62,7 +62,8 @@ if __name__ == "__main__":
     only = sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate()
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
