@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirelens.functions import text as tx
 from quirelens.operators.phrases import fuse_phrases
 from quirelens.operators.scale import bounded_list, rejoin
-from quirelens.operators.tokens import LITERAL_WORDS, SENTENCE_BREAK, map_tokens
+from quirelens.operators.tokens import LITERAL_WORDS, SENTENCE_BREAK, lemmatise
 
 # Fixed value: always treated as a stop word (pronoun marker of older lemmatisers).
 PRONOUN_MARK = "-pron-"
@@ -55,7 +55,7 @@ def preprocess_pages(
     phrases, keep words and years, keep tokens longer than two characters."""
     tokens = page_tokens(pages, patterns)
     if lemmas is not None:
-        tokens = map_tokens(tokens, "tokens", lemmas=lemmas, **options)
+        tokens = lemmatise(tokens, lemmas, **options)
     else:
         tokens = tokens.withColumn("tokens", F.transform("tokens", F.lower))
     kept = tx.drop_blacklisted(tx.drop_words(F.col("tokens"), stop_list(stop_words)))

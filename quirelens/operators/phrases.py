@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
-from quirelens.operators.scale import BROADCAST_ROWS, durable, fits_broadcast, lookup_join, rejoin
+from quirelens.operators.scale import BROADCAST_ROWS, durable, page_lookup, rejoin
 
 # Up to this many phrases are written into the plan; longer lists are joined.
 LITERAL_PHRASES = 100
@@ -66,17 +66,17 @@ def fuse_phrases(
     multi = phrases.where(F.contains("phrase", F.lit(" ")))
     odd = multi.where(~F.col("phrase").rlike(_PLAIN)).select("rank", "phrase")
     keyed = multi.where(F.col("phrase").rlike(_PLAIN)).select(
-        F.substring_index("phrase", " ", 2).alias("bigram"), "rank", "phrase"
+        F.substring_index("phrase", " ", 2).alias("form"), "rank", "phrase"
     )
     everywhere = odd.orderBy("rank").limit(literal_phrases + 1).collect()
     if len(everywhere) > literal_phrases:
         raise ValueError(
             f"more than {literal_phrases} phrases that are not words joined by single blanks"
         )
-    if fits_broadcast(keyed, max_broadcast_rows):
-        joined = _candidates_in_place(pages, keyed)
-    else:
-        joined = _candidates_by_shuffle(durable(pages), keyed, max_broadcast_rows)
+    bigrams = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_BIGRAM), F.lit(1))
+    joined = page_lookup(
+        pages, "text", bigrams, keyed, F.struct("rank", "phrase"), max_rows=max_broadcast_rows
+    )
     if everywhere:
         rank_type = phrases.schema["rank"].dataType
         extra = F.array(
@@ -89,61 +89,15 @@ def fuse_phrases(
             ]
         )
         joined = joined.withColumn(
-            "_found", F.concat(F.coalesce("_found", F.slice(extra, 1, 0)), extra)
-        )
-    ordered = F.transform(F.array_sort("_found"), lambda f: f["phrase"])
-    fused = joined.withColumn(
-        "text",
-        F.when(
-            F.size(F.coalesce("_found", F.array())) > 0, tx.fuse_phrases(F.col("text"), ordered)
-        ).otherwise(F.col("text")),
-    ).select("volid", "seq", "text")
-    return rejoin(pages, fused)
-
-
-def _bigrams() -> Column:
-    return F.array_distinct(
-        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_BIGRAM), F.lit(1))
-    )
-
-
-def _candidates_in_place(pages: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Pages with their candidate phrases, in one pass.
-
-    Of the rows a page is exploded into only the first carries the text, so the
-    page is put together again without a second read; a group is one page.
-    """
-    rows = F.transform(
-        F.concat(F.array(F.lit("")), _bigrams()),
-        lambda b, i: F.struct(b.alias("bigram"), F.when(i == 0, F.col("text")).alias("text")),
-    )
-    exploded = pages.select("volid", "seq", "text").repartition("volid", "seq").select(
-        "volid", "seq", F.inline(rows)
-    )
-    return (
-        exploded.join(F.broadcast(keyed), "bigram", "left")
-        .groupBy("volid", "seq")
-        .agg(
-            F.max("text").alias("text"),
-            F.collect_set(
-                F.when(F.col("phrase").isNotNull(), F.struct("rank", "phrase"))
-            ).alias("_found"),
+            "hits", F.concat("hits", extra)
         )
+    ordered = F.transform(F.array_sort(F.array_distinct("hits")), lambda h: h["phrase"])
+    fused = joined.select(
+        "volid", "seq",
+        F.when(F.size("hits") > 0, tx.fuse_phrases(F.col("text"), ordered))
+        .otherwise(F.col("text")).alias("text"),
     )
-
-
-def _candidates_by_shuffle(
-    pages: DataFrame, keyed: DataFrame, max_broadcast_rows: int
-) -> DataFrame:
-    """The same for a phrase list of any length: bigrams travel without the text."""
-    page = ["volid", "seq"]
-    bigrams = pages.select(*page, F.explode(_bigrams()).alias("bigram"))
-    found = (
-        lookup_join(bigrams, keyed, "bigram", "inner", page, max_broadcast_rows)
-        .groupBy(*page)
-        .agg(F.collect_set(F.struct("rank", "phrase")).alias("_found"))
-    )
-    return pages.select(*page, "text").join(found, page, "left")
+    return rejoin(pages, fused)
 
 
 def _literal(value) -> Column:

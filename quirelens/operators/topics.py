@@ -99,8 +99,16 @@ def fit_topics_minibatch(features: DataFrame, k: int, seed: int = SEED) -> LDAMo
 
 
 def score_topics(model: LDAModel, features: DataFrame) -> tuple[float, float]:
-    """Lower bound on the log likelihood, upper bound on the log perplexity."""
-    return model.logLikelihood(features), model.logPerplexity(features)
+    """Lower bound on the log likelihood, upper bound on the log perplexity.
+
+    The perplexity is the negative bound per token, so one inference pass gives both.
+    """
+    likelihood = model.logLikelihood(features)
+    counts = F.unwrap_udt("features")["values"]
+    tokens = features.agg(
+        F.sum(F.aggregate(counts, F.lit(0.0), lambda a, n: a + n))
+    ).first()[0]
+    return likelihood, -likelihood / tokens if tokens else float("nan")
 
 
 def assign_topics(model: LDAModel, features: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def noun_phrase_report(
     """``(noun_phrase, count)`` of multi-word phrases, most frequent first."""
     tokens = cleaning.page_tokens(pages)
     if lemmas is not None:
-        tokens = tk.map_tokens(tokens, "tokens", lemmas=lemmas)
+        tokens = tk.lemmatise(tokens, lemmas)
     found = tokens.select(
         F.explode(
             tx.candidate_phrases(F.col("tokens"), cleaning.stop_list(stop_words))

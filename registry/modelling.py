@@ -167,8 +167,8 @@ def coherence_topics(spark, sf):
 
 
 def _pairs(spark, sf):
-    pages, bits = lower_words(spark, sf), co.topic_term_bits(coherence_topics(spark, sf))
-    return pages, co.pair_counts(co.window_masks(pages, bits), bits)
+    pages, bits = lower_words(spark, sf), durable(co.topic_term_bits(coherence_topics(spark, sf)))
+    return pages, durable(co.pair_counts(co.window_masks(pages, bits), bits))
 
 
 @query("coherence_pairs", f"WITH {CO_PAIRS} SELECT topic, term_a, term_b, windows FROM pc")
