@@ -1,0 +1,57 @@
+"""Terms of the variational LDA bound for one page and for the topics (numpy only)."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Recurrence up to x >= 6, then the asymptotic series."""
+    x = np.array(x, dtype=float)
+    shift = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        shift -= np.where(low, 1 / x, 0.0)
+        x = np.where(low, x + 1, x)
+    r = 1 / (x * x)
+    series = r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    return shift + np.log(x) - 0.5 / x - series
+
+
+def dirichlet_log_mean(weights: np.ndarray) -> np.ndarray:
+    """E[log p] for Dirichlet rows."""
+    return digamma(weights) - digamma(weights.sum(axis=-1, keepdims=True))
+
+
+def page_bound(log_beta: np.ndarray, counts: np.ndarray, share: np.ndarray, alpha: np.ndarray) -> float:
+    """Part of the bound that belongs to one page.
+
+    ``log_beta``: rows of its terms; ``share``: its topic distribution.  The page's
+    Dirichlet weights are that share of alpha plus its length.
+    """
+    gamma = np.asarray(share) * (alpha.sum() + np.sum(counts))
+    log_theta = digamma(gamma) - digamma(gamma.sum())
+    mix = log_beta + log_theta
+    top = mix.max(axis=1)
+    words = np.dot(counts, top + np.log(np.exp(mix - top[:, None]).sum(axis=1)))
+    return float(
+        words
+        + np.dot(alpha - gamma, log_theta)
+        + (_lgamma(gamma) - _lgamma(alpha)).sum()
+        + math.lgamma(alpha.sum())
+        - math.lgamma(gamma.sum())
+    )
+
+
+def topic_bound(weights: np.ndarray, log_beta: np.ndarray, eta: float) -> float:
+    """Part of the bound that belongs to the topics; ``weights`` is terms x topics."""
+    terms = weights.shape[0]
+    return float(
+        ((eta - weights) * log_beta).sum()
+        + (_lgamma(weights) - math.lgamma(eta)).sum()
+        + (math.lgamma(eta * terms) - _lgamma(weights.sum(axis=0))).sum()
+    )

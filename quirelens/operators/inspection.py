@@ -21,7 +21,7 @@ def describe_ranked(ranked: DataFrame) -> DataFrame:
     A group is one topic's top terms, n rows.
     """
     grouped = ranked.groupBy("topic").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("_t")
+        F.sort_array(F.collect_list(F.struct("rank", "term", "weight"))).alias("_t")
     )
     return _describe(
         grouped.select(
@@ -57,7 +57,7 @@ def _lookup_terms(topics: DataFrame, vocabulary: list[str]) -> DataFrame:
     return (
         rows.join(words, "term_index")
         .groupBy("topic")
-        .agg(F.array_sort(F.collect_list(F.struct("_i", "term", "w"))).alias("_t"))
+        .agg(F.sort_array(F.collect_list(F.struct("_i", "term", "w"))).alias("_t"))
         .select(
             "topic",
             F.transform("_t", lambda t: t["term"]).alias("_terms"),
@@ -142,7 +142,7 @@ def topic_distance(topic_terms: DataFrame) -> DataFrame:
     map-side, so only k * k / 2 partial sums per task are shuffled.
     """
     by_term = topic_terms.groupBy("term").agg(
-        F.array_sort(F.collect_list(F.struct("topic", "weight"))).alias("_w")
+        F.sort_array(F.collect_list(F.struct("topic", "weight"))).alias("_w")
     )
     left = by_term.select(F.posexplode("_w").alias("_i", "_a"), "_w")
     pairs = left.select(

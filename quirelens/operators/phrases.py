@@ -91,7 +91,7 @@ def fuse_phrases(
         joined = joined.withColumn(
             "hits", F.concat("hits", extra)
         )
-    ordered = F.transform(F.array_sort(F.array_distinct("hits")), lambda h: h["phrase"])
+    ordered = F.transform(F.sort_array(F.array_distinct("hits")), lambda h: h["phrase"])
     fused = joined.select(
         "volid", "seq",
         F.when(F.size("hits") > 0, tx.fuse_phrases(F.col("text"), ordered))

@@ -92,14 +92,13 @@ def page_lookup(
     forms: Column,
     table: DataFrame,
     hit: Column | None = None,
-    absent: bool = False,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``(volid, seq, payload, hits)``: what a table keyed by ``form`` says about a page.
 
     ``forms`` is an array expression over ``payload``.  ``hits`` collects ``hit``
     (a column of the joined row, by default the form) for each distinct form of the
-    page that is in the table, or with ``absent`` each that is not.
+    page that is in the table.
 
     A table measured to be small is broadcast, in one pass: a page is exploded into
     its forms, only the first row carries the payload, rows without a hit are
@@ -117,13 +116,12 @@ def page_lookup(
                 F.when(i == 0, F.col(payload)).alias(payload),
             ),
         )
-        found = F.col("_in").isNull() if absent else F.col("_in").isNotNull()
         return (
             pages.select(*page, payload)
             .repartition(*page)
             .select(*page, F.inline(rows))
             .join(F.broadcast(table.withColumn("_in", F.lit(True))), "form", "left")
-            .withColumn("_hit", F.when(found & ~F.col("_first"), value))
+            .withColumn("_hit", F.when(F.col("_in") & ~F.col("_first"), value))
             .where(F.col("_first") | F.col("_hit").isNotNull())
             .groupBy(*page)
             .agg(
@@ -133,14 +131,13 @@ def page_lookup(
         )
     pages = durable(pages.select(*page, payload))
     stream = pages.select(*page, F.explode(F.array_distinct(forms)).alias("form"))
-    how = "left_anti" if absent else "inner"
     hits = (
-        lookup_join(stream, table, "form", how, page, max_rows)
+        lookup_join(stream, table, "form", "inner", page, max_rows)
         .groupBy(*page)
         .agg(F.collect_list(value).alias("hits"))
     )
     return pages.join(hits, page, "left").withColumn(
-        "hits", F.coalesce("hits", F.slice(F.array(), 1, 0).cast(hits.schema["hits"].dataType))
+        "hits", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType))
     )
 
 

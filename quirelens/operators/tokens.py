@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
 from quirelens.operators.scale import (
-    BROADCAST_ROWS, bounded_list, fits_broadcast, page_lookup, rejoin,
+    BROADCAST_ROWS, bounded_list, fits_broadcast, lookup_join, page_lookup, rejoin,
 )
 
 # Up to this many words are written into the plan as an IN set.
@@ -24,35 +24,52 @@ def lemma_table(lemmas: DataFrame) -> DataFrame:
     )
 
 
-def lemmatise(
+def map_tokens(
     pages: DataFrame,
-    lemmas: DataFrame,
-    tokens: str = "tokens",
+    tokens: str,
+    lemmas: DataFrame | None = None,
+    listed: DataFrame | None = None,
+    keep_listed: bool = False,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``(volid, seq, tokens)``: lower-case lemma per token; a form without an entry is
-    only lower-cased.
+    """``(volid, seq, tokens)``: tokens replaced by their lemma, and listed words
+    dropped (or only they kept), in token order.
 
-    The distinct forms of a page meet the table; the page's own few entries then
-    serve all its tokens.
+    Pages are distributed by key before their tokens are exploded, so when the
+    word tables are small enough to be broadcast, collecting the tokens again needs
+    no further shuffle; a group is one page.  ``listed`` has one column of words,
+    compared with the lemma.
     """
-    table = lemma_table(lemmas).where(F.col("form") != F.col("lemma"))
-    lowered = pages.select("volid", "seq", F.transform(tokens, F.lower).alias(tokens))
-    known = page_lookup(
-        lowered, tokens, F.col(tokens), table, F.struct("form", "lemma"),
-        max_rows=max_broadcast_rows,
+    page = ["volid", "seq"]
+    rows = pages.select(*page, tokens).repartition(*page).select(
+        *page, F.posexplode_outer(tokens).alias("_pos", "_token")
     )
-    entries = F.map_from_entries("hits")
-    mapped = tx.let(
-        entries,
-        lambda m: F.transform(tokens, lambda t: F.coalesce(F.try_element_at(m, t), t)),
-    )
-    return known.select(
-        "volid", "seq",
-        F.when(F.size("hits") > 0, mapped).otherwise(F.col(tokens)).alias(tokens),
+    spread_by = [*page, "_pos"]
+    if lemmas is not None:
+        rows = lookup_join(
+            rows.withColumn("form", F.lower("_token")),
+            lemma_table(lemmas), "form", "left", spread_by, max_broadcast_rows,
+        ).withColumn("_token", F.coalesce("lemma", "form")).drop("form", "lemma")
+    keep = F.col("_token").isNotNull()
+    if listed is not None:
+        words = listed.select(F.col(listed.columns[0]).alias("_token")).distinct()
+        rows = lookup_join(
+            rows, words.withColumn("_listed", F.lit(True)), "_token", "left",
+            spread_by, max_broadcast_rows,
+        )
+        hit = F.col("_listed").isNotNull()
+        keep = keep & (hit if keep_listed else ~hit)
+    pairs = F.sort_array(F.collect_list(F.when(keep, F.struct("_pos", "_token"))))
+    return rows.groupBy(*page).agg(pairs.alias(tokens)).withColumn(
+        tokens, F.transform(tokens, lambda p: p["_token"])
     )
 
 
+def lemmatise(pages: DataFrame, lemmas: DataFrame, tokens: str = "tokens", **options) -> DataFrame:
+    """Lower-case lemma per token; a form without an entry is only lower-cased."""
+    return map_tokens(pages, tokens, lemmas=lemmas, **options)
+
+
 def remove_words(
     pages: DataFrame,
     words: DataFrame | Sequence[str],
@@ -72,18 +89,16 @@ def remove_words(
         return pages.withColumn("text", tx.remove_tokens_text(F.col("text"), short))
     if not isinstance(words, DataFrame):
         words = pages.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    listed = words.select(F.col(words.columns[0]).alias("form")).distinct()
     split = pages.select("volid", "seq", tx.whitespace_tokens(F.col("text")).alias("tokens"))
     if kept is not None and fits_broadcast(kept, max_broadcast_rows):
-        table, absent = kept.select(F.col(kept.columns[0]).alias("form")), True
+        rest = map_tokens(split, "tokens", listed=kept, keep_listed=True)
+    elif fits_broadcast(words, max_broadcast_rows):
+        rest = map_tokens(split, "tokens", listed=words)
     else:
-        table, absent = listed, False
-    lost = page_lookup(
-        split, "tokens", F.col("tokens"), table, absent=absent, max_rows=max_broadcast_rows
-    )
-    rest = F.filter("tokens", lambda t: ~F.array_contains("hits", t))
-    text = F.array_join(F.when(F.size("hits") > 0, rest).otherwise(F.col("tokens")), " ")
-    return rejoin(pages, lost.select("volid", "seq", text.alias("text")))
+        listed = words.select(F.col(words.columns[0]).alias("form")).distinct()
+        lost = page_lookup(split, "tokens", F.col("tokens"), listed, max_rows=max_broadcast_rows)
+        rest = lost.withColumn("tokens", F.filter("tokens", lambda t: ~F.array_contains("hits", t)))
+    return rejoin(pages, rest.select("volid", "seq", F.array_join("tokens", " ").alias("text")))
 
 
 def page_frequency(pages: DataFrame, tokens: str = "tokens") -> DataFrame:

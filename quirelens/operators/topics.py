@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.functions import text as tx
+from quirelens.functions import bound, text as tx
+from quirelens.operators.scale import top_per_group
+from quirelens.operators.tokens import bag_of_words
 
 # Model seed, and the topic numbers tried by the sweep.
 SEED = 100
@@ -19,6 +23,8 @@ SWEEP_K = (2, 4, 6, 8, 10, 14, 18, 22, 26, 30, 35, 40, 50)
 # Fixed values of the minibatch parameter set.
 PASSES = 10
 CHUNK = 10_000
+# Fixed value: longest vocabulary.
+VOCABULARY = 2**18
 
 
 def tokenised(pages: DataFrame) -> DataFrame:
@@ -28,9 +34,32 @@ def tokenised(pages: DataFrame) -> DataFrame:
     )
 
 
-def fit_vocabulary(pages: DataFrame, tokens: str = "tokens", **options) -> CountVectorizerModel:
-    """Most frequent terms of the corpus (library defaults: at most 2**18)."""
-    return CountVectorizer(inputCol=tokens, outputCol="features", **options).fit(pages)
+def fit_vocabulary(
+    pages: DataFrame, tokens: str = "tokens", size: int = VOCABULARY, min_pages: int = 1
+) -> CountVectorizerModel:
+    """The ``size`` most frequent terms of the corpus, ties in term order.
+
+    Counted here rather than by ``CountVectorizer.fit``, which numbers equally
+    frequent terms by chance: with a fixed numbering a model can be repeated.
+    """
+    if min_pages > 1:
+        counts = (
+            bag_of_words(pages, tokens)
+            .groupBy("term")
+            .agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+            .where(F.col("pages") >= min_pages)
+        )
+    else:
+        counts = (
+            pages.select(F.explode(tokens).alias("term"))
+            .groupBy("term")
+            .agg(F.count("*").alias("n"))
+        )
+    order = [F.desc("n"), F.asc("term")]
+    first = top_per_group(counts.withColumn("all", F.lit(0)), ["all"], order, size)
+    rows = first.select("rank", "term").collect()
+    words = [r["term"] for r in sorted(rows, key=lambda r: r["rank"])]
+    return CountVectorizerModel.from_vocabulary(words, tokens, "features")
 
 
 def vectorise(vocabulary: CountVectorizerModel, pages: DataFrame) -> DataFrame:
@@ -101,14 +130,37 @@ def fit_topics_minibatch(features: DataFrame, k: int, seed: int = SEED) -> LDAMo
 def score_topics(model: LDAModel, features: DataFrame) -> tuple[float, float]:
     """Lower bound on the log likelihood, upper bound on the log perplexity.
 
-    The perplexity is the negative bound per token, so one inference pass gives both.
+    The model's own ``logLikelihood`` takes the exponential of the whole topic
+    matrix for every page, so its cost is pages x vocabulary x k.  Here a page
+    costs its own terms x k: the same bound (Hoffman, Blei & Bach 2010) from the
+    topic distribution that ``transform`` gives.  The topic matrix, bounded by the
+    model, is the only thing sent to the tasks.
     """
-    likelihood = model.logLikelihood(features)
-    counts = F.unwrap_udt("features")["values"]
-    tokens = features.agg(
-        F.sum(F.aggregate(counts, F.lit(0.0), lambda a, n: a + n))
-    ).first()[0]
-    return likelihood, -likelihood / tokens if tokens else float("nan")
+    scored = model.transform(features).select(
+        F.unwrap_udt("features")["indices"].alias("ids"),
+        F.unwrap_udt("features")["values"].alias("counts"),
+        vector_to_array(model.getTopicDistributionCol()).alias("share"),
+    ).where(F.size("ids") > 0)
+    topic_weights = model.topicsMatrix().toArray()
+    alpha = model.estimatedDocConcentration().toArray()
+    k = model.getK()
+    eta = model.getTopicConcentration() if model.isSet("topicConcentration") else 1.0 / k
+    log_beta = bound.dirichlet_log_mean(topic_weights.T).T
+    sent = features.sparkSession.sparkContext.broadcast(log_beta)
+
+    @F.pandas_udf("double")
+    def page_bound(ids: pd.Series, counts: pd.Series, share: pd.Series) -> pd.Series:
+        beta = sent.value
+        return pd.Series(
+            [bound.page_bound(beta[i], n, s, alpha) for i, n, s in zip(ids, counts, share)],
+            dtype="float64",
+        )
+
+    tokens = F.aggregate("counts", F.lit(0.0), lambda a, n: a + n)
+    rows = scored.select(page_bound("ids", "counts", "share").alias("b"), tokens.alias("n"))
+    pages, total = (x or 0.0 for x in rows.agg(F.sum("b"), F.sum("n")).first())
+    likelihood = pages + bound.topic_bound(topic_weights, log_beta, eta)
+    return likelihood, -likelihood / total if total else float("nan")
 
 
 def assign_topics(model: LDAModel, features: DataFrame) -> DataFrame:
