@@ -20,11 +20,14 @@ def read_pages(
     fmt: str = "parquet",
     ids: DataFrame | None = None,
     num_partitions: int | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Pages ``(volid, seq, text)``, of the listed volumes if ``ids`` is given.
 
     ``fmt``: ``parquet``, ``csv`` (a headerless stage file) or ``text`` (one file
-    per page, named ``<volid>/<seq>.txt``).
+    per page, named ``<volid>/<seq>.txt``).  A file scan skips files of length 0;
+    ``index(volid, seq)`` brings such pages back as empty ones, which matters for
+    stitching.
     """
     if fmt == "parquet":
         pages = spark.read.parquet(path).select("volid", "seq", "text")
@@ -41,7 +44,14 @@ def read_pages(
         )
     else:
         raise ValueError(f"unknown page format {fmt!r}")
-    pages = spread(pages, num=num_partitions) if num_partitions is None else pages.repartition(num_partitions, "volid", "seq")
+    if num_partitions is None:
+        pages = spread(pages)
+    else:
+        pages = pages.repartition(num_partitions, "volid", "seq")
+    if index is not None:
+        pages = index.join(pages, ["volid", "seq"], "left").select(
+            "volid", "seq", F.coalesce("text", F.lit("")).alias("text")
+        )
     return only_volumes(pages, ids) if ids is not None else pages
 
 
@@ -131,7 +141,7 @@ def read_mets(spark: SparkSession, root: str) -> DataFrame:
     )
     return files.select(
         F.regexp_extract("path", r"([^/]+/pairtree_root/.*)$", 1).alias("path"),
-        F.decode("content", F.lit("UTF-8")).alias("xml"),
+        F.decode("content", "UTF-8").alias("xml"),
     )
 
 
