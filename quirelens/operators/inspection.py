@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelens.functions import arrays as ax
-from quirelens.operators.scale import top_per_group
+from quirelens.operators.scale import term_table, top_per_group
 
 
 def top_terms(topic_terms: DataFrame, n: int = 20) -> DataFrame:
@@ -48,9 +48,7 @@ def describe_topics(model: LDAModel, vocabulary: list[str], n: int = 20) -> Data
 
 def _lookup_terms(topics: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Index -> word by join, for vocabularies too long for a literal."""
-    words = topics.sparkSession.createDataFrame(
-        list(enumerate(vocabulary)), "term_index int, term string"
-    )
+    words = term_table(topics.sparkSession, vocabulary)
     rows = topics.select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("_i", "_e")
     ).select("topic", "_i", F.col("_e.termIndices").alias("term_index"), F.col("_e.termWeights").alias("w"))

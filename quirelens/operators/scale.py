@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -170,6 +171,14 @@ def rejoin(pages: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select(*pages.columns)
 
 
+def term_table(spark: SparkSession, words: list[str]) -> DataFrame:
+    """``(term_index, term)`` of a vocabulary held by the driver (a model parameter bounds it)."""
+    index = pa.array(range(len(words)), pa.int32())
+    return spark.createDataFrame(
+        pa.table({"term_index": index, "term": pa.array(words, pa.string())})
+    )
+
+
 def spread(df: DataFrame, by: Sequence[str] | None = None, num: int | None = None) -> DataFrame:
     """Give heavy per-row work enough tasks.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelens.functions import bound, text as tx
-from quirelens.operators.scale import top_per_group
+from quirelens.operators.scale import term_table, top_per_group
 from quirelens.operators.tokens import bag_of_words
 
 # Model seed, and the topic numbers tried by the sweep.
@@ -25,6 +25,7 @@ PASSES = 10
 CHUNK = 10_000
 # Fixed value: longest vocabulary.
 VOCABULARY = 2**18
+_SEPARATOR = "\x00"
 
 
 def tokenised(pages: DataFrame) -> DataFrame:
@@ -57,9 +58,17 @@ def fit_vocabulary(
         )
     order = [F.desc("n"), F.asc("term")]
     first = top_per_group(counts.withColumn("all", F.lit(0)), ["all"], order, size)
-    rows = first.select("rank", "term").collect()
-    words = [r["term"] for r in sorted(rows, key=lambda r: r["rank"])]
-    return CountVectorizerModel.from_vocabulary(words, tokens, "features")
+    words = first.select("rank", "term").toArrow().sort_by("rank")["term"].to_pylist()
+    return vocabulary_model(pages.sparkSession, words, tokens)
+
+
+def vocabulary_model(spark: SparkSession, words: list[str], tokens: str) -> CountVectorizerModel:
+    """``CountVectorizerModel.from_vocabulary``, with the words handed to the JVM in one
+    call instead of one call per word."""
+    jvm = spark._jvm
+    array = jvm.java.util.regex.Pattern.compile(_SEPARATOR).split(_SEPARATOR.join(words), -1)
+    model = CountVectorizerModel(jvm.org.apache.spark.ml.feature.CountVectorizerModel(array))
+    return model.setInputCol(tokens).setOutputCol("features")
 
 
 def vectorise(vocabulary: CountVectorizerModel, pages: DataFrame) -> DataFrame:
@@ -81,9 +90,7 @@ def vector_terms(features: DataFrame, keys: Sequence[str] = ("volid", "seq")) ->
 
 def vocabulary_table(spark: SparkSession, vocabulary: CountVectorizerModel) -> DataFrame:
     """``(term_index, term)``; the vocabulary is bounded by its model parameter."""
-    return spark.createDataFrame(
-        list(enumerate(vocabulary.vocabulary)), "term_index int, term string"
-    )
+    return term_table(spark, vocabulary.vocabulary)
 
 
 def fixed_layout(features: DataFrame, partitions: int | None = None) -> DataFrame:

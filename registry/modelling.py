@@ -28,16 +28,20 @@ def features(spark, sf):
     return vocabulary, tp.vectorise(vocabulary, pages)
 
 
-@query("fit_vocabulary", f"""WITH {DOCS}, {WORDS}
-    SELECT t AS term, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM ws) GROUP BY t""")
+VOCABULARY = """vo AS (SELECT t AS term, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM ws)
+    GROUP BY t ORDER BY count(*) DESC, t LIMIT 262144)"""
+
+
+@query("fit_vocabulary", f"WITH {DOCS}, {WORDS}, {VOCABULARY} SELECT term, n FROM vo")
 def fit_vocabulary(spark, sf):
-    """Terms of the vocabulary with their corpus count (below the size limit: all terms)."""
+    """Terms of the vocabulary (its size limit is part of the feature) with their corpus count."""
     pages = tokens(spark, sf)
     words = tp.vocabulary_table(spark, tp.fit_vocabulary(pages)).select("term")
     return tk.term_frequency(pages, words).select("term", "n")
 
 
-@query("vectorise", f"WITH {DOCS}, {WORDS}, {BAG} SELECT volid, seq, term, n FROM bag")
+@query("vectorise", f"""WITH {DOCS}, {WORDS}, {BAG}, {VOCABULARY}
+    SELECT volid, seq, bag.term, bag.n FROM bag JOIN vo ON bag.term = vo.term""")
 def vectorise(spark, sf):
     vocabulary, vectors = features(spark, sf)
     words = tp.vocabulary_table(spark, vocabulary)
