@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelens.operators.joins import attach_catalogue, attach_labels
-from quirelens.operators.scale import BROADCAST_ROWS, top_per_group
+from quirelens.operators.scale import BROADCAST_ROWS, durable, top_per_group
 
 SENTINEL_YEAR = "9999"
 
@@ -99,12 +99,12 @@ def representative_pages(
     catalogue: DataFrame,
     top: int = 1000,
     bottom: int = 100,
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per topic the ``top`` highest and ``bottom`` lowest pages, with metadata.
 
-    A page can be in both slices.  The pages are chosen first; only the few
-    chosen ones meet the catalogue.
+    A page can be in both slices.  The pages are chosen first: at most
+    ``k * (top + bottom)``, so their volume ids can be broadcast to cut the
+    catalogue down in its scan, and no part of the catalogue is shuffled for others.
     """
     long = explode_topics(pages)
     page = ("htid", "seq")
@@ -113,13 +113,13 @@ def representative_pages(
         ranked = top_per_group(long, ["topic"], [order, *page], n)
         return ranked.withColumn("slice", F.lit(name))
 
-    chosen = cut(F.desc("weight"), top, "top").unionByName(
-        cut(F.asc("weight"), bottom, "bottom")
+    chosen = durable(
+        cut(F.desc("weight"), top, "top").unionByName(cut(F.asc("weight"), bottom, "bottom"))
     )
     details = catalogue.select(
         "htid", "rights_date_used", "title", "author", "access", "rights"
-    )
-    return attach_catalogue(chosen, details, ("htid", "seq", "topic"), max_rows).select(
+    ).join(F.broadcast(chosen.select("htid").distinct()), "htid", "left_semi")
+    return chosen.join(details, "htid", "left").select(
         "topic", "slice", "rank", "htid", "seq", "weight",
         "rights_date_used", "title", "author", "access", "rights",
     )

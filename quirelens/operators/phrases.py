@@ -13,7 +13,8 @@ from quirelens.operators.scale import BROADCAST_ROWS, durable, page_lookup, rejo
 # Up to this many phrases are written into the plan; longer lists are joined.
 LITERAL_PHRASES = 100
 _PLAIN = r"^\p{L}+(?: \p{L}+)+$"
-_BIGRAM = r"(?<!\p{L})(?=(\p{L}+ \p{L}+))"
+# Words of a phrase that serve as its join key.
+KEY_WORDS = 5
 
 
 def phrase_counts(phrases: DataFrame, more_than: int = 10) -> DataFrame:
@@ -46,10 +47,11 @@ def fuse_phrases(
     """Write each listed phrase as one word, in list order.
 
     ``phrases`` is a sequence, or a DataFrame ``(rank, phrase)``.  For a long
-    list, a page's candidates come from an equi-join on the phrase's first two
-    words: a phrase of plain words can only match where two neighbouring letter
-    runs are exactly those words.  Candidates are then applied in rank order, so
-    the result is the same as applying the whole list.
+    list, a page's candidates come from an equi-join of its word n-grams with the
+    phrases (the first ``KEY_WORDS`` words of longer ones): a phrase of plain words
+    can only match where neighbouring letter runs are exactly its words.
+    Candidates are then applied in rank order, so the result is the same as
+    applying the whole list.
     """
     if not isinstance(phrases, DataFrame):
         phrases = list(phrases)
@@ -65,17 +67,23 @@ def fuse_phrases(
 
     multi = phrases.where(F.contains("phrase", F.lit(" ")))
     odd = multi.where(~F.col("phrase").rlike(_PLAIN)).select("rank", "phrase")
-    keyed = multi.where(F.col("phrase").rlike(_PLAIN)).select(
-        F.substring_index("phrase", " ", 2).alias("form"), "rank", "phrase"
+    plain = multi.where(F.col("phrase").rlike(_PLAIN)).withColumn(
+        "_words", F.least(F.size(F.split("phrase", " ")), F.lit(KEY_WORDS))
+    )
+    keyed = plain.select(
+        F.array_join(F.slice(F.split("phrase", " "), 1, F.col("_words")), " ").alias("form"),
+        "rank", "phrase",
     )
     everywhere = odd.orderBy("rank").limit(literal_phrases + 1).collect()
     if len(everywhere) > literal_phrases:
         raise ValueError(
             f"more than {literal_phrases} phrases that are not words joined by single blanks"
         )
-    bigrams = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_BIGRAM), F.lit(1))
+    # at most KEY_WORDS - 1 different lengths
+    lengths = sorted(r["_words"] for r in plain.select("_words").distinct().collect())
     joined = page_lookup(
-        pages, "text", bigrams, keyed, F.struct("rank", "phrase"), max_rows=max_broadcast_rows
+        pages, "text", _ngrams(lengths), keyed, F.struct("rank", "phrase"),
+        max_rows=max_broadcast_rows,
     )
     if everywhere:
         rank_type = phrases.schema["rank"].dataType
@@ -100,6 +108,18 @@ def fuse_phrases(
     return rejoin(pages, fused)
 
 
+def _ngrams(lengths: Sequence[int]) -> Column:
+    """Runs of n neighbouring words of ``text``, joined by single blanks, for each n."""
+    text = F.coalesce("text", F.lit(""))
+    found = [
+        F.regexp_extract_all(
+            text, F.lit(rf"(?<!\p{{L}})(?=(\p{{L}}+(?: \p{{L}}+){{{n - 1}}}))"), F.lit(1)
+        )
+        for n in lengths
+    ]
+    return F.concat(*found) if found else F.array().cast("array<string>")
+
+
 def _literal(value) -> Column:
     if isinstance(value, Row):
         return F.struct(*[_literal(v).alias(n) for n, v in value.asDict().items()])

@@ -56,9 +56,9 @@ def lookup_join(
     """Join many rows to a look-up table on one column, safe for hot keys.
 
     A table that is measured to be small is broadcast.  Otherwise both sides are
-    shuffled; rows of the most frequent keys (a list of fixed length) are salted
-    by ``spread_by`` and only those keys of the table are repeated, so no key
-    lands in a single task.
+    shuffled; rows of the most frequent keys (a list of fixed length) and rows
+    without a key are salted by ``spread_by``, and only those keys of the table are
+    repeated, so no key lands in a single task.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -74,8 +74,10 @@ def lookup_join(
     )
     salted = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-        .otherwise(F.lit(0)),
+        F.when(
+            F.coalesce("_hot", F.col(key).isNull()),
+            F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"),
+        ).otherwise(F.lit(0)),
     ).drop("_hot")
     copies = table.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",

@@ -65,4 +65,8 @@ def locate_mets(ids: DataFrame, files: DataFrame) -> DataFrame:
     ``ids(volid)``; ``files(path, xml)`` with paths relative to the tree root.
     """
     wanted = ids.select(F.col("volid").alias("id"), volume_path(F.col("volid")).alias("path"))
-    return wanted.join(files, "path", "left").select("id", "xml")
+    known = F.col("path").isNotNull()
+    without = wanted.where(~known).select("id", F.lit(None).cast("string").alias("xml"))
+    return (
+        wanted.where(known).join(files, "path", "left").select("id", "xml").unionByName(without)
+    )

@@ -41,6 +41,16 @@ def tokenise(spark, sf):
         "volid", "seq", F.size("tokens").alias("n"), F.array_join("tokens", "|").alias("tokens"))
 
 
+@query("non_null_pages", f"""WITH {DOCS}, d AS (SELECT volid, seq, regexp_extract(text, '(?s)^(.{{200}}).*$', 1) AS t FROM docs)
+    SELECT volid, seq FROM d WHERE t <> ''""")
+def non_null_pages(spark, sf):
+    """Pages of fewer than 200 characters lose their text first."""
+    from quirelens.operators import topics as tp
+
+    holed = documents(spark, sf).withColumn("text", F.when(F.length("text") >= 200, F.col("text")))
+    return tp.tokenised(holed).select("volid", "seq")
+
+
 @query("words_and_marks", f"""WITH {DOCS}, {TOKENS}
     SELECT volid, seq, array_to_string(tokens, ' ') AS text FROM tok""")
 def words_and_marks(spark, sf):

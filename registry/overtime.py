@@ -73,6 +73,20 @@ def attach_year_total(spark, sf):
     return ot.attach_year_total(by_topic).select("year", "topic", *r6("sum_weight", "total_weight"))
 
 
+@query("normalised_weight", f"""WITH {TOPICS}, {CATALOGUE}, {JOINED}, {BY_TOPIC}, {TOTAL}, {YT}
+    SELECT year, topic, round(sum_weight / total_weight, 6) AS norm_weight FROM yt""")
+def normalised_weight(spark, sf):
+    by_topic = ot.topic_weight_by_year(topic_pages(spark, sf), catalogue(spark, sf))
+    return ot.normalised_weight(ot.attach_year_total(by_topic)).select("year", "topic", *r6("norm_weight"))
+
+
+@query("attach_labels", f"""WITH {TOPICS}, {TERMS}, {RANKED.format(n=20)}, {LABELS}
+    SELECT htid, seq, long.topic, topic_terms FROM long LEFT JOIN lab ON long.topic = lab.topic""")
+def attach_labels(spark, sf):
+    return joins.attach_labels(ot.explode_topics(topic_pages(spark, sf)), labels(spark, sf)).select(
+        "htid", "seq", "topic", "topic_terms")
+
+
 @query("topics_over_time", f"""WITH {TOPICS}, {CATALOGUE}, {JOINED}, {BY_TOPIC}, {TOTAL}, {YT}, {TERMS},
     {RANKED.format(n=20)}, {LABELS}
     SELECT year, yt.topic, round(sum_weight / total_weight, 6) AS norm_weight, topic_terms

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,18 @@ def test_plans_stay_in_the_jvm(spark, small):
                  "topics_over_time", "topic_extremes", "volume_info", "coherence_cv"):
         plan = se.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_fusion_routes_agree(spark):
+    rnd = random.Random(11)
+    words = ["a", "b", "c", "dé", "ée"]
+    listed = list(dict.fromkeys(
+        " ".join(rnd.choice(words) for _ in range(rnd.choice([2, 2, 3, 4, 6, 7]))) for _ in range(120)))
+    docs = [
+        "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", " ", ", ", "\t", "-", "_"]) for _ in range(rnd.randint(0, 60)))
+        for _ in range(40)
+    ]
+    want = texts(ph.fuse_phrases(pages(spark, *docs), listed, literal_phrases=1000))
+    assert want != docs
+    for rows in (10**6, 0):
+        assert texts(ph.fuse_phrases(pages(spark, *docs), listed, literal_phrases=10, max_broadcast_rows=rows)) == want
