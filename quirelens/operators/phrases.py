@@ -14,7 +14,7 @@ from quirelens.operators.scale import BROADCAST_ROWS, durable, page_lookup, rejo
 LITERAL_PHRASES = 100
 _PLAIN = r"^\p{L}+(?: \p{L}+)+$"
 # Words of a phrase that serve as its join key.
-KEY_WORDS = 5
+KEY_WORDS = 3
 
 
 def phrase_counts(phrases: DataFrame, more_than: int = 10) -> DataFrame:
@@ -79,7 +79,7 @@ def fuse_phrases(
         raise ValueError(
             f"more than {literal_phrases} phrases that are not words joined by single blanks"
         )
-    # at most KEY_WORDS - 1 different lengths
+    # 2 .. KEY_WORDS, whichever occur
     lengths = sorted(r["_words"] for r in plain.select("_words").distinct().collect())
     joined = page_lookup(
         pages, "text", _ngrams(lengths), keyed, F.struct("rank", "phrase"),
