@@ -191,9 +191,9 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS) -
     model.centroids, model.owner = np.concatenate(centres), np.asarray(owner)
     for j, (size, cosine) in enumerate(everything):
         for k in range(8):
-            # a class that fitting has not seen takes the floor of the shorter ones
+            # the least of this and the shorter classes; of all, where fitting saw none
             own = cosine[size <= k]
-            model.floor[j, k] = own.min() if len(own) else 0.0
+            model.floor[j, k] = (own if len(own) else cosine).min()
     return model
 
 
