@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Pieces kept by a worker before it starts afresh; bounds its memory, not the result.
 CACHE = 400_000
 #: Characters handled at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Fixed value: the splitting pattern that array operations stand for; others go by regex.
 BYTE_LEVEL = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -214,8 +214,13 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, one after the other, and the number of bytes of each id."""
-        width = self._width[ids]
-        return gathered(self._flat, self._at[ids], width), width
+        data, widths = [self._flat[:0]], [self._width[:0]]
+        for i in range(0, len(ids), BLOCK // 4):
+            own = ids[i : i + BLOCK // 4]
+            width = self._width[own]
+            data.append(gathered(self._flat, self._at[own], width))
+            widths.append(width.astype(np.int32))
+        return np.concatenate(data), np.concatenate(widths)
 
     def token_texts(self, ids: np.ndarray) -> list[str]:
         """Text that each token completes: a character split over tokens goes to the last."""
