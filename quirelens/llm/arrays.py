@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is a slice of its own.
-SLICE = 1 << 22
+SLICE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,7 +36,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of values[start:end] for each span, with its length."""
-    n = max(SLICE + 1, 1 << int(len(values)).bit_length())
+    n = max(SLICE, len(values)) + 1
     power, inverse = _powers(n)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=sums[1:])

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from quirelens.llm import arrays
 
 #: Bytes of text per bucket; a bucket holds about four times that, packed.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
+#: A bucket is worked off in so many parts, so that arrays stay small.
+PARTS = 8
 PACKED = "bucket int, kind int, blob binary"
 SPANS = "_row long, spans binary"
 
@@ -81,17 +83,19 @@ def _numbers(raw: memoryview, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind)[:, 0]
 
 
-def _blob(row, at, size, content: bytes) -> bytes:
-    body = _planes(row, "<i8") + _planes(at, "<i4") + _planes(size, "<i4") + content
+def _blob(part, row, at, size, content: bytes) -> bytes:
+    body = _planes(part, "u1") + _planes(row, "<i8") + _planes(at, "<i4") + _planes(size, "<i4")
+    body += content
     return len(row).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     n = int.from_bytes(blob[:8], "little")
     raw = memoryview(zstandard.ZstdDecompressor().decompress(blob[8:]))
-    a, b, c = 8 * n, 12 * n, 16 * n
+    o, a, b, c = n, 9 * n, 13 * n, 17 * n
     return (
-        _numbers(raw[:a], n, "<i8"),
+        _numbers(raw[:o], n, "u1"),
+        _numbers(raw[o:a], n, "<i8"),
         _numbers(raw[a:b], n, "<i4"),
         _numbers(raw[b:c], n, "<i4"),
         np.frombuffer(raw[c:], np.uint8),
@@ -115,8 +119,10 @@ def pack(shape: Windows, buckets: int) -> Callable:
                 key = arrays.span_hashes(value, first, first + count + shape.length - 1)
                 origin, _ = copies(key, row, at)
                 known = row > row[origin] if shape.across else origin != np.arange(len(key))
-                bucket = (arrays.mixed(least) % np.uint64(buckets)).astype(np.int64)
-                _split(out, 1, (row % buckets)[known], row[known], at[known], count[known], None)
+                bucket = (arrays.mixed(least) % np.uint64(PARTS * buckets)).astype(np.int64)
+                own = arrays.mixed(row.astype(np.uint64)) % np.uint64(buckets)
+                own = own.astype(np.int64) * PARTS
+                _split(out, 1, own[known], row[known], at[known], count[known], None)
                 keep = np.flatnonzero(~known)
                 span = (start[first[keep]], end[first[keep] + count[keep] + shape.length - 2])
                 _split(out, 0, bucket[keep], row[keep], at[keep], span[1] - span[0], (data, span[0]))
@@ -135,6 +141,7 @@ def pack(shape: Windows, buckets: int) -> Callable:
 def _split(out, kind, bucket, row, at, size, content) -> None:
     order = np.argsort(bucket, kind="stable")
     bucket, row, at, size = bucket[order], row[order], at[order], size[order]
+    bucket, part = np.divmod(bucket, PARTS)
     begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
     if content is not None:
         data, start = content
@@ -142,7 +149,7 @@ def _split(out, kind, bucket, row, at, size, content) -> None:
         edge = np.concatenate([[0], np.cumsum(size)])
     for a, b in zip(begins, [*begins[1:], len(bucket)]):
         body = flat[edge[a] : edge[b]].tobytes() if content is not None else b""
-        out.append((int(bucket[a]), kind, _blob(row[a:b], at[a:b], size[a:b], body)))
+        out.append((int(bucket[a]), kind, _blob(part[a:b], row[a:b], at[a:b], size[a:b], body)))
 
 
 def resolve(shape: Windows) -> Callable:
@@ -152,29 +159,39 @@ def resolve(shape: Windows) -> Callable:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         packed = []
         for kind, blob in zip(group["kind"].to_pylist(), group["blob"].to_pylist()):
-            row, at, size, content = _unpacked(blob)
+            part, row, at, size, content = _unpacked(blob)
             if kind:
                 found.append((row, at, size))
             else:
-                packed.append((row, at, size, content))
+                packed.append((part, row, at, size, content))
         if packed:
-            row, at, size, data = (np.concatenate(x) for x in zip(*packed))
+            part, row, at, size, data = (np.concatenate(x) for x in zip(*packed))
             packed.clear()
-            edges = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-            start, end, text, value = shape.symbols(data, edges)
-            first = np.searchsorted(text, np.arange(len(row) + 1))
-            key = arrays.span_hashes(value, first[:-1], first[1:])
-            count = np.diff(first) - shape.length + 1
-            origin, _ = copies(key, row, at)
-            known = row > row[origin] if shape.across else origin != np.arange(len(row))
-            found.append((row[known], at[known], count[known]))
-            found += _repeats(shape, row, at, data, start, end, value, first, count, origin)
+            begin = np.cumsum(size, dtype=np.int64) - size
+            for k in range(PARTS):
+                own = np.flatnonzero(part == k)
+                if len(own):
+                    content = arrays.gathered(data, begin[own], size[own].astype(np.int64))
+                    found += _part(shape, row[own], at[own], size[own], content)
         return _spans(found, shape.length)
 
     return work
 
 
-def _repeats(shape, row, at, data, start, end, value, first, count, origin):
+def _part(shape, row, at, size, data):
+    """Spans of repeated windows among the packed strings of one part of a bucket."""
+    edges = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+    _, _, text, value = shape.symbols(data, edges)
+    first = np.searchsorted(text, np.arange(len(row) + 1))
+    key = arrays.span_hashes(value, first[:-1], first[1:])
+    count = np.diff(first) - shape.length + 1
+    origin, _ = copies(key, row, at)
+    known = row > row[origin] if shape.across else origin != np.arange(len(row))
+    spans = [(row[known], at[known], count[known])]
+    return spans + _repeats(shape, row, at, value, first, count, origin)
+
+
+def _repeats(shape, row, at, value, first, count, origin):
     """Spans among the distinct packed strings of a bucket."""
     own = np.flatnonzero(origin == np.arange(len(row)))
     if not len(own):
