@@ -162,8 +162,8 @@ def _linked(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, members)``: keyed rows, and ``(_row, n_shingles, component)`` of all rows.
+def near_duplicates(rows: DataFrame) -> DataFrame:
+    """``(_row, n_shingles, component)`` of all rows of ``rows(_row, text)``.
 
     1. Rows with equal shingle sets are one class, stood for by its first row.
     2. In each bucket of a band every member is paired with the first one; what sizes,
@@ -172,7 +172,6 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     3. Buckets whose members are all in one component are done, since more links change
        nothing.  In the others members of different components are compared, in blocks.
     """
-    rows = keyed(docs)
     signed = written(rows.select("_row", "text").mapInArrow(sign, SIGNED))
     some = signed.where("n > 0")
     classes = some.groupBy("n", "set_a", "set_b").agg(F.min("_row").alias("head"))
@@ -254,7 +253,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     links = links.union(verified(rest)).union(member.where("_row <> head").select("_row", "head"))
     found = written(components(links))
-    return rows, signed.select("_row", F.col("n").alias("n_shingles")).join(
+    return signed.select("_row", F.col("n").alias("n_shingles")).join(
         found.withColumnRenamed("node", "_row"), "_row", "left"
     ).select("_row", "n_shingles", F.coalesce("component", "_row").alias("component"))
 
@@ -268,7 +267,8 @@ def component_table(docs: DataFrame) -> DataFrame:
     or have none, are documents of their own; the first row of a component is kept, and
     rows without an id come last and have a null component_id where they come first.
     """
-    rows, members = near_duplicates(docs)
+    rows = keyed(docs)
+    members = near_duplicates(rows)
     ids = rows.select("_row", "doc_id")
     first = ids.select(F.col("_row").alias("component"), F.col("doc_id").alias("component_id"))
     return (
@@ -279,15 +279,7 @@ def component_table(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but all later members of each group of near duplicates.
-
-    All columns stay.  Where doc_ids are unique, rows are chosen by them; otherwise by
-    doc_id and text, and of equal rows one stays.
-    """
-    rows, members = near_duplicates(docs)
-    gone = members.where("_row <> component").join(rows, "_row")
-    if rows.where("_row is distinct from doc_id").isEmpty():
-        return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    kept = members.where("_row = component").join(rows, "_row").select("doc_id", "text").distinct()
-    same = (docs["doc_id"].eqNullSafe(kept["doc_id"])) & (docs["text"].eqNullSafe(kept["text"]))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs``, with all their columns, but later members of each group."""
+    rows = keyed(docs, whole=True)
+    later = near_duplicates(rows).where("_row <> component").select("_row")
+    return rows.join(later, "_row", "left_anti").select("_doc.*")

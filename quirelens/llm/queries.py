@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import bpe, langid, minhash, substrings, suffixes
+from quirelens.llm import bpe, decontaminate, langid, lines, minhash, substrings, suffixes
 from quirelens.llm.rows import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.component_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = lines.line_report(table(spark, sf_dir, "documents"))
+    return report.select(
+        "doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op3_line_dedup"] = lines.REPORT_SQL
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op5_decontamination"] = decontaminate.LEAKS_SQL

@@ -34,32 +34,31 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
-    """``(_row, doc_id, *columns)`` where ``_row`` is a unique long in doc_id order.
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``(_row, doc_id, text)`` where ``_row`` is a unique long in doc_id order.
 
-    Unique ids that are never null are used as they are.  Otherwise rows are written
-    once in the order doc_id, text (nulls last) and numbered, so repeated rows and rows
-    without an id are documents of their own, each later than the ones before it.
+    ``whole`` adds all columns of ``docs`` as the struct ``_doc``.  Unique ids that are
+    never null are used as they are.  Otherwise rows are written once in the order
+    doc_id, text (nulls last) and numbered, so repeated rows and rows without an id are
+    documents of their own, each later than the ones before it.
     """
-    rows = docs.select("doc_id", *columns)
+    columns = ["doc_id", "text"]
+    if whole:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = docs.select(*columns)
     n, ids = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids and dict(rows.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         return rows.select(F.col("doc_id").cast("long").alias("_row"), "*")
-    order = [F.col("doc_id").asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in columns)]
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()]
     return written(
         rows.orderBy(*order).select(F.monotonically_increasing_id().alias("_row"), "*")
     )
 
 
-def ascii_lower(text: Column) -> Column:
-    """``text`` with A-Z, and nothing else, in lower case."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words(text: Column) -> Column:
     """Array of the words of ``text``; empty without any, or for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+")
-    return F.filter(parts, lambda w: w != "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare != "", F.split(bare, f"[{SPACE}]+")).otherwise(F.array().cast("array<string>"))
 
 
 def remainder(doc_id: Column, n: int) -> Column:
