@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import bpe, decontaminate, langid, lines, minhash, substrings, suffixes
+from quirelens.llm import bpe, decontaminate, hnsw, langid, lines, lm, minhash, substrings, suffixes, toxicity
 from quirelens.llm.rows import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,40 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_decontamination"] = decontaminate.LEAKS_SQL
+
+
+@query
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hnsw.usable(table(spark, sf_dir, "embeddings"))
+    return hnsw.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """One label per document: the larger, where a document has several."""
+    found = table(spark, sf_dir, "labels").select("doc_id", column)
+    return found.groupBy("doc_id").agg(F.max(column).alias(column))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = docs.join(labels(spark, sf_dir, "toxic"), "doc_id").where(
+        remainder(F.col("doc_id"), 4) != 2
+    )
+    found = toxicity.detect(docs, toxicity.fit(learned))
+    return found.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.col("is_toxic").cast("int").alias("predicted"),
+    )
+
+
+@query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = labels(spark, sf_dir, "quality").where("quality = 1").select("doc_id", F.lit(True).alias("is_target"))
+    marked = docs.join(good, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    return lm.score(docs, lm.fit(marked)).select(
+        "doc_id", "n_tokens", "target_loss", "background_loss", F.col("lm_score").alias("score")
+    )
