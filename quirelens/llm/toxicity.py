@@ -2,7 +2,7 @@
 
 A word is a run of letters, lower-cased.  Its input is an embedding of the word, if
 fitting has seen it often enough, beside the mean embedding of its hashed character
-trigrams.  The network reads overlapping windows of words; a text scores as its worst
+trigrams and prefixes.  The network reads overlapping windows of words; a text scores as its worst
 window.  It is trained in numpy: a text's loss is that of the window it scores by.
 """
 
@@ -22,18 +22,22 @@ from quirelens.llm.rows import bounded_sample
 #: Words in a window and between the starts of two windows.
 WINDOW, STRIDE = 24, 16
 WORD, CHAR, HIDDEN = 12, 12, 8
-TRIGRAMS = 4096
+TRIGRAMS = 8192
+#: Prefixes of so many letters go with the trigrams: stems that take unseen endings.
+PREFIXES = (4, 5)
 #: Words with an embedding of their own: the most frequent ones in this many texts or more.
 VOCABULARY, LEAST_TEXTS = 20_000, 3
 #: Labelled rows and the length of texts that the network is fitted on.
 FIT_ROWS, FIT_CHARS = 4_000, 20_000
-EPOCHS, TEXTS_PER_STEP = 6, 64
+EPOCHS, TEXTS_PER_STEP = 4, 64
+#: A small sample is passed more often, until there were this many steps.
+LEAST_STEPS = 150
 #: Characters and windows handled at a time.
 BLOCK, WINDOWS = 1 << 20, 4096
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and hash of each word; trigram numbers of all words and their edges."""
+    """Text number and hash of each word; character features of all words and their edges."""
     letter = _is_letter()
     lowered = [t.lower() for t in texts]
     codes = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
@@ -52,9 +56,19 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     # trigram i is around character i; a word of n letters has n
     key = span_hashes(flat[1:-1], start, end)
     length = end - start
-    edge = np.concatenate([[0], np.cumsum(length)])
-    at = np.repeat(start - edge[:-1], length) + np.arange(edge[-1])
-    return text, key, (trigram[at] % np.uint64(TRIGRAMS)).astype(np.int64), edge
+    edge = np.concatenate([[0], np.cumsum(length + len(PREFIXES))])
+    feature = np.empty(edge[-1], np.uint64)
+    inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    feature[np.repeat(edge[:-1], length) + inner] = trigram[np.repeat(start, length) + inner]
+    for j, n in enumerate(PREFIXES):
+        prefix = span_hashes(flat[1:-1], start, np.minimum(end, start + n))
+        feature[edge[1:] - len(PREFIXES) + j] = mixed(prefix + np.uint64(n))
+    return text, key, (feature % np.uint64(TRIGRAMS)).astype(np.int64), edge
+
+
+def _summed(n: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(n, columns) sums of the rows of ``values`` by index."""
+    return np.column_stack([np.bincount(index, v, n) for v in values.T]).astype(np.float32)
 
 
 def _sigmoid(x):
@@ -140,7 +154,7 @@ class Network:
         for way, order in (("f", range(steps - 1, -1, -1)), ("b", range(steps))):
             part = slice(0, h) if way == "f" else slice(h, 2 * h)
             wh = p[f"wh{way}"]
-            dwh, dgates = np.zeros_like(wh), np.zeros((len(x), 3 * h), np.float32)
+            dwh, parts = np.zeros_like(wh), []
             d = np.zeros((len(index), h), np.float32)
             for t in order:
                 state, z, r, new, un = memory[way, t]
@@ -153,9 +167,9 @@ class Network:
                 dg = np.concatenate([dz, dr, dn], 1)
                 du = np.concatenate([dz, dr, dn * r], 1)
                 dwh += state.T @ du
-                live = index[:, t] >= 0
-                np.add.at(dgates, index[live, t], dg[live])
+                parts.append((index[m[:, 0], t], dg[m[:, 0]]))
                 d = np.where(m, own * z + du @ wh.T, d)
+            dgates = _summed(len(x), *(np.concatenate(v) for v in zip(*parts)))
             grad[f"wh{way}"] = dwh
             grad[f"wx{way}"] = x.T @ dgates
             grad[f"b{way}"] = dgates.sum(0)
@@ -188,8 +202,10 @@ def _worst(network: Network, x: np.ndarray, word: np.ndarray, count: np.ndarray)
     best = np.full(len(count), -np.inf)
     np.maximum.at(best, text, logit)
     order = np.lexsort((-logit, text))
-    which = order[np.searchsorted(text[order], np.arange(len(count)))] if len(order) else order
-    return best, which if len(order) else np.zeros(len(count), int), index
+    at = np.searchsorted(text[order], np.arange(len(count)))
+    # meaningless for a text without words, which has no window
+    which = np.append(order, 0)[np.minimum(at, len(order))]
+    return best, which, index
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed: int = 5) -> Network:
@@ -223,13 +239,21 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed:
     size = np.diff(edge)[place]
     own = np.repeat(edge[:-1][place] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     tri, tri_edge = trigrams[own], np.concatenate([[0], np.cumsum(size)])
+    # and so does a character feature
+    of = pairs // len(got)
+    at = np.repeat(tri_edge[:-1][of] - (np.cumsum(size[of]) - size[of]), size[of]) + np.arange(size[of].sum())
+    both = np.unique(tri[at] * len(got) + np.repeat(pairs % len(got), size[of]))
+    seen = np.bincount(both // len(got), minlength=TRIGRAMS)
+    bad = np.bincount(both // len(got), label[both % len(got)], TRIGRAMS)
+    network.p["char"][:, 0] = np.clip(odds(bad, seen, len(got)), -3, 3) / 3
     row = network.word_rows(distinct)
     rng = np.random.default_rng(seed)
     first = np.cumsum(count) - count
     moment: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items()}
-    step = 0
-    for epoch in range(EPOCHS):
-        for texts in np.array_split(rng.permutation(len(got)), max(1, -(-len(got) // TEXTS_PER_STEP))):
+    step, parts = 0, -(-len(got) // TEXTS_PER_STEP)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // parts))
+    for epoch in range(epochs):
+        for texts in np.array_split(rng.permutation(len(got)), parts):
             step += 1
             word = np.concatenate([back[first[t] : first[t] + count[t]] for t in texts])
             used, local = np.unique(word, return_inverse=True)
@@ -242,11 +266,12 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed:
             logit, rest = network.forward(x, index, keep=True)
             error = ((_sigmoid(logit) - label[texts]) / len(texts)).astype(np.float32)
             grad, dx = network.backward(x, index, rest, error)
-            grad["word"] = np.zeros_like(network.p["word"])
-            np.add.at(grad["word"], row[used], dx[:, :WORD])
-            grad["char"] = np.zeros_like(network.p["char"])
-            np.add.at(grad["char"], tri[at], np.repeat(dx[:, WORD:] / n[:, None], n, 0))
-            rate = 0.01 if epoch < EPOCHS - 2 else 0.003
+            grad["word"] = _summed(len(network.p["word"]), row[used], dx[:, :WORD])
+            hit = np.flatnonzero(dx.any(1))
+            own = np.repeat(np.isin(np.arange(len(used)), hit), n)
+            spread = np.repeat(dx[hit, WORD:] / n[hit, None], n[hit], 0)
+            grad["char"] = _summed(TRIGRAMS, tri[at][own], spread)
+            rate = 0.01 if epoch < epochs // 2 else 0.003
             for k, g in grad.items():
                 m, v = moment[k]
                 m += 0.1 * (g - m)
