@@ -44,6 +44,9 @@ class Windows:
     classes: Callable[..., np.ndarray]
     #: an earlier copy must stand in an earlier document
     across: bool
+    #: minimisers are counted first and strings packed only where another document
+    #: shares theirs; pays where packing repeats the text several times
+    counted: bool = False
 
 
 def runs(shape: Windows, value: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -102,6 +105,73 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     )
 
 
+def seeds(shape: Windows, buckets: int) -> Callable:
+    """mapInArrow function: by bucket, 32 bits of each run's minimiser and where it is."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data, edges in arrays.text_slices(batch["_row"], batch["text"]):
+                _, _, text, value = shape.symbols(data, edges)
+                first, _, least = runs(shape, value, text)
+                own = text[first]
+                place = np.arange(len(first)) - np.searchsorted(own, own)
+                least = arrays.mixed(least)
+                bucket = (least % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, row, place = bucket[order], number[own][order], place[order]
+                least = (least >> np.uint64(32))[order]
+                begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+                stops = [*begins[1:], len(bucket)]
+                blobs = [
+                    (b - a).item().to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(
+                        _planes(row[a:b], "<i8") + _planes(place[a:b], "<i4") + _planes(least[a:b], "<u4")
+                    )
+                    for a, b in zip(begins, map(np.int64, stops))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[begins] if len(bucket) else [], pa.int32()), pa.array(blobs, pa.binary())],
+                    names=["bucket", "blob"],
+                )
+
+    return work
+
+
+def shared_seeds(group: pa.Table) -> pa.Table:
+    """applyInArrow function: runs whose minimiser stands in two documents or more."""
+    rows, places, least = [], [], []
+    for blob in group["blob"].to_pylist():
+        n = int.from_bytes(blob[:8], "little")
+        raw = memoryview(zstandard.ZstdDecompressor().decompress(blob[8:]))
+        rows.append(_numbers(raw[: 8 * n], n, "<i8"))
+        places.append(_numbers(raw[8 * n : 12 * n], n, "<i4"))
+        least.append(_numbers(raw[12 * n :], n, "<u4"))
+    row, place, key = (np.concatenate(x) for x in (rows, places, least))
+    order = np.lexsort((row, key))
+    row, place, key = row[order], place[order], key[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    last = np.append(begin[1:], len(key)) - 1
+    many = np.repeat(row[begin] != row[last], last - begin + 1)
+    row, place = row[many], place[many]
+    order = np.lexsort((place, row))
+    row, place = row[order], place[order]
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
+    lists = [place[a:b].astype("<i4").tobytes() for a, b in zip(begin, [*begin[1:], len(row)])]
+    return pa.table(
+        {"_row": pa.array(row[begin] if len(row) else [], pa.int64()), "runs": pa.array(lists, pa.binary())}
+    )
+
+
+def _chosen(batch: pa.RecordBatch, number: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of runs in texts ``own``, which are listed in the batch's ``runs`` for their row."""
+    lists = dict(zip(batch["_row"].to_pylist(), batch["runs"].to_pylist()))
+    base = np.searchsorted(own, np.arange(len(number)))
+    out = np.zeros(len(own), bool)
+    for i, row in enumerate(number.tolist()):
+        for listed in lists[row] or ():
+            out[base[i] + np.frombuffer(listed, "<i4")] = True
+    return out
+
+
 def pack(shape: Windows, buckets: int) -> Callable:
     """mapInArrow function: packed strings by bucket (kind 0), known copies (kind 1)."""
 
@@ -111,6 +181,9 @@ def pack(shape: Windows, buckets: int) -> Callable:
                 out: list[tuple[int, int, bytes]] = []
                 start, end, text, value = shape.symbols(data, edges)
                 first, count, least = runs(shape, value, text)
+                if shape.counted:
+                    chosen = _chosen(batch, number, text[first])
+                    first, count, least = first[chosen], count[chosen], least[chosen]
                 if not len(first):
                     continue
                 row = number[text[first]]
@@ -277,9 +350,21 @@ def repeated(rows: DataFrame, shape: Windows) -> DataFrame:
     """``(_row, spans)`` for the rows of ``rows(_row, text)`` that repeat earlier windows."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
+    if shape.counted:
+        shared = (
+            rows.select("_row", "text")
+            .mapInArrow(seeds(shape, buckets), "bucket int, blob binary")
+            .groupBy("bucket")
+            .applyInArrow(shared_seeds, "_row long, runs binary")
+            .groupBy("_row")
+            .agg(F.collect_list("runs").alias("runs"))
+        )
+        # all columns, as in with_spans: the shuffle of the texts is the same and made once
+        wanted = rows.join(shared, "_row")
+    else:
+        wanted = rows.select("_row", "text")
     return (
-        rows.select("_row", "text")
-        .mapInArrow(pack(shape, buckets), PACKED)
+        wanted.mapInArrow(pack(shape, buckets), PACKED)
         .groupBy("bucket")
         .applyInArrow(resolve(shape), SPANS)
         .groupBy("_row")
