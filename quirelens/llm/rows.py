@@ -48,7 +48,9 @@ def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     rows = docs.select(*columns)
     n, ids = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids and dict(rows.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
-        return rows.select(F.col("doc_id").cast("long").alias("_row"), "*")
+        # no id is null here; said once, all joins by _row share one shuffle of the texts
+        known = rows.where(F.col("doc_id").isNotNull())
+        return known.select(F.col("doc_id").cast("long").alias("_row"), "*")
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()]
     return written(
         rows.orderBy(*order).select(F.monotonically_increasing_id().alias("_row"), "*")
