@@ -9,26 +9,33 @@ from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
 from quirelens.operators.phrases import fuse_phrases
-from quirelens.operators.scale import bounded_list, rejoin
-from quirelens.operators.tokens import LITERAL_WORDS, SENTENCE_BREAK, lemmatise
+from quirelens.operators.scale import bounded_list
+from quirelens.operators.tokens import LITERAL_WORDS, SENTENCE_BREAK, lemmatise, mark_words
 
 # Fixed value: always treated as a stop word (pronoun marker of older lemmatisers).
 PRONOUN_MARK = "-pron-"
 
 
-def stop_list(words: DataFrame | Sequence[str] | None) -> list[str]:
-    """Stop words in lower case, with the pronoun marker; a short user-made list."""
-    listed = bounded_list(words, 10 * LITERAL_WORDS)
-    if listed is None:
-        raise ValueError("stop-word list too long; remove such words with remove_words")
-    return sorted({w.lower() for w in listed} | {PRONOUN_MARK})
+def stop_list(words: DataFrame | Sequence[str] | None) -> list[str] | None:
+    """Stop words in lower case, with the pronoun marker; None if they are too many for a plan."""
+    listed = bounded_list(words, LITERAL_WORDS)
+    return None if listed is None else sorted({w.lower() for w in listed} | {PRONOUN_MARK})
+
+
+def stop_table(pages: DataFrame, words: DataFrame | Sequence[str]) -> DataFrame:
+    """Stop words of any number as a table, with the pronoun marker."""
+    spark = pages.sparkSession
+    if not isinstance(words, DataFrame):
+        words = spark.createDataFrame([(w,) for w in words], "word string")
+    own = words.select(F.lower(F.col(f"`{words.columns[0]}`")).alias("word"))
+    return own.union(spark.createDataFrame([(PRONOUN_MARK,)], "word string")).distinct()
 
 
 def page_tokens(
     pages: DataFrame, patterns: Sequence[tuple[str, str]] = ()
 ) -> DataFrame:
-    """``(volid, seq, tokens)``: rewritten sentences as word and punctuation tokens,
-    with a tab token between sentences."""
+    """All columns but ``text``, and ``tokens``: rewritten sentences as word and
+    punctuation tokens, with a tab token between sentences."""
 
     def one(sentence):
         return F.concat(
@@ -37,10 +44,9 @@ def page_tokens(
         )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return pages.select(
-        "volid", "seq",
-        F.flatten(F.transform(F.split(text, SENTENCE_BREAK), one)).alias("tokens"),
-    )
+    return pages.withColumn(
+        "tokens", F.flatten(F.transform(F.split(text, SENTENCE_BREAK), one))
+    ).drop("text")
 
 
 def preprocess_pages(
@@ -58,10 +64,13 @@ def preprocess_pages(
         tokens = lemmatise(tokens, lemmas, **options)
     else:
         tokens = tokens.withColumn("tokens", F.transform("tokens", F.lower))
-    kept = tx.drop_blacklisted(tx.drop_words(F.col("tokens"), stop_list(stop_words)))
+    stops = stop_list(stop_words)
+    if stops is None:
+        tokens = mark_words(tokens, stop_table(pages, stop_words), **options)
+    kept = tx.drop_blacklisted(tx.drop_words(F.col("tokens"), stops or []))
     text = F.regexp_replace(F.array_join(kept, " "), " ?\t ?", SENTENCE_BREAK)
-    rewritten = tokens.select("volid", "seq", text.alias("text"))
+    rewritten = tokens.withColumn("text", text).drop("tokens")
     if phrases is not None:
         rewritten = fuse_phrases(rewritten, phrases, **options)
     final = F.array_join(tx.min_token_length(tx.extract_tokens(F.col("text"))), " ")
-    return rejoin(pages, rewritten.select("volid", "seq", final.alias("text")))
+    return rewritten.withColumn("text", final).select(*pages.columns)

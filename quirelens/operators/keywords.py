@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,15 +11,24 @@ from pyspark.sql import functions as F
 Patterns = Sequence[tuple[str, str]]
 
 
-def pattern_list(patterns: Patterns | DataFrame, limit: int = 20_000) -> list[tuple[str, str]]:
-    """Keyword list as literals; it becomes part of the plan, so it must be short."""
+# Patterns that one projection counts; longer lists are counted in blocks.
+BLOCK_PATTERNS = 5_000
+
+
+def pattern_list(patterns: Patterns | DataFrame) -> list[tuple[str, str]]:
+    """The user's keyword list as literals; it becomes part of the plan."""
     if isinstance(patterns, DataFrame):
-        rows = patterns.select("name", "pattern").limit(limit + 1).collect()
-        patterns = [(r["name"], r["pattern"]) for r in rows]
-    patterns = list(patterns)
-    if len(patterns) > limit:
-        raise ValueError(f"more than {limit} keyword patterns")
-    return patterns
+        patterns = [(r["name"], r["pattern"]) for r in patterns.select("name", "pattern").collect()]
+    return list(patterns)
+
+
+def split_patterns(df: DataFrame, patterns: Patterns | DataFrame) -> tuple[Patterns, DataFrame]:
+    """The patterns that can be counted, and ``(name, pattern, reason)`` of the others."""
+    listed = pattern_list(patterns)
+    reasons = dict(check_patterns(df, listed))
+    good = [(n, p) for n, p in listed if n not in reasons]
+    bad = [(n, p, reasons[n]) for n, p in listed if n in reasons]
+    return good, df.sparkSession.createDataFrame(bad, "name string, pattern string, reason string")
 
 
 def check_patterns(df: DataFrame, patterns: Patterns) -> list[tuple[str, str]]:
@@ -44,6 +54,9 @@ def count_keywords(pages: DataFrame, patterns: Patterns, keys: Sequence[str] = (
     filter cannot be pushed through, and only hits leave it.
     """
     patterns = pattern_list(patterns)
+    if len(patterns) > BLOCK_PATTERNS:
+        blocks = [patterns[i : i + BLOCK_PATTERNS] for i in range(0, len(patterns), BLOCK_PATTERNS)]
+        return reduce(DataFrame.union, [count_keywords(pages, b, keys) for b in blocks])
     hits = F.filter(
         F.array(
             *[
@@ -59,6 +72,8 @@ def count_keywords(pages: DataFrame, patterns: Patterns, keys: Sequence[str] = (
 def wide_matches(pages: DataFrame, patterns: Patterns) -> DataFrame:
     """``text, volid, seq`` plus one count column per keyword, for pages with a match."""
     patterns = pattern_list(patterns)
+    if not patterns:
+        return pages.select("text", "volid", "seq").where(F.lit(False))
     counted = pages.select(
         "text", "volid", "seq",
         F.explode(F.array(F.array(*_counts(F.col("text"), patterns)))).alias("_n"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
-from quirelens.operators.scale import BROADCAST_ROWS, durable, page_lookup, rejoin
+from quirelens.operators.scale import BROADCAST_ROWS, durable, row_lookup
 
 # Up to this many phrases are written into the plan; longer lists are joined.
 LITERAL_PHRASES = 100
@@ -66,24 +66,26 @@ def fuse_phrases(
         return _fuse_literal(pages, [r["phrase"] for r in head])
 
     multi = phrases.where(F.contains("phrase", F.lit(" ")))
-    odd = multi.where(~F.col("phrase").rlike(_PLAIN)).select("rank", "phrase")
+    # a phrase matches only where its first run of letters is a whole run of the text
+    first_run = F.regexp_extract("phrase", r"\p{L}+", 0)
+    odd = multi.where(~F.col("phrase").rlike(_PLAIN))
     plain = multi.where(F.col("phrase").rlike(_PLAIN)).withColumn(
         "_words", F.least(F.size(F.split("phrase", " ")), F.lit(KEY_WORDS))
     )
     keyed = plain.select(
         F.array_join(F.slice(F.split("phrase", " "), 1, F.col("_words")), " ").alias("form"),
         "rank", "phrase",
-    )
-    everywhere = odd.orderBy("rank").limit(literal_phrases + 1).collect()
+    ).union(odd.where(first_run != "").select(first_run.alias("form"), "rank", "phrase"))
+    everywhere = odd.where(first_run == "").orderBy("rank").limit(literal_phrases + 1).collect()
     if len(everywhere) > literal_phrases:
-        raise ValueError(
-            f"more than {literal_phrases} phrases that are not words joined by single blanks"
-        )
-    # 2 .. KEY_WORDS, whichever occur
-    lengths = sorted(r["_words"] for r in plain.select("_words").distinct().collect())
-    joined = page_lookup(
-        pages, "text", _ngrams(lengths), keyed, F.struct("rank", "phrase"),
-        max_rows=max_broadcast_rows,
+        raise ValueError(f"more than {literal_phrases} phrases without a letter")
+    # 2 .. KEY_WORDS, whichever occur; 1 for phrases with other characters in them
+    lengths = sorted(
+        {r["_words"] for r in plain.select("_words").distinct().collect()}
+        | ({1} if not odd.where(first_run != "").isEmpty() else set())
+    )
+    joined = row_lookup(
+        pages, _ngrams(lengths), keyed, F.struct("rank", "phrase"), max_broadcast_rows
     )
     if everywhere:
         rank_type = phrases.schema["rank"].dataType
@@ -96,16 +98,12 @@ def fuse_phrases(
                 for r in everywhere
             ]
         )
-        joined = joined.withColumn(
-            "hits", F.concat("hits", extra)
-        )
+        joined = joined.withColumn("hits", F.concat("hits", extra))
     ordered = F.transform(F.sort_array(F.array_distinct("hits")), lambda h: h["phrase"])
-    fused = joined.select(
-        "volid", "seq",
-        F.when(F.size("hits") > 0, tx.fuse_phrases(F.col("text"), ordered))
-        .otherwise(F.col("text")).alias("text"),
-    )
-    return rejoin(pages, fused)
+    return joined.withColumn(
+        "text",
+        F.when(F.size("hits") > 0, tx.fuse_phrases(F.col("text"), ordered)).otherwise(F.col("text")),
+    ).select(*pages.columns)
 
 
 def _ngrams(lengths: Sequence[int]) -> Column:

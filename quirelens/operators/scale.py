@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -89,59 +90,61 @@ def lookup_join(
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def page_lookup(
-    pages: DataFrame,
-    payload: str,
+def row_lookup(
+    rows: DataFrame,
     forms: Column,
     table: DataFrame,
     hit: Column | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``(volid, seq, payload, hits)``: what a table keyed by ``form`` says about a page.
+    """All rows and columns of ``rows`` with ``hits``: what a table keyed by ``form`` says.
 
-    ``forms`` is an array expression over ``payload``.  ``hits`` collects ``hit``
-    (a column of the joined row, by default the form) for each distinct form of the
-    page that is in the table.
+    ``forms`` is an array expression over a row.  ``hits`` collects ``hit`` (a column of
+    the joined row, by default the form) for each distinct form of the row that is in
+    the table.  Rows are told apart by a number of their own, so repeated rows and rows
+    with null keys all come back, on either route.
 
-    A table measured to be small is broadcast, in one pass: a page is exploded into
-    its forms, only the first row carries the payload, rows without a hit are
-    dropped, and the page is put together where it was, without a second read.
-    Otherwise forms travel to the table without the payload, hot forms salted.
+    A table measured to be small is broadcast, in one pass: a row is exploded into its
+    forms where it lies, only the first of these carries the columns, forms without a
+    hit are dropped, and the row is put together again without a second read.
+    Otherwise rows are written once and forms alone travel to the table, hot ones salted.
     """
-    page = ["volid", "seq"]
     value = F.col("form") if hit is None else hit
+    numbered = rows.select(
+        F.monotonically_increasing_id().alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_page"),
+        F.array_distinct(F.coalesce(forms, F.array().cast("array<string>"))).alias("_forms"),
+    )
     if fits_broadcast(table, max_rows):
-        rows = F.transform(
-            F.concat(F.array(F.lit("")), F.array_distinct(forms)),
+        parts = F.transform(
+            F.concat(F.array(F.lit("")), F.col("_forms")),
             lambda f, i: F.struct(
-                f.alias("form"),
-                (i == 0).alias("_first"),
-                F.when(i == 0, F.col(payload)).alias(payload),
+                f.alias("form"), (i == 0).alias("_first"), F.when(i == 0, F.col("_page")).alias("_page")
             ),
         )
-        return (
-            pages.select(*page, payload)
-            .repartition(*page)
-            .select(*page, F.inline(rows))
+        found = (
+            numbered.repartition("_row")
+            .select("_row", F.inline(parts))
             .join(F.broadcast(table.withColumn("_in", F.lit(True))), "form", "left")
             .withColumn("_hit", F.when(F.col("_in") & ~F.col("_first"), value))
             .where(F.col("_first") | F.col("_hit").isNotNull())
-            .groupBy(*page)
+            .groupBy("_row")
             .agg(
-                F.first(payload, ignorenulls=True).alias(payload),
+                F.first("_page", ignorenulls=True).alias("_page"),
                 F.collect_list("_hit").alias("hits"),
             )
         )
-    pages = durable(pages.select(*page, payload))
-    stream = pages.select(*page, F.explode(F.array_distinct(forms)).alias("form"))
-    hits = (
-        lookup_join(stream, table, "form", "inner", page, max_rows)
-        .groupBy(*page)
-        .agg(F.collect_list(value).alias("hits"))
-    )
-    return pages.join(hits, page, "left").withColumn(
-        "hits", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType))
-    )
+    else:
+        numbered = stage(numbered)
+        stream = numbered.select("_row", F.explode("_forms").alias("form"))
+        hits = (
+            lookup_join(stream, table, "form", "inner", ["_row"], max_rows)
+            .groupBy("_row")
+            .agg(F.collect_list(value).alias("hits"))
+        )
+        empty = F.array().cast(hits.schema["hits"].dataType)
+        found = numbered.join(hits, "_row", "left").withColumn("hits", F.coalesce("hits", empty))
+    return found.select("_page.*", "hits")
 
 
 def top_per_group(
@@ -165,14 +168,6 @@ def top_per_group(
     )
 
 
-def rejoin(pages: DataFrame, changed: DataFrame) -> DataFrame:
-    """The columns of ``pages``, with those of ``changed(volid, seq, ...)`` replaced."""
-    extra = [c for c in pages.columns if c not in changed.columns]
-    if extra:
-        changed = changed.join(pages.select("volid", "seq", *extra), ["volid", "seq"])
-    return changed.select(*pages.columns)
-
-
 def term_table(spark: SparkSession, words: list[str]) -> DataFrame:
     """``(term_index, term)`` of a vocabulary held by the driver (a model parameter bounds it)."""
     index = pa.array(range(len(words)), pa.int32())
@@ -204,13 +199,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """The rows from a Parquet table in the shared folder, read once more by column."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().rstrip("/")
+    path = f"{folder}/quirelens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="quirelens-checkpoint-")
     sc.setCheckpointDir(configured)

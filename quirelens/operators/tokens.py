@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
-from quirelens.operators.scale import (
-    BROADCAST_ROWS, bounded_list, fits_broadcast, lookup_join, page_lookup, rejoin,
-)
+from quirelens.operators.scale import BROADCAST_ROWS, bounded_list, fits_broadcast, row_lookup
 
 # Up to this many words are written into the plan as an IN set.
 LITERAL_WORDS = 2_000
@@ -24,50 +22,52 @@ def lemma_table(lemmas: DataFrame) -> DataFrame:
     )
 
 
-def map_tokens(
+def lemmatise(
     pages: DataFrame,
-    tokens: str,
-    lemmas: DataFrame | None = None,
-    listed: DataFrame | None = None,
-    keep_listed: bool = False,
+    lemmas: DataFrame,
+    tokens: str = "tokens",
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``(volid, seq, tokens)``: tokens replaced by their lemma, and listed words
-    dropped (or only they kept), in token order.
+    """Lower-case lemma per token; a form without an entry is only lower-cased.
 
-    Pages are distributed by key before their tokens are exploded, so when the
-    word tables are small enough to be broadcast, collecting the tokens again needs
-    no further shuffle; a group is one page.  ``listed`` has one column of words,
-    compared with the lemma.
+    Only the distinct forms of a page meet the table.  All rows and columns stay.
     """
-    page = ["volid", "seq"]
-    rows = pages.select(*page, tokens).repartition(*page).select(
-        *page, F.posexplode_outer(tokens).alias("_pos", "_token")
-    )
-    spread_by = [*page, "_pos"]
-    if lemmas is not None:
-        rows = lookup_join(
-            rows.withColumn("form", F.lower("_token")),
-            lemma_table(lemmas), "form", "left", spread_by, max_broadcast_rows,
-        ).withColumn("_token", F.coalesce("lemma", "form")).drop("form", "lemma")
-    keep = F.col("_token").isNotNull()
-    if listed is not None:
-        words = listed.select(F.col(listed.columns[0]).alias("_token")).distinct()
-        rows = lookup_join(
-            rows, words.withColumn("_listed", F.lit(True)), "_token", "left",
-            spread_by, max_broadcast_rows,
-        )
-        hit = F.col("_listed").isNotNull()
-        keep = keep & (hit if keep_listed else ~hit)
-    pairs = F.sort_array(F.collect_list(F.when(keep, F.struct("_pos", "_token"))))
-    return rows.groupBy(*page).agg(pairs.alias(tokens)).withColumn(
-        tokens, F.transform(tokens, lambda p: p["_token"])
+    lower = F.transform(tokens, F.lower)
+    found = row_lookup(
+        pages, lower, lemma_table(lemmas), F.struct("form", "lemma"), max_broadcast_rows
     )
+    table = F.map_from_entries(F.array_distinct("hits"))
+    return found.withColumn(
+        tokens, tx.let(table, lambda m: F.transform(lower, lambda t: F.coalesce(m[t], t)))
+    ).select(*pages.columns)
 
 
-def lemmatise(pages: DataFrame, lemmas: DataFrame, tokens: str = "tokens", **options) -> DataFrame:
-    """Lower-case lemma per token; a form without an entry is only lower-cased."""
-    return map_tokens(pages, tokens, lemmas=lemmas, **options)
+def mark_words(
+    pages: DataFrame,
+    words: DataFrame,
+    tokens: str = "tokens",
+    mark: str | None = None,
+    keep_listed: bool = False,
+    lower: bool = False,
+    max_broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Listed tokens dropped (or replaced by ``mark``), or only they kept.
+
+    ``words`` has one column of words of any number.  All rows and columns stay.
+    """
+    form = F.col(f"`{words.columns[0]}`")
+    listed = words.select((F.lower(form) if lower else form).alias("form")).where("form is not null").distinct()
+    key = (lambda t: F.lower(t)) if lower else (lambda t: t)
+    found = row_lookup(pages, F.transform(tokens, key), listed, max_rows=max_broadcast_rows)
+
+    def hit(t: Column) -> Column:
+        return F.array_contains("hits", key(t))
+
+    if mark is not None:
+        changed = F.transform(tokens, lambda t: F.when(hit(t), F.lit(mark)).otherwise(t))
+    else:
+        changed = F.filter(tokens, lambda t: hit(t) if keep_listed else ~hit(t))
+    return found.withColumn(tokens, changed).select(*pages.columns)
 
 
 def remove_words(
@@ -79,26 +79,23 @@ def remove_words(
 ) -> DataFrame:
     """Drop listed words from ``text`` and join the rest with single blanks.
 
-    A short list becomes an IN set inside the projection.  A longer one is
-    broadcast if it, or the list of all other words (``kept``), is measured to be
-    small.  Beyond that, only the distinct words of each page meet the list,
-    hot words salted, and the page gets back the few words it has to lose.
+    A short list becomes an IN set inside the projection.  Of a longer one only the
+    distinct words of each page meet the list, or the list of all other words
+    (``kept``) where that is the one that can be broadcast.  Every route returns all
+    rows, with all columns, in which a null text becomes an empty one.
     """
     short = bounded_list(words, literal_words)
     if short is not None:
         return pages.withColumn("text", tx.remove_tokens_text(F.col("text"), short))
     if not isinstance(words, DataFrame):
         words = pages.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    split = pages.select("volid", "seq", tx.whitespace_tokens(F.col("text")).alias("tokens"))
-    if kept is not None and fits_broadcast(kept, max_broadcast_rows):
-        rest = map_tokens(split, "tokens", listed=kept, keep_listed=True)
-    elif fits_broadcast(words, max_broadcast_rows):
-        rest = map_tokens(split, "tokens", listed=words)
-    else:
-        listed = words.select(F.col(words.columns[0]).alias("form")).distinct()
-        lost = page_lookup(split, "tokens", F.col("tokens"), listed, max_rows=max_broadcast_rows)
-        rest = lost.withColumn("tokens", F.filter("tokens", lambda t: ~F.array_contains("hits", t)))
-    return rejoin(pages, rest.select("volid", "seq", F.array_join("tokens", " ").alias("text")))
+    split = pages.withColumn("_tokens", tx.whitespace_tokens(F.col("text")))
+    by_kept = kept is not None and fits_broadcast(kept, max_broadcast_rows)
+    rest = mark_words(
+        split, kept if by_kept else words, "_tokens", keep_listed=by_kept,
+        max_broadcast_rows=max_broadcast_rows,
+    )
+    return rest.withColumn("text", F.array_join("_tokens", " ")).select(*pages.columns)
 
 
 def page_frequency(pages: DataFrame, tokens: str = "tokens") -> DataFrame:

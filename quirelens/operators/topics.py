@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -25,12 +26,11 @@ PASSES = 10
 CHUNK = 10_000
 # Fixed value: longest vocabulary.
 VOCABULARY = 2**18
-_SEPARATOR = "\x00"
 
 
 def tokenised(pages: DataFrame) -> DataFrame:
-    """Pages with text, and their tokens."""
-    return pages.where(F.col("text").isNotNull()).withColumn(
+    """Pages with text, and their tokens; an empty page counts as one without text."""
+    return pages.where(F.col("text") != "").withColumn(
         "tokens", tx.tokenise(F.col("text"))
     )
 
@@ -65,8 +65,14 @@ def fit_vocabulary(
 def vocabulary_model(spark: SparkSession, words: list[str], tokens: str) -> CountVectorizerModel:
     """``CountVectorizerModel.from_vocabulary``, with the words handed to the JVM in one
     call instead of one call per word."""
+    if not words:
+        raise ValueError("no page has a term to model")
     jvm = spark._jvm
-    array = jvm.java.util.regex.Pattern.compile(_SEPARATOR).split(_SEPARATOR.join(words), -1)
+    # a separator that no word can hold
+    mark = uuid.uuid4().hex
+    while any(mark in w for w in words):
+        mark = uuid.uuid4().hex
+    array = jvm.java.util.regex.Pattern.compile(mark).split(mark.join(words), -1)
     model = CountVectorizerModel(jvm.org.apache.spark.ml.feature.CountVectorizerModel(array))
     return model.setInputCol(tokens).setOutputCol("features")
 
@@ -122,15 +128,27 @@ def fit_topics(features: DataFrame, k: int, seed: int | None = SEED, **options)
     return lda.fit(features)
 
 
-def fit_topics_minibatch(features: DataFrame, k: int, seed: int = SEED) -> LDAModel:
-    """Second parameter set: ten passes over the corpus in chunks of 10,000 pages."""
+def fit_topics_minibatch(
+    features: DataFrame,
+    k: int,
+    seed: int = SEED,
+    chunk: int = CHUNK,
+    passes: int = PASSES,
+    **options,
+) -> LDAModel:
+    """Second parameter set: ``passes`` over the corpus in chunks of ``chunk`` pages.
+
+    Each chunk is sampled by a scan of all features, so the cost is pages squared over
+    ``chunk``: on a large corpus the chunk should grow with it.
+    """
     n = features.count()
-    chunks = max(1, math.ceil(n / CHUNK))
+    chunks = max(1, math.ceil(n / chunk))
     return fit_topics(
         features, k, seed,
         optimizer="online",
-        subsamplingRate=min(1.0, CHUNK / max(n, 1)),
-        maxIter=PASSES * chunks,
+        subsamplingRate=min(1.0, chunk / max(n, 1)),
+        maxIter=passes * chunks,
+        **options,
     )
 
 

@@ -44,8 +44,17 @@ def flat_pages(sentences: DataFrame) -> DataFrame:
 def page_matches(
     pages: DataFrame, patterns: keywords.Patterns | DataFrame, **options
 ) -> DataFrame:
-    """Pages with at least one keyword: ``text, volid, seq`` and a count per keyword."""
-    return keywords.wide_matches(flat_pages(full_page_sentences(pages, **options)), patterns)
+    """Pages with at least one keyword: ``text, volid, seq`` and a count per keyword.
+
+    A pattern that the regex engine refuses is left out; ``refused_patterns`` names it.
+    """
+    good, _ = keywords.split_patterns(pages, patterns)
+    return keywords.wide_matches(flat_pages(full_page_sentences(pages, **options)), good)
+
+
+def refused_patterns(pages: DataFrame, patterns: keywords.Patterns | DataFrame) -> DataFrame:
+    """Quarantine of ``page_matches``: ``(name, pattern, reason)`` of bad patterns."""
+    return keywords.split_patterns(pages, patterns)[1]
 
 
 def noun_phrase_report(
@@ -58,10 +67,13 @@ def noun_phrase_report(
     tokens = cleaning.page_tokens(pages)
     if lemmas is not None:
         tokens = tk.lemmatise(tokens, lemmas)
+    stops = cleaning.stop_list(stop_words)
+    if stops is None:
+        # a mark is no word, so it ends a run as a stop word does
+        table = cleaning.stop_table(pages, stop_words)
+        tokens = tk.mark_words(tokens, table, mark=cleaning.SENTENCE_BREAK, lower=True)
     found = tokens.select(
-        F.explode(
-            tx.candidate_phrases(F.col("tokens"), cleaning.stop_list(stop_words))
-        ).alias("phrase")
+        F.explode(tx.candidate_phrases(F.col("tokens"), stops or [])).alias("phrase")
     )
     return ph.phrase_counts(found, more_than)
 
@@ -101,14 +113,17 @@ class TopicModel:
 
 
 def topic_features(
-    pages: DataFrame, excluded: DataFrame | None = None, **vocabulary
+    pages: DataFrame,
+    excluded: DataFrame | None = None,
+    partitions: int | None = None,
+    **vocabulary,
 ) -> tuple[CountVectorizerModel, DataFrame]:
     """Vocabulary, and feature vectors in a layout that depends on the keys only."""
     if excluded is not None:
         pages = joins.exclude_pages(pages, excluded)
     tokens = tp.tokenised(pages)
     vocab = tp.fit_vocabulary(tokens, **vocabulary)
-    return vocab, tp.fixed_layout(tp.vectorise(vocab, tokens))
+    return vocab, tp.fixed_layout(tp.vectorise(vocab, tokens), partitions)
 
 
 def topic_model(
@@ -118,17 +133,24 @@ def topic_model(
     seed: int = tp.SEED,
     output: str | None = None,
     minibatch: bool = False,
+    vocabulary: dict | None = None,
+    partitions: int | None = None,
     **options,
 ) -> TopicModel:
-    """Vocabulary, LDA model, scores and topic distribution of all pages."""
-    vocab, features = topic_features(pages, excluded)
-    features = tp.held(features)
-    model = (
-        tp.fit_topics_minibatch(features, k, seed)
-        if minibatch
-        else tp.fit_topics(features, k, seed, **options)
-    )
-    likelihood, perplexity = tp.score_topics(model, features)
+    """Vocabulary, LDA model, scores and topic distribution of all pages.
+
+    ``vocabulary`` goes to ``fit_vocabulary`` (``size``, ``min_pages``); ``partitions``
+    fixes the layout that a seed repeats on, whatever the cluster; ``options`` go to the
+    fit: of LDA, or ``chunk`` and ``passes`` of the minibatch one.
+    """
+    vocab, features = topic_features(pages, excluded, partitions, **(vocabulary or {}))
+    held = tp.held(features)
+    try:
+        fit = tp.fit_topics_minibatch if minibatch else tp.fit_topics
+        model = fit(held, k, seed, **options)
+        likelihood, perplexity = tp.score_topics(model, held)
+    finally:
+        held.unpersist()
     result = tp.assign_topics(model, features).drop("text", "features")
     if output is not None:
         writers.save_model(output, vocab, model)

@@ -51,6 +51,17 @@ def non_null_pages(spark, sf):
     return tp.tokenised(holed).select("volid", "seq")
 
 
+@query("tokenised_nonempty", f"""WITH {DOCS}, d AS (SELECT volid, seq,
+        CASE WHEN seq % 3 = 0 THEN '' ELSE text END AS text FROM docs)
+    SELECT volid, seq, CAST(len(string_split(text, ' ')) AS INTEGER) AS n FROM d WHERE text <> ''""")
+def tokenised_nonempty(spark, sf):
+    """Every third page is empty, as pages are that lose all their words."""
+    from quirelens.operators import topics as tp
+
+    holed = documents(spark, sf).withColumn("text", F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("text")))
+    return tp.tokenised(holed).select("volid", "seq", F.size("tokens").alias("n"))
+
+
 @query("words_and_marks", f"""WITH {DOCS}, {TOKENS}
     SELECT volid, seq, array_to_string(tokens, ' ') AS text FROM tok""")
 def words_and_marks(spark, sf):
@@ -100,6 +111,16 @@ def lemmatise(spark, sf):
     return tk.lemmatise(tokens, lemmas(spark, sf)).select("volid", "seq", F.array_join("tokens", " ").alias("text"))
 
 
+@query("lemmatise_shuffled", f"""WITH {DOCS}, {TOKENS}, {LEMMAS}, {LEMMATISED.format(src='tok')}
+    SELECT volid, seq, array_to_string(tokens, ' ') AS text FROM lj""")
+def lemmatise_shuffled(spark, sf):
+    """The route for lemma tables too large to be broadcast."""
+    tokens = cl.page_tokens(documents(spark, sf)).withColumn(
+        "tokens", F.filter("tokens", lambda t: t != cl.SENTENCE_BREAK))
+    return tk.lemmatise(tokens, lemmas(spark, sf), max_broadcast_rows=0).select(
+        "volid", "seq", F.array_join("tokens", " ").alias("text"))
+
+
 @query("candidate_phrases", f"""WITH {DOCS}, {TOKENS}
     SELECT volid, seq, array_to_string({phrase_sql('tok', 'tokens')}, '|') AS phrases FROM tok""")
 def candidate_phrases(spark, sf):
@@ -132,6 +153,18 @@ def fuse_phrases(spark, sf):
     return ph.fuse_phrases(flat, phrases(spark, sf)).select("volid", "seq", "text")
 
 
+@query("fuse_phrases_shuffled", f"""WITH {DOCS}, {TOKENS}, {PHRASES},
+    low AS (SELECT volid, seq, lower(array_to_string(tokens, ' ')) AS text FROM tok)
+    SELECT volid, seq, {fuse_sql('text')} AS text FROM low, plist""")
+def fuse_phrases_shuffled(spark, sf):
+    """The route for phrase lists too long to be written into the plan or broadcast."""
+    flat = documents(spark, sf).withColumn(
+        "text", F.lower(F.array_join(tx.words_and_marks(F.col("text")), " ")))
+    return ph.fuse_phrases(
+        flat, phrases(spark, sf), literal_phrases=0, max_broadcast_rows=0
+    ).select("volid", "seq", "text")
+
+
 # Sentences are separated by a tab; a rewritten page keeps that tab.
 TABBED = """tab AS (SELECT volid, seq, replace(text, '. ', '.' || chr(9)) AS text FROM docs)"""
 CLEANED = rf"""sen AS (SELECT volid, seq, unnest(string_split(text, chr(9))) AS s,
@@ -160,6 +193,14 @@ def clean_pages(spark, sf):
     ).select("volid", "seq", "text")
 
 
+@query("clean_pages_shuffled", f"WITH {DOCS}, {LEMMAS}, {PHRASES}, {TABBED}, {CLEANED} SELECT volid, seq, text FROM cleaned")
+def clean_pages_shuffled(spark, sf):
+    """As clean_pages, with nothing broadcast."""
+    return jobs.clean_pages(
+        tabbed(spark, sf), STOP_WORDS, REWRITES, phrases(spark, sf), lemmas(spark, sf), max_broadcast_rows=0
+    ).select("volid", "seq", "text")
+
+
 FREQ = "freq AS (SELECT token, count(*) AS num_pages FROM (SELECT unnest(list_distinct(tokens)) AS token FROM ws) GROUP BY token)"
 OUT = "outl AS (SELECT token, num_pages FROM freq WHERE num_pages < 3 OR num_pages > 60)"
 

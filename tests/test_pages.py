@@ -8,17 +8,17 @@ from quirelens.operators import pages as pg
 from quirelens.plans import jobs
 
 VOLUME = [
-    ("lib.1234", 1, "\n   This is the first\nsentence.  This is\nthe second sen-\ntence, and it's nice.\n\n   This is the third\n"),
-    ("lib.1234", 2, "\nsentence. I am running\nout of ideas.\n"),
-    ("lib.1234", 3, ""),
-    ("lib.1234", 4, "\nThis is the fifth sentence."),
-    ("lib.1234", 5, ""),
+    ("shelf.77", 1, "\n  Rain fell on\nthe roof.  Nobody\nwent out-\nside, so they read.\n\n  Then at noon\n"),
+    ("shelf.77", 2, "\nthe post came. A letter\nlay on top.\n"),
+    ("shelf.77", 3, ""),
+    ("shelf.77", 4, "\nIt was late in May."),
+    ("shelf.77", 5, ""),
 ]
 EXPECTED = {
-    1: ["This is the first\nsentence.", "This is\nthe second sentence,\nand it's nice.", "This is the third sentence."],
-    2: ["I am running\nout of ideas."],
+    1: ["Rain fell on\nthe roof.", "Nobody\nwent outside,\nso they read.", "Then at noon the post came."],
+    2: ["A letter\nlay on top."],
     3: [],
-    4: ["This is the fifth sentence."],
+    4: ["It was late in May."],
     5: [],
 }
 

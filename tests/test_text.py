@@ -20,29 +20,30 @@ def texts(df):
     return [r["text"] for r in df.orderBy("seq").collect()]
 
 
+# look-behind, inline flag, letters by class, bounded repetition, a match over a sentence end
 PATTERNS = [
-    ("acronym", r'(?<=^|[\s("])(?:ABC(?:s|S)?\b|A\.B\.C\.\B)'),
-    ("native", r"(?i)\bnatives?\b"),
-    ("compound", r"(?i)\bnorth(-|\s)?americ\p{L}+\b"),
-    ("near", r"(?i)\bperson\b(?:\p{P}?\s?\S+\b){0,3}.alien\b"),
-    ("across", r"end\.\s+Next"),
+    ("priced", r"(?<=£|\$)\d+(?:\.\d\d)?"),
+    ("ship", r"(?i)\bships?\b"),
+    ("port", r"(?i)\bport[ -]?of[ -]?\p{Lu}\p{L}*"),
+    ("cargo", r"\bcargo\b(?:\W+\w+){1,2}\W+tea\b"),
+    ("over", r"sailed\.\s+Later"),
 ]
 
 
 def test_keyword_counts(spark):
     df = pages(
         spark,
-        'The ABC and ABCs, "ABC" but not xABC. Natives, a native; NATIVE!',
-        "north american, North-Americans, northamericanos",
-        "the person who is an alien came to the end.\tNext sentence",
+        "Paid £12.50 and $3, not 7. Two Ships, one ship; SHIP!",
+        "the Port of Leith, port-of-Hull and PORT OF Wick",
+        "a cargo of fine tea, and then it sailed.\tLater it came back",
         "nothing",
         None,
     )
     wide = {r["seq"]: r for r in kw.wide_matches(df, PATTERNS).collect()}
     assert sorted(wide) == [0, 1, 2]
-    assert (wide[0]["acronym"], wide[0]["native"]) == (3, 3)
-    assert wide[1]["compound"] == 3
-    assert (wide[2]["near"], wide[2]["across"]) == (1, 1)
+    assert (wide[0]["priced"], wide[0]["ship"]) == (2, 3)
+    assert wide[1]["port"] == 3
+    assert (wide[2]["cargo"], wide[2]["over"]) == (1, 1)
     hits = kw.count_keywords(df, PATTERNS)
     long = {(r["seq"], r["keyword"]): r["n"] for r in hits.collect()}
     assert long == {(s, n): wide[s][n] for s in wide for n, _ in PATTERNS if wide[s][n]}
@@ -52,9 +53,61 @@ def test_keyword_counts(spark):
     assert sorted(kw.count_keywords(df, table).collect()) == sorted(hits.collect())
 
 
-def test_bad_pattern_is_named(spark):
-    bad = kw.check_patterns(spark.range(1), [("ok", "a+"), ("open", "(a")])
-    assert [n for n, _ in bad] == ["open"]
+def test_bad_pattern_is_set_aside(spark):
+    df = pages(spark, "One ship sailed. Two came back.", "no match")
+    listed = [*PATTERNS, ("open", "(a")]
+    assert [r["seq"] for r in jobs.page_matches(df, listed, running_lines=False).collect()] == [0]
+    assert [r["name"] for r in jobs.refused_patterns(df, listed).collect()] == ["open"]
+
+
+def test_pattern_blocks(spark, monkeypatch):
+    df = pages(spark, "One ship, two ships for £5")
+    want = sorted(kw.count_keywords(df, PATTERNS).collect())
+    monkeypatch.setattr(kw, "BLOCK_PATTERNS", 2)
+    assert sorted(kw.count_keywords(df, PATTERNS).collect()) == want
+
+
+ROWS = [
+    ("a", 1, "The x one", "k1"), ("a", 1, "the Y two", "k2"), (None, 2, "x y", "k3"),
+    ("b", None, "one two", "k4"), ("a", 1, "The x one", "k1"), ("c", 3, None, "k5"),
+]
+
+
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_every_route_keeps_every_row(spark, rows):
+    """Repeated keys, null keys and one more column, on the broadcast and the shuffled route."""
+    df = spark.createDataFrame(ROWS, "volid string, seq int, text string, note string")
+
+    def seen(out):
+        assert out.columns == df.columns
+        return sorted((r["note"], r["text"] or "") for r in out.collect())
+
+    words = ["x", "two"]
+    assert seen(tk.remove_words(df, words, literal_words=0, max_broadcast_rows=rows)) == seen(tk.remove_words(df, words))
+    listed = spark.createDataFrame([("x",), ("two",)], "w string")
+    kept = spark.createDataFrame([(w,) for w in ("The", "the", "Y", "y", "one")], "w string")
+    by_kept = tk.remove_words(df, listed, kept=kept, literal_words=0, max_broadcast_rows=rows)
+    assert seen(by_kept) == seen(tk.remove_words(df, words))
+    many = ["x one", "one two", "a, b"]
+    assert seen(ph.fuse_phrases(df, many, literal_phrases=0, max_broadcast_rows=rows)) == seen(ph.fuse_phrases(df, many))
+    lemmas = spark.createDataFrame([("one", "eins"), ("y", "ypsilon")], "form string, lemma string")
+    clean = cl.preprocess_pages(df, ["the"], lemmas=lemmas, max_broadcast_rows=rows)
+    assert seen(clean) == [("k1", "eins"), ("k1", "eins"), ("k2", "ypsilon two"), ("k3", "ypsilon"), ("k4", "eins two"), ("k5", "")]
+
+
+def test_long_stop_list(spark, monkeypatch):
+    df = pages(spark, "The quick brown fox. The lazy dog", "quick brown bread")
+    short = texts(cl.preprocess_pages(df, ["the", "lazy"]))
+    phrases = sorted(jobs.noun_phrase_report(df, ["the", "lazy"], more_than=0).collect())
+    monkeypatch.setattr(cl, "LITERAL_WORDS", 1)
+    assert texts(cl.preprocess_pages(df, ["the", "lazy"])) == short
+    assert sorted(jobs.noun_phrase_report(df, ["the", "lazy"], more_than=0).collect()) == phrases
+
+
+def test_odd_phrases_beyond_the_literal_list(spark):
+    df = pages(spark, "a well-known man, St. Mary 12 of the town", "x-ray film and St. Mary")
+    odd = ["well-known man", "St. Mary", "x-ray film", "Mary 12"] + [f"q{i}- z" for i in range(120)]
+    assert texts(ph.fuse_phrases(df, odd, literal_phrases=1)) == texts(ph.fuse_phrases(df, odd, literal_phrases=1000))
 
 
 def test_many_patterns(spark):

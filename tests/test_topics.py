@@ -93,3 +93,20 @@ def test_page_without_known_terms(spark):
     blind = tp.vectorise(vocabulary, spark.createDataFrame([("b", 1, ["q"])], "volid string, seq int, tokens array<string>"))
     got = tp.assign_topics(model, blind).select(ax.topic_array(F.col("topicDistribution")).alias("w")).first()["w"]
     assert got == [0.0, 0.0]
+
+
+def test_vocabulary_with_any_character(spark):
+    from quirelens.operators import topics as tp
+
+    words = ["b\x00c", "dog", "\x00", "x|y"]
+    model = tp.vocabulary_model(spark, words, "tokens")
+    assert list(model.vocabulary) == words
+    with pytest.raises(ValueError, match="no page has a term"):
+        tp.vocabulary_model(spark, [], "tokens")
+
+
+def test_empty_pages_are_not_modelled(spark):
+    from quirelens.operators import topics as tp
+
+    df = spark.createDataFrame([("a", 1, ""), ("a", 2, None), ("a", 3, "one two")], "volid string, seq int, text string")
+    assert [r["seq"] for r in tp.tokenised(df).collect()] == [3]
