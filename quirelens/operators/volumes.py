@@ -8,35 +8,52 @@ from pyspark.sql import functions as F
 from quirelens.functions.ids import volume_path
 
 _FILE = "array<struct<_MIMETYPE: string, _SEQ: string>>"
-_GROUP = f"struct<_USE: string, file: {_FILE}, fileGrp: array<struct<_USE: string, file: {_FILE}>>>"
-METS_SCHEMA = f"fileSec struct<fileGrp: array<{_GROUP}>>"
+# Levels of file groups that are read; metadata in use has two or three.
+DEPTH = 8
+# What may follow the root element: white space, comments, processing instructions.
+_AFTER = r"(?:\s|<!--(?:(?!-->)[\s\S])*-->|<\?(?:(?!\?>)[\s\S])*\?>)*"
+
+
+def _group(depth: int) -> str:
+    inner = f", fileGrp: array<{_group(depth - 1)}>" if depth > 1 else ""
+    return f"struct<_USE: string, file: {_FILE}{inner}>"
+
+
+def _all_groups(groups: Column, depth: int) -> Column:
+    """File groups of every level as ``(use, file)``, in document order."""
+    flat = f"array<struct<use: string, file: {_FILE}>>"
+
+    def one(g: Column) -> Column:
+        own = F.array(F.struct(g["_USE"].alias("use"), g["file"].alias("file")))
+        if depth == 1:
+            return own
+        return F.concat(own, F.coalesce(_all_groups(g["fileGrp"], depth - 1), F.array().cast(flat)))
+
+    return F.flatten(F.transform(groups, one))
+
+
+def well_ended(xml: Column) -> Column:
+    """Whether nothing but white space, comments and instructions follows the root element."""
+    root = F.regexp_extract(xml, r"<([A-Za-z_][\w:.-]*)[\s/>]", 1)
+    quoted = F.concat(F.lit("\\Q"), root, F.lit("\\E"))
+    # up to the first end of the root where it stands once, else up to the last
+    once = F.regexp_count(xml, F.concat(F.lit("<"), quoted, F.lit(r"[\s/>]"))) == 1
+    tail = F.when(
+        once, F.regexp_replace(xml, F.concat(F.lit(r"^[\s\S]*?</"), quoted, F.lit(r"\s*>")), F.lit(""))
+    ).otherwise(F.regexp_replace(xml, F.concat(F.lit(r"^[\s\S]*</"), quoted, F.lit(r"\s*>")), F.lit("")))
+    return tail.rlike(f"^{_AFTER}$")
 
 
 def mets_last_seq(xml: Column, strict: bool = False) -> Column:
-    """SEQ of the last plain-text file in the OCR file group.
+    """SEQ of the last plain-text file in the OCR file group, on whatever level it is.
 
-    Null when the document does not parse or has no such file.  ``strict``
-    accepts the file only if it is the last of any type in its group.
+    Null when the document does not parse, goes on after its root element or has no such
+    file.  ``strict`` accepts the file only if it is the last of any type in its group.
     """
-    parsed = F.from_xml(
-        xml, F.lit(METS_SCHEMA), {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
-    )
-    groups = F.coalesce(
-        parsed["fileSec"]["fileGrp"],
-        F.lit(None).cast(f"array<{_GROUP}>"),
-    )
-    nested = F.flatten(
-        F.transform(
-            groups,
-            lambda g: F.concat(
-                F.array(F.struct(g["_USE"].alias("use"), g["file"].alias("file"))),
-                F.transform(
-                    F.coalesce(g["fileGrp"], F.array().cast(f"array<struct<_USE: string, file: {_FILE}>>")),
-                    lambda h: F.struct(h["_USE"].alias("use"), h["file"].alias("file")),
-                ),
-            ),
-        )
-    )
+    schema = f"fileSec struct<fileGrp: array<{_group(DEPTH)}>>"
+    whole = F.when(well_ended(xml), xml)
+    parsed = F.from_xml(whole, F.lit(schema), {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    nested = _all_groups(parsed["fileSec"]["fileGrp"], DEPTH)
     ocr = F.filter(nested, lambda g: (g["use"] == "ocr") & g["file"].isNotNull())
 
     def plain(files: Column) -> Column:

@@ -94,7 +94,7 @@ def topic_scores(spark, sf):
 @query("sweep_k")
 def sweep_k(spark, sf):
     _, vectors = jobs.topic_features(cleaned_pages(spark, sf), excluded(spark, sf))
-    return tp.sweep_k(vectors, (2, 6, 10), seed=tp.SEED, maxIter=5)
+    return tp.sweep_k(vectors, seed=tp.SEED)
 
 
 LEN = "dl AS (SELECT CAST(doc_id AS INTEGER) AS seq, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS doc_length FROM documents)"
@@ -131,12 +131,12 @@ def topic_distance(spark, sf):
     return ins.topic_distance(topic_terms(spark, sf)).select("topic_a", "topic_b", *r6("divergence"))
 
 
-# Topics for the coherence: the ten most frequent lower-case words of each language.
+# Topics for the coherence: the twenty most frequent lower-case words of each language.
 CO_TOPICS = """ct AS (
   SELECT topic, term FROM (
     SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, term) AS r
     FROM (SELECT lang AS topic, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents)
-    GROUP BY topic, term) WHERE r <= 10)"""
+    GROUP BY topic, term) WHERE r <= 20)"""
 CO_PAIRS = f"""{CO_TOPICS},
 lw AS (SELECT source AS volid, doc_id AS seq, regexp_extract_all(lower(text), '\\p{{L}}+') AS tokens FROM documents),
 win AS (SELECT volid, seq, unnest(range(0, greatest(len(tokens) - 109, 1))) AS st, tokens FROM lw WHERE len(tokens) > 0),
@@ -167,7 +167,7 @@ def coherence_topics(spark, sf):
         F.col("lang").alias("topic"),
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("term"))
     counted = words.groupBy("topic", "term").agg(F.count("*").alias("weight"))
-    return ins.top_terms(counted, 10).select("topic", "term")
+    return ins.top_terms(counted, 20).select("topic", "term")
 
 
 def _pairs(spark, sf):
