@@ -270,13 +270,16 @@ def _repeats(shape, row, at, value, first, count, origin):
     if not len(own):
         return []
     # a minimiser that stands only once among the distinct strings: nothing to share
-    seeds = np.append(arrays.rolled(value, shape.seed), np.uint64(2**64 - 1))
-    last = first[own] + count[own] + shape.length - shape.seed
-    ranges = np.column_stack([first[own], last]).ravel()
+    width = count[own] + shape.length - 1
+    inner = np.cumsum(width) - width
+    seeds = np.append(
+        arrays.rolled(arrays.gathered(value, first[own], width), shape.seed), np.uint64(2**64 - 1)
+    )
+    size = width - shape.seed + 1
+    ranges = np.column_stack([inner, inner + size]).ravel()
     least = np.minimum.reduceat(seeds, ranges)[::2]
-    size = last - first[own]
     times = np.add.reduceat(
-        arrays.gathered(seeds, first[own], size) == np.repeat(least, size), np.cumsum(size) - size
+        arrays.gathered(seeds, inner, size) == np.repeat(least, size), np.cumsum(size) - size
     )
     _, back = np.unique(least, return_inverse=True)
     own = own[np.bincount(back, times)[back] > 1]
