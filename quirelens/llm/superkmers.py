@@ -29,7 +29,7 @@ BUCKET_BYTES = 8 << 20
 #: A bucket is worked off in so many parts, so that arrays stay small.
 PARTS = 8
 PACKED = "bucket int, kind int, blob binary"
-SPANS = "_row long, spans binary"
+ADDRESSED = "dest int, blob binary"
 
 
 @dataclass(frozen=True)
@@ -136,8 +136,8 @@ def seeds(shape: Windows, buckets: int) -> Callable:
     return work
 
 
-def shared_seeds(group: pa.Table) -> pa.Table:
-    """applyInArrow function: runs whose minimiser stands in two documents or more."""
+def shared_seeds(group: pa.Table, buckets: int) -> pa.Table:
+    """Of a bucket, the runs whose minimiser stands in two documents or more."""
     rows, places, least = [], [], []
     for blob in group["blob"].to_pylist():
         n = int.from_bytes(blob[:8], "little")
@@ -154,11 +154,37 @@ def shared_seeds(group: pa.Table) -> pa.Table:
     row, place = row[many], place[many]
     order = np.lexsort((place, row))
     row, place = row[order], place[order]
-    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
-    lists = [place[a:b].astype("<i4").tobytes() for a, b in zip(begin, [*begin[1:], len(row)])]
-    return pa.table(
-        {"_row": pa.array(row[begin] if len(row) else [], pa.int64()), "runs": pa.array(lists, pa.binary())}
-    )
+    return addressed(row, place, buckets)
+
+
+def addressed(row: np.ndarray, value: np.ndarray, buckets: int) -> pa.Table:
+    """Numbers by row, packed into one blob per group of rows they go to."""
+    dest = (arrays.mixed(row.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    dest, row, value = dest[order], row[order], value[order]
+    begin = np.flatnonzero(np.append(True, dest[1:] != dest[:-1])) if len(dest) else np.zeros(0, np.int64)
+    blobs = [
+        (int(b) - int(a)).to_bytes(8, "little")
+        + zstandard.ZstdCompressor(level=1).compress(_planes(row[a:b], "<i8") + _planes(value[a:b], "<i4"))
+        for a, b in zip(begin, [*begin[1:], len(dest)])
+    ]
+    return pa.table({"dest": pa.array(dest[begin], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+def collected(group: pa.Table) -> pa.Table:
+    """applyInArrow function of a group of rows: ``(_row, numbers)``, all of a row together."""
+    rows, values = [], []
+    for blob in group["blob"].to_pylist():
+        n = int.from_bytes(blob[:8], "little")
+        raw = memoryview(zstandard.ZstdDecompressor().decompress(blob[8:]))
+        rows.append(_numbers(raw[: 8 * n], n, "<i8"))
+        values.append(_numbers(raw[8 * n :], n, "<i4"))
+    row, value = np.concatenate(rows), np.concatenate(values)
+    order = np.argsort(row, kind="stable")
+    row, value = row[order], value[order].astype("<i4")
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    lists = [value[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(row)])]
+    return pa.table({"_row": pa.array(row[begin], pa.int64()), "numbers": pa.array(lists, pa.binary())})
 
 
 def _chosen(batch: pa.RecordBatch, number: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -167,8 +193,7 @@ def _chosen(batch: pa.RecordBatch, number: np.ndarray, own: np.ndarray) -> np.nd
     base = np.searchsorted(own, np.arange(len(number)))
     out = np.zeros(len(own), bool)
     for i, row in enumerate(number.tolist()):
-        for listed in lists[row] or ():
-            out[base[i] + np.frombuffer(listed, "<i4")] = True
+        out[base[i] + np.frombuffer(lists[row], "<i4")] = True
     return out
 
 
@@ -225,7 +250,7 @@ def _split(out, kind, bucket, row, at, size, content) -> None:
         out.append((int(bucket[a]), kind, _blob(part[a:b], row[a:b], at[a:b], size[a:b], body)))
 
 
-def resolve(shape: Windows) -> Callable:
+def resolve(shape: Windows, buckets: int) -> Callable:
     """applyInArrow function of a bucket: spans of symbols that repeat earlier windows."""
 
     def work(group: pa.Table) -> pa.Table:
@@ -246,7 +271,7 @@ def resolve(shape: Windows) -> Callable:
                 if len(own):
                     content = arrays.gathered(data, begin[own], size[own].astype(np.int64))
                     found += _part(shape, row[own], at[own], size[own], content)
-        return _spans(found, shape.length)
+        return _spans(found, shape.length, buckets)
 
     return work
 
@@ -316,19 +341,20 @@ def _repeats(shape, row, at, value, first, count, origin):
     return spans
 
 
-def _spans(found, length: int) -> pa.Table:
-    """One row per document: its spans [first symbol, last symbol + 1), joined where they touch."""
+def _spans(found, length: int, buckets: int) -> pa.Table:
+    """Spans [first symbol, last symbol + 1) by document, joined where they touch."""
     row, at, count = (
         (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     )
     order = np.lexsort((at, row))
     row, at, stop = row[order].astype(np.int64), at[order].astype(np.int64), (at + count + length - 1)[order]
     begins = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
-    rows, spans = [], []
+    rows, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(begins, [*begins[1:], len(row)]):
-        rows.append(int(row[a]))
-        spans.append(joined(at[a:b], stop[a:b]).astype("<i4").tobytes())
-    return pa.table({"_row": pa.array(rows, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        own = joined(at[a:b], stop[a:b]).ravel()
+        rows.append(np.full(len(own), row[a]))
+        spans.append(own)
+    return addressed(np.concatenate(rows), np.concatenate(spans), buckets)
 
 
 def joined(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -340,11 +366,11 @@ def joined(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.column_stack([start[new], reach[last]])
 
 
-def removed_spans(lists: list[bytes] | None) -> np.ndarray:
+def removed_spans(numbers: bytes | None) -> np.ndarray:
     """Spans of one document from all its buckets, joined."""
-    if not lists:
+    if not numbers:
         return np.zeros((0, 2), np.int64)
-    pairs = np.concatenate([np.frombuffer(x, "<i4") for x in lists]).reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(numbers, "<i4").reshape(-1, 2).astype(np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     return joined(pairs[:, 0], pairs[:, 1])
 
@@ -358,9 +384,10 @@ def repeated(rows: DataFrame, shape: Windows) -> DataFrame:
             rows.select("_row", "text")
             .mapInArrow(seeds(shape, buckets), "bucket int, blob binary")
             .groupBy("bucket")
-            .applyInArrow(shared_seeds, "_row long, runs binary")
-            .groupBy("_row")
-            .agg(F.collect_list("runs").alias("runs"))
+            .applyInArrow(lambda group: shared_seeds(group, buckets), ADDRESSED)
+            .groupBy("dest")
+            .applyInArrow(collected, "_row long, numbers binary")
+            .withColumnRenamed("numbers", "runs")
         )
         # all columns, as in with_spans: the shuffle of the texts is the same and made once
         wanted = rows.join(shared, "_row")
@@ -369,9 +396,10 @@ def repeated(rows: DataFrame, shape: Windows) -> DataFrame:
     return (
         wanted.mapInArrow(pack(shape, buckets), PACKED)
         .groupBy("bucket")
-        .applyInArrow(resolve(shape), SPANS)
-        .groupBy("_row")
-        .agg(F.collect_list("spans").alias("spans"))
+        .applyInArrow(resolve(shape, buckets), ADDRESSED)
+        .groupBy("dest")
+        .applyInArrow(collected, "_row long, numbers binary")
+        .withColumnRenamed("numbers", "spans")
     )
 
 
