@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.arrays import mixed, span_hashes
+from quirelens.llm.arrays import gathered, mixed, span_hashes
 from quirelens.llm.langid import _is_letter
 from quirelens.llm.rows import bounded_sample
 
@@ -29,6 +29,7 @@ PREFIXES = (4, 5)
 VOCABULARY, LEAST_TEXTS = 20_000, 3
 #: Labelled rows and the length of texts that the network is fitted on.
 FIT_ROWS, FIT_CHARS = 4_000, 20_000
+FIT_GROUP = 200
 EPOCHS, TEXTS_PER_STEP = 4, 64
 #: A small sample is passed more often, until there were this many steps.
 LEAST_STEPS = 150
@@ -223,28 +224,37 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed:
     label = np.array([t for _, t in got], np.float32)
     if not len(got) or label.min() == label.max():
         return Network(np.zeros(0, np.uint64), constant=float(label[0]) if len(got) else 0.0)
-    text, key, trigrams, edge = words([t for t, _ in got])
+    # in groups of texts, so that the driver holds the sample's words, not its features
+    seen_char, bad_char = np.zeros((2, TRIGRAMS))
+    parts: list[tuple[np.ndarray, ...]] = []
+    for i in range(0, len(got), FIT_GROUP):
+        of = label[i : i + FIT_GROUP]
+        text, key, trigrams, edge = words([t for t, _ in got[i : i + FIT_GROUP]])
+        own, place = np.unique(key, return_index=True)
+        size = np.diff(edge)[place]
+        parts.append((text + i, key, own, size, gathered(trigrams, edge[:-1][place], size).astype(np.uint16)))
+        pairs = np.unique(trigrams * len(of) + np.repeat(text, np.diff(edge)))
+        seen_char += np.bincount(pairs // len(of), minlength=TRIGRAMS)
+        bad_char += np.bincount(pairs // len(of), of[pairs % len(of)], TRIGRAMS)
+    text, key, own, size, features = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
     count = np.bincount(text, minlength=len(got))
-    distinct, place, back = np.unique(key, return_index=True, return_inverse=True)
+    # words of the sample are handled as distinct ones
+    distinct, place = np.unique(own, return_index=True)
+    tri = gathered(features, (np.cumsum(size) - size)[place], size[place]).astype(np.int64)
+    tri_edge = np.concatenate([[0], np.cumsum(size[place])])
+    back = np.searchsorted(distinct, key)
     pairs = np.unique(back.astype(np.int64) * len(got) + text)
     seen = np.bincount(pairs // len(got), minlength=len(distinct))
     bad = np.bincount(pairs // len(got), label[pairs % len(got)], len(distinct))
     often = np.flatnonzero(seen >= LEAST_TEXTS)
     often = np.sort(often[np.argsort(-seen[often], kind="stable")[:VOCABULARY]])
     network = Network.start(distinct[often], seed)
-    # a word starts out along one axis by how much more often toxic texts have it
+    # a word starts out along one axis by how much more often toxic texts have it, and so
+    # does a character feature
     odds = lambda bad, all_, n: np.log((bad + 0.5) / (all_ - bad + 0.5) * (n - label.sum() + 1) / (label.sum() + 1))
     network.p["word"][:-1, 0] = np.clip(odds(bad, seen, len(got))[often], -3, 3) / 3
-    # words of the sample are handled as distinct ones
-    size = np.diff(edge)[place]
-    own = np.repeat(edge[:-1][place] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    tri, tri_edge = trigrams[own], np.concatenate([[0], np.cumsum(size)])
-    # and so does a character feature
-    of = pairs // len(got)
-    at = np.repeat(tri_edge[:-1][of] - (np.cumsum(size[of]) - size[of]), size[of]) + np.arange(size[of].sum())
-    both = np.unique(tri[at] * len(got) + np.repeat(pairs % len(got), size[of]))
-    seen = np.bincount(both // len(got), minlength=TRIGRAMS)
-    bad = np.bincount(both // len(got), label[both % len(got)], TRIGRAMS)
+    seen, bad = seen_char, bad_char
     network.p["char"][:, 0] = np.clip(odds(bad, seen, len(got)), -3, 3) / 3
     row = network.word_rows(distinct)
     rng = np.random.default_rng(seed)
