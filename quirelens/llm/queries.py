@@ -117,7 +117,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = labels(spark, sf_dir, "quality").where("quality = 1").select("doc_id", F.lit(True).alias("is_target"))
-    marked = docs.join(good, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    # the same plan at every size: beyond a small table the labels cannot be broadcast
+    marked = docs.join(good.hint("merge"), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
     return lm.score(docs, lm.fit(marked)).select(
         "doc_id", "n_tokens", "target_loss", "background_loss", F.col("lm_score").alias("score")
     )

@@ -133,6 +133,28 @@ def test_lm_like_brute_force(spark, monkeypatch):
     assert lm.score(docs.limit(0).drop("n_tokens"), lm.fit(docs.limit(0))).count() == 0
 
 
+def test_lm_tells_rare_scripts_apart(spark, monkeypatch):
+    """A Greek text scores by its letters where Latin fills the most frequent characters."""
+    latin = "".join(map(chr, range(33, 127))) * 30
+    texts = [(latin, False)] * 4 + [("καλημέρα κόσμε", True), ("θύψξωφβζηδ γχσπ", False)]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "doc_id long, text string, is_target boolean")
+    models = lm.fit(docs)
+    asked = spark.createDataFrame(
+        [(0, "καλημέρα"), (1, "θύψξωφβζ"), (2, "never 見た"), (3, None), (None, "καλημέρα"), (3, "")], "doc_id long, text string"
+    )
+    rows = lambda: sorted(map(tuple, lm.score(asked, models).collect()), key=repr)
+    want = rows()
+    by = {r[1]: r for r in want}
+    assert by["καλημέρα"][5] < by["θύψξωφβζ"][5] and by["never 見た"][3] > 0
+    # the same by the join, with hardly anything and nothing in memory
+    for head in (7, 0):
+        monkeypatch.setattr(lm, "HEAD_ROWS", head)
+        got = rows()
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        for a, b in zip(got, want):
+            assert all(x is y is None or math.isclose(x, y, abs_tol=1e-9) for x, y in zip(a[3:], b[3:]))
+
+
 def test_lm_prefers_good_texts(spark, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     means = {
