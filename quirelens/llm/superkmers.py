@@ -8,7 +8,9 @@ windows are sorted and every copy of an earlier one is reported.
 
 Equal packed strings are collapsed before the shuffle and again in the bucket: what a
 thousand copies share is sent once per slice of text and sorted once, so one passage in
-a third of all documents fills no bucket.
+a third of all documents fills no bucket.  What each document has around such a passage
+differs but has the passage's minimisers.  So minimisers with many distinct strings are
+found first, and their windows are sent one by one to the bucket of the whole window.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from quirelens.llm import arrays
 BUCKET_BYTES = 8 << 20
 #: A bucket is worked off in so many parts, so that arrays stay small.
 PARTS = 8
+#: A minimiser with so many distinct strings is hot: its windows are dealt one by one.
+HOT_STRINGS = 20_000
+#: Strings are counted in one document of so many.
+SAMPLE = 64
 PACKED = "bucket int, kind int, blob binary"
 ADDRESSED = "dest int, blob binary"
 
@@ -105,8 +111,40 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     )
 
 
-def seeds(shape: Windows, buckets: int) -> Callable:
-    """mapInArrow function: by bucket, 32 bits of each run's minimiser and where it is."""
+def hot_minimisers(rows: DataFrame, shape: Windows) -> np.ndarray:
+    """Minimisers of very many distinct strings, from a share of the documents.
+
+    Which ones are found decides where windows meet, never what is found.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, edges in arrays.text_slices(batch["_row"], batch["text"]):
+                _, _, text, value = shape.symbols(data, edges)
+                first, count, least = runs(shape, value, text)
+                key = arrays.span_hashes(value, first, first + count + shape.length - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(least.view(np.int64)), pa.array(key.view(np.int64))], names=["least", "key"]
+                )
+
+    found = (
+        rows.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLE)) == 0)
+        .select("_row", "text")
+        .mapInArrow(work, "least long, key long")
+        .distinct()
+        .groupBy("least")
+        .count()
+        .where(F.col("count") >= HOT_STRINGS / SAMPLE)
+        .collect()
+    )
+    return np.array([r.least for r in found], np.int64).view(np.uint64)
+
+
+def seeds(shape: Windows, buckets: int, hot: np.ndarray) -> Callable:
+    """mapInArrow function: by bucket, 32 bits of each run's minimiser and where it is.
+
+    Runs of hot minimisers are shared without being counted.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,6 +153,8 @@ def seeds(shape: Windows, buckets: int) -> Callable:
                 first, _, least = runs(shape, value, text)
                 own = text[first]
                 place = np.arange(len(first)) - np.searchsorted(own, own)
+                counted = ~np.isin(least, hot)
+                own, place, least = own[counted], place[counted], least[counted]
                 least = arrays.mixed(least)
                 bucket = (least % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -193,11 +233,11 @@ def _chosen(batch: pa.RecordBatch, number: np.ndarray, own: np.ndarray) -> np.nd
     base = np.searchsorted(own, np.arange(len(number)))
     out = np.zeros(len(own), bool)
     for i, row in enumerate(number.tolist()):
-        out[base[i] + np.frombuffer(lists[row], "<i4")] = True
+        out[base[i] + np.frombuffer(lists[row] or b"", "<i4")] = True
     return out
 
 
-def pack(shape: Windows, buckets: int) -> Callable:
+def pack(shape: Windows, buckets: int, hot: np.ndarray) -> Callable:
     """mapInArrow function: packed strings by bucket (kind 0), known copies (kind 1)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,18 +246,25 @@ def pack(shape: Windows, buckets: int) -> Callable:
                 out: list[tuple[int, int, bytes]] = []
                 start, end, text, value = shape.symbols(data, edges)
                 first, count, least = runs(shape, value, text)
+                single = np.isin(least, hot)
                 if shape.counted:
-                    chosen = _chosen(batch, number, text[first])
-                    first, count, least = first[chosen], count[chosen], least[chosen]
+                    chosen = _chosen(batch, number, text[first]) | single
+                    first, count, least, single = first[chosen], count[chosen], least[chosen], single[chosen]
                 if not len(first):
                     continue
+                # a run of a hot minimiser becomes runs of one window each
+                times = np.where(single, count, 1)
+                which = np.repeat(np.arange(len(first)), times)
+                first = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                count, least, single = np.where(single, 1, count)[which], least[which], single[which]
                 row = number[text[first]]
                 base = np.searchsorted(text, np.arange(len(number)))
                 at = first - base[text[first]]
                 key = arrays.span_hashes(value, first, first + count + shape.length - 1)
                 origin, _ = copies(key, row, at)
                 known = row > row[origin] if shape.across else origin != np.arange(len(key))
-                bucket = (arrays.mixed(least) % np.uint64(PARTS * buckets)).astype(np.int64)
+                deal = np.where(single, key, least)
+                bucket = (arrays.mixed(deal) % np.uint64(PARTS * buckets)).astype(np.int64)
                 own = arrays.mixed(row.astype(np.uint64)) % np.uint64(buckets)
                 own = own.astype(np.int64) * PARTS
                 _split(out, 1, own[known], row[known], at[known], count[known], None)
@@ -379,10 +426,11 @@ def repeated(rows: DataFrame, shape: Windows) -> DataFrame:
     """``(_row, spans)`` for the rows of ``rows(_row, text)`` that repeat earlier windows."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
+    hot = hot_minimisers(rows, shape)
     if shape.counted:
         shared = (
             rows.select("_row", "text")
-            .mapInArrow(seeds(shape, buckets), "bucket int, blob binary")
+            .mapInArrow(seeds(shape, buckets, hot), "bucket int, blob binary")
             .groupBy("bucket")
             .applyInArrow(lambda group: shared_seeds(group, buckets), ADDRESSED)
             .groupBy("dest")
@@ -390,11 +438,11 @@ def repeated(rows: DataFrame, shape: Windows) -> DataFrame:
             .withColumnRenamed("numbers", "runs")
         )
         # all columns, as in with_spans: the shuffle of the texts is the same and made once
-        wanted = rows.join(shared, "_row")
+        wanted = rows.join(shared, "_row", "left" if len(hot) else "inner")
     else:
         wanted = rows.select("_row", "text")
     return (
-        wanted.mapInArrow(pack(shape, buckets), PACKED)
+        wanted.mapInArrow(pack(shape, buckets, hot), PACKED)
         .groupBy("bucket")
         .applyInArrow(resolve(shape, buckets), ADDRESSED)
         .groupBy("dest")

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,3 +119,49 @@ def test_slices_and_words():
     assert edges.tolist() == [0, 3, 3, 3, 5]
     start, end, text = arrays.find_words(data, edges)
     assert [bytes(data[a:b]) for a, b in zip(start, end)] == [b"a", b"b", b"c"] and text.tolist() == [0, 0, 3]
+
+
+@pytest.mark.parametrize("strings", [1, 3])
+def test_hot_minimisers_change_no_result(spark, monkeypatch, strings):
+    from quirelens.llm import superkmers
+
+    monkeypatch.setattr(superkmers, "HOT_STRINGS", strings)
+    monkeypatch.setattr(superkmers, "SAMPLE", 1)
+    monkeypatch.setattr(superkmers, "BUCKET_BYTES", 100)
+    texts = random_docs(7)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs = {i: t.encode() for i, t in enumerate(texts)}
+    got = {r.doc_id: (bytes(r.kept), r.n_spans) for r in suffixes.remove_repeated_bytes(df, 24).collect()}
+    assert got == brute_bytes(docs, 24)
+    got = {r.doc_id: (r.n_words, bytes(r.kept)) for r in substrings.remove_repeated_words(df, 6).collect()}
+    assert got == brute_words(docs, 6)
+
+
+@pytest.mark.parametrize("shape", [suffixes.windows(), substrings.windows()], ids=["bytes", "words"])
+def test_edges_of_a_hot_passage_spread(spark, monkeypatch, shape):
+    """Texts around one passage in every document do not meet in a few buckets."""
+    from quirelens.llm import superkmers
+
+    monkeypatch.setattr(superkmers, "HOT_STRINGS", 200)
+    monkeypatch.setattr(superkmers, "SAMPLE", 1)
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join([*(word() for _ in range(40)), passage, *(word() for _ in range(40))]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    hot = superkmers.hot_minimisers(df, shape)
+    whole = pa.RecordBatch.from_pydict({"_row": list(range(400)), "text": texts})
+    if shape.counted:
+        # the list of shared runs is empty: what is packed are the hot ones
+        whole = whole.append_column("runs", pa.array([b""] * 400, pa.binary()))
+    fullest = []
+    strings = 0
+    for batch in superkmers.pack(shape, 64, hot)(iter([whole])):
+        held = np.zeros(64 * superkmers.PARTS, np.int64)
+        for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 0:
+                part = superkmers._unpacked(blob)[0]
+                held += np.bincount(bucket * superkmers.PARTS + part.astype(np.int64), minlength=len(held))
+        strings += held.sum()
+        fullest.append(held.max())
+    assert len(hot) and strings >= 400 and sum(fullest) < max(60, strings / 64)
