@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; a longer text is a slice of its own.
 SLICE = 1 << 21
@@ -79,6 +80,32 @@ def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return flat[at]
 
 
+def steps(values: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Consecutive slices of texts or lists with ``size`` bytes or items each, or one row."""
+    if pa.types.is_list(values.type):
+        each = values.value_lengths()
+    else:
+        each = pc.binary_length(values)
+    edge = np.cumsum(each.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        before = edge[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(edge, before + size, "right")))
+        yield values.slice(at, stop - at)
+        at = stop
+
+
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts, one after the other, and their edges; null counts as empty."""
+    texts = texts.fill_null("") if pa.types.is_string(texts.type) else texts.fill_null(b"")
+    _, edge, data = texts.buffers()
+    if edge is None or not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    edge = np.frombuffer(edge, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[edge[0] : edge[-1]], edge - edge[0]
+
+
 def text_slices(rows: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row numbers, bytes, edges) of consecutive texts; null counts as empty."""
     texts = texts.fill_null("") if pa.types.is_string(texts.type) else texts.fill_null(b"")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import bpe, decontaminate, hnsw, langid, lines, lm, minhash, substrings, suffixes, toxicity
-from quirelens.llm.rows import remainder
+from quirelens.llm import (
+    bpe, decontaminate, fim, hnsw, langid, lexicon, lines, lm, minhash, periods, substrings, suffixes,
+    toxicity,
+)
+from quirelens.llm.rows import remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +126,55 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.fit(marked)).select(
         "doc_id", "n_tokens", "target_loss", "background_loss", F.col("lm_score").alias("score")
     )
+
+
+@query
+def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = lexicon.WordPieces.fitted(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return lexicon.encoded(docs, pieces).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = written(fim.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    made = fim.transform(kept, *fim.drawn(F.col("doc_id"), F.col("n")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        fim.digests(F.col("output"), F.col("form")).alias("_sha"),
+    ).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "_sha.*")
+
+
+def planted_period(doc_id: str | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten, by its id, goes on from some word with a period."""
+    h = zlib.crc32((doc_id or "").encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n or doc_id is None:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.periodic_runs(docs, rewrite=planted_period)
+    best = periods.longest(F.col("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(periods.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

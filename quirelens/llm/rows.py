@@ -23,6 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a file of bounded size to the shared folder, whatever store that is in."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark), name)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        for at in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[at : at + (1 << 22)]))
+    finally:
+        out.close()
+    return path.toString()
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: lineage ends here.
 
