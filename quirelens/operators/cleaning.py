@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
 from quirelens.operators.phrases import fuse_phrases
-from quirelens.operators.scale import bounded_list
+from quirelens.operators.scale import bounded_list, dealt_rows
 from quirelens.operators.tokens import LITERAL_WORDS, SENTENCE_BREAK, lemmatise, mark_words
 
 # Fixed value: always treated as a stop word (pronoun marker of older lemmatisers).
@@ -59,12 +59,13 @@ def preprocess_pages(
 ) -> DataFrame:
     """Rewrite, lemmatise, drop stop and blacklisted words per sentence; then fuse
     phrases, keep words and years, keep tokens longer than two characters."""
-    tokens = page_tokens(pages, patterns)
+    stops = stop_list(stop_words)
+    dealt = dealt_rows(pages) if lemmas is not None or stops is None else pages
+    tokens = page_tokens(dealt, patterns)
     if lemmas is not None:
         tokens = lemmatise(tokens, lemmas, **options)
     else:
         tokens = tokens.withColumn("tokens", F.transform("tokens", F.lower))
-    stops = stop_list(stop_words)
     if stops is None:
         tokens = mark_words(tokens, stop_table(pages, stop_words), **options)
     kept = tx.drop_blacklisted(tx.drop_words(F.col("tokens"), stops or []))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quirelens.operators.scale import BROADCAST_ROWS, lookup_join
 
@@ -33,6 +32,7 @@ def attach_catalogue(
     return lookup_join(pages, catalogue, "htid", "left", spread_by, max_rows)
 
 
-def attach_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Topic number -> term string; the label table has one row per topic."""
-    return rows.join(F.broadcast(labels), "topic", "left")
+def attach_labels(rows: DataFrame, labels: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Topic number -> term string; a label table of one row per topic, broadcast if it is small."""
+    spread_by = [c for c in rows.columns if c != "topic"]
+    return lookup_join(rows, labels, "topic", "left", spread_by, max_rows)

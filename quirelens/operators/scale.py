@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 # At most this many keys can each hold more than 1/HOT_KEYS of the rows.
-HOT_KEYS = 1_000
+HOT_KEYS = 20_000
+# Parts that a task's share of the rows is cut into, where a key is split.
+SPLITS = 16
+# Slices of the tasks in a ranking.
 SALTS = 64
 
 
@@ -57,39 +60,68 @@ def lookup_join(
     """Join many rows to a look-up table on one column, safe for hot keys.
 
     A table that is measured to be small is broadcast.  Otherwise both sides are
-    shuffled; rows of the most frequent keys (a list of fixed length) and rows
-    without a key are salted by ``spread_by``, and only those keys of the table are
-    repeated, so no key lands in a single task.
+    shuffled; rows of frequent keys are split by ``spread_by`` into as many parts as
+    their measured count asks for (``split_factors``), rows without a key likewise, and
+    only those keys of the table are repeated, so no key lands in a single task.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), key, how)
-    hot = (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count("*").alias("_rows"))
-        .orderBy(F.desc("_rows"), key)
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    hot = split_factors(rows, key)
     salted = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
-        F.when(
-            F.coalesce("_hot", F.col(key).isNull()),
-            F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"),
-        ).otherwise(F.lit(0)),
-    ).drop("_hot")
+        F.pmod(
+            F.xxhash64(*spread_by),
+            # rows without a key find no partner; they are only kept apart from each other
+            F.when(F.col(key).isNull(), SPLITS * _partitions(rows)).otherwise(F.coalesce("_parts", F.lit(1))),
+        ).cast("int"),
+    ).drop("_parts")
     copies = table.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-            .otherwise(F.array(F.lit(0)))
-        ),
-    ).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    ).drop("_parts")
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def _partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def split_factors(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, _parts)`` of the keys with too many rows for one part of a task.
+
+    A part is one ``SPLITS``-th of what a task gets on average; a key with more rows is
+    split into as many parts as it fills, so parts even out over the tasks.  At most
+    ``SPLITS`` keys a task, and no more than ``HOT_KEYS``, can be that large, so the table
+    is small whatever the rows are.
+    """
+    counts = durable(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    part = max(1, total // min(SPLITS * _partitions(rows), HOT_KEYS))
+    return counts.where(F.col("_rows") > part).select(
+        key, F.ceil(F.col("_rows") / part).cast("int").alias("_parts")
+    )
+
+
+def row_ids(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_row``, a number of its own for each row that stays the same when a
+    task is run again; rows that have one keep it.
+
+    A scan gives the same rows in the same order.  What comes out of a shuffle does not,
+    so such rows are written before the numbers are used.
+    """
+    if "_row" in rows.columns:
+        return rows
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    shuffled = "Exchange" in rows._jdf.queryExecution().executedPlan().toString()
+    return stage(numbered) if shuffled else numbered
+
+
+def dealt_rows(rows: DataFrame) -> DataFrame:
+    """Numbered rows dealt by their number, for several look-ups without a further shuffle."""
+    return row_ids(rows).repartition("_row")
+
+
 def row_lookup(
     rows: DataFrame,
     forms: Column,
@@ -110,9 +142,9 @@ def row_lookup(
     Otherwise rows are written once and forms alone travel to the table, hot ones salted.
     """
     value = F.col("form") if hit is None else hit
-    numbered = rows.select(
-        F.monotonically_increasing_id().alias("_row"),
-        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_page"),
+    numbered = row_ids(rows).select(
+        "_row",
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_row"]).alias("_page"),
         F.array_distinct(F.coalesce(forms, F.array().cast("array<string>"))).alias("_forms"),
     )
     if fits_broadcast(table, max_rows):
@@ -123,7 +155,7 @@ def row_lookup(
             ),
         )
         found = (
-            numbered.repartition("_row")
+            (numbered if "_row" in rows.columns else numbered.repartition("_row"))
             .select("_row", F.inline(parts))
             .join(F.broadcast(table.withColumn("_in", F.lit(True))), "form", "left")
             .withColumn("_hit", F.when(F.col("_in") & ~F.col("_first"), value))
@@ -144,7 +176,7 @@ def row_lookup(
         )
         empty = F.array().cast(hits.schema["hits"].dataType)
         found = numbered.join(hits, "_row", "left").withColumn("hits", F.coalesce("hits", empty))
-    return found.select("_page.*", "hits")
+    return found.select(*(["_row"] if "_row" in rows.columns else []), "_page.*", "hits")
 
 
 def top_per_group(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
-from quirelens.operators.scale import BROADCAST_ROWS, bounded_list, fits_broadcast, row_lookup
+from quirelens.operators.scale import (
+    BROADCAST_ROWS, bounded_list, fits_broadcast, lookup_join, row_ids, stage,
+)
 
 # Up to this many words are written into the plan as an IN set.
 LITERAL_WORDS = 2_000
@@ -22,24 +24,87 @@ def lemma_table(lemmas: DataFrame) -> DataFrame:
     )
 
 
+def map_tokens(
+    pages: DataFrame,
+    tokens: str,
+    table: DataFrame,
+    outcome: Column,
+    lower: bool = False,
+    max_broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Every token of a page replaced by ``outcome``, or dropped where that is null.
+
+    ``table`` is keyed by ``form``, one row each; ``outcome`` is an expression over its
+    columns (null without an entry) and ``hit``, ``form`` and ``token``; ``lower`` looks
+    tokens up by their lower-case form.  All rows and columns stay, in a time that grows
+    with the tokens whatever a page holds; a null list of tokens becomes an empty one.
+
+    With a table measured to be small, pages are dealt by row and exploded; a token finds
+    its entry in the broadcast table and a page is put together in the task that holds
+    all of it.  Otherwise a page is written once and sent as posting lists (each distinct
+    token with its positions) to the table, hot forms salted.
+    """
+    numbered = row_ids(pages)
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in (tokens, "_row")]
+    listed = F.coalesce(F.col(f"`{tokens}`"), F.array().cast("array<string>"))
+    form = F.lower("token") if lower else F.col("token")
+    table = table.withColumn("hit", F.lit(True))
+    hit = F.coalesce("hit", F.lit(False)).alias("hit")
+    if fits_broadcast(table.drop("hit"), max_broadcast_rows):
+        page = F.struct(*rest, F.lit(True).alias("_first"))
+        # the first row of a page carries its columns, the others a token each
+        parts = F.transform(
+            F.concat(F.array(F.lit(None).cast("string")), listed),
+            lambda t, i: F.struct(i.alias("pos"), t.alias("token"), F.when(i == 0, page).alias("_page")),
+        )
+        dealt = numbered if "_row" in pages.columns else numbered.repartition("_row")
+        joined = (
+            dealt.select("_row", F.inline(parts))
+            .withColumn("form", form)
+            .join(F.broadcast(table), "form", "left")
+            .withColumn("hit", hit)
+            .withColumn("_word", F.when(F.col("pos") > 0, outcome))
+            .where(F.col("_page").isNotNull() | F.col("_word").isNotNull())
+        )
+        words = F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("pos", "_word")))
+        found = joined.groupBy("_row").agg(F.first("_page", ignorenulls=True).alias("_page"), words.alias("_words"))
+        found = found.select("_row", "_page.*", F.sort_array("_words").alias("_words"))
+    else:
+        numbered = stage(numbered)
+        posting = (
+            numbered.select("_row", F.posexplode(listed).alias("pos", "token"))
+            .groupBy("_row", "token")
+            .agg(F.collect_list("pos").alias("_at"))
+            .withColumn("form", form)
+        )
+        joined = (
+            lookup_join(posting, table, "form", "left", ["_row"], max_broadcast_rows)
+            .withColumn("hit", hit)
+            .withColumn("_word", outcome)
+            .where(F.col("_word").isNotNull())
+            .groupBy("_row")
+            .agg(F.collect_list(F.struct("_at", "_word")).alias("_lists"))
+        )
+        places = F.flatten(F.transform("_lists", lambda x: F.transform(
+            x["_at"], lambda p: F.struct(p.alias("pos"), x["_word"].alias("_word")))))
+        words = joined.select("_row", F.sort_array(places).alias("_words"))
+        found = numbered.select("_row", *rest).join(words, "_row", "left")
+    empty = F.array().cast("array<string>")
+    return found.withColumn(
+        tokens, F.coalesce(F.transform("_words", lambda w: w["_word"]), empty)
+    ).select(*[F.col(f"`{c}`") for c in pages.columns])
+
+
 def lemmatise(
     pages: DataFrame,
     lemmas: DataFrame,
     tokens: str = "tokens",
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Lower-case lemma per token; a form without an entry is only lower-cased.
-
-    Only the distinct forms of a page meet the table.  All rows and columns stay.
-    """
-    lower = F.transform(tokens, F.lower)
-    found = row_lookup(
-        pages, lower, lemma_table(lemmas), F.struct("form", "lemma"), max_broadcast_rows
+    """Lower-case lemma per token; a form without an entry is only lower-cased."""
+    return map_tokens(
+        pages, tokens, lemma_table(lemmas), F.coalesce("lemma", "form"), True, max_broadcast_rows
     )
-    table = F.map_from_entries(F.array_distinct("hits"))
-    return found.withColumn(
-        tokens, tx.let(table, lambda m: F.transform(lower, lambda t: F.coalesce(m[t], t)))
-    ).select(*pages.columns)
 
 
 def mark_words(
@@ -57,17 +122,11 @@ def mark_words(
     """
     form = F.col(f"`{words.columns[0]}`")
     listed = words.select((F.lower(form) if lower else form).alias("form")).where("form is not null").distinct()
-    key = (lambda t: F.lower(t)) if lower else (lambda t: t)
-    found = row_lookup(pages, F.transform(tokens, key), listed, max_rows=max_broadcast_rows)
-
-    def hit(t: Column) -> Column:
-        return F.array_contains("hits", key(t))
-
     if mark is not None:
-        changed = F.transform(tokens, lambda t: F.when(hit(t), F.lit(mark)).otherwise(t))
+        outcome = F.when(F.col("hit"), F.lit(mark)).otherwise(F.col("token"))
     else:
-        changed = F.filter(tokens, lambda t: hit(t) if keep_listed else ~hit(t))
-    return found.withColumn(tokens, changed).select(*pages.columns)
+        outcome = F.when(F.col("hit") if keep_listed else ~F.col("hit"), F.col("token"))
+    return map_tokens(pages, tokens, listed, outcome, lower, max_broadcast_rows)
 
 
 def remove_words(
@@ -89,7 +148,7 @@ def remove_words(
         return pages.withColumn("text", tx.remove_tokens_text(F.col("text"), short))
     if not isinstance(words, DataFrame):
         words = pages.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    split = pages.withColumn("_tokens", tx.whitespace_tokens(F.col("text")))
+    split = pages.withColumn("_tokens", tx.whitespace_tokens(F.col("text"))).drop("text")
     by_kept = kept is not None and fits_broadcast(kept, max_broadcast_rows)
     rest = mark_words(
         split, kept if by_kept else words, "_tokens", keep_listed=by_kept,
