@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Patterns = Sequence[tuple[str, str]]
+from quirelens.functions.literals import LEAST, required_literals
+from quirelens.operators.scale import BROADCAST_ROWS, row_lookup
 
+Patterns = Sequence[tuple[str, str]]
 
-# Patterns that one projection counts; longer lists are counted in blocks.
-BLOCK_PATTERNS = 5_000
+# Lists up to this length are tried whole on every page; longer ones go through an index.
+BLOCK_PATTERNS = 500
 
 
 def pattern_list(patterns: Patterns | DataFrame) -> list[tuple[str, str]]:
@@ -47,16 +49,22 @@ def _counts(text: Column, patterns: Patterns) -> list[Column]:
     return [F.regexp_count(text, F.lit(p)).cast("int") for _, p in patterns]
 
 
-def count_keywords(pages: DataFrame, patterns: Patterns, keys: Sequence[str] = ("volid", "seq")) -> DataFrame:
+def count_keywords(
+    pages: DataFrame,
+    patterns: Patterns,
+    keys: Sequence[str] = ("volid", "seq"),
+    max_broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Long form ``(keys, keyword, n)``: one row per page and keyword that occurs.
 
     Every regex runs once per page: the counts sit inside a generator, which a
-    filter cannot be pushed through, and only hits leave it.
+    filter cannot be pushed through, and only hits leave it.  With more than
+    ``BLOCK_PATTERNS`` patterns a page runs only those whose letters it holds (``page_hits``).
     """
     patterns = pattern_list(patterns)
     if len(patterns) > BLOCK_PATTERNS:
-        blocks = [patterns[i : i + BLOCK_PATTERNS] for i in range(0, len(patterns), BLOCK_PATTERNS)]
-        return reduce(DataFrame.union, [count_keywords(pages, b, keys) for b in blocks])
+        hit = page_hits(pages.select(*keys, "text"), patterns, max_broadcast_rows)
+        return hit.select(*keys, F.inline("_hits")).drop("place")
     hits = F.filter(
         F.array(
             *[
@@ -69,16 +77,91 @@ def count_keywords(pages: DataFrame, patterns: Patterns, keys: Sequence[str] = (
     return pages.select(*keys, F.inline(hits))
 
 
+def literal_index(pages: DataFrame, patterns: Patterns) -> tuple[DataFrame, list[int]]:
+    """``(form, literal, place, keyword, pattern)`` and the places of patterns without a key.
+
+    A pattern is filed under three neighbouring letters of a run that every match of it
+    holds (one per alternative), the three that fewest patterns share.
+    """
+    runs = [(i, required_literals(p)) for i, (_, p) in enumerate(patterns)]
+    threes = lambda run: [run[j : j + LEAST] for j in range(len(run) - LEAST + 1)]
+    shared = Counter(t for _, rs in runs for r in rs or () for t in set(threes(r)))
+    rows = [
+        (min(threes(r), key=lambda t: (shared[t], t)), r, i, *patterns[i])
+        for i, rs in runs
+        for r in sorted(set(rs or ()))
+    ]
+    table = pages.sparkSession.createDataFrame(
+        rows, "form string, literal string, place int, keyword string, pattern string"
+    )
+    return table, [i for i, rs in runs if rs is None]
+
+
+def page_hits(
+    pages: DataFrame, patterns: Patterns, max_broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """``pages`` with ``_hits``: ``(place, keyword, n)`` of the patterns that occur, in order.
+
+    An inverted index of letters picks the candidates of a page in one read, however many
+    patterns there are; a candidate whose whole run of letters the page holds is then
+    counted by its regex.  Patterns without a run of letters are tried on every page.
+    """
+    index, everywhere = literal_index(pages, patterns)
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    forms = F.regexp_extract_all(lower, F.lit(rf"(?=([a-z]{{{LEAST}}}))"), F.lit(1))
+    found = row_lookup(
+        pages, forms, index, F.struct("literal", "place", "keyword", "pattern"), max_broadcast_rows
+    )
+    # the lower-case text and the candidates are made once, behind a generator
+    held = found.select(
+        *[F.col(f"`{c}`") for c in pages.columns],
+        F.inline(F.array(F.struct(lower.alias("_lower"), F.col("hits").alias("_found")))),
+    )
+    able = F.array_distinct(
+        F.transform(
+            F.filter("_found", lambda h: F.contains("_lower", h["literal"])),
+            lambda h: F.struct(h["place"].alias("place"), h["keyword"].alias("keyword"), h["pattern"].alias("pattern")),
+        )
+    )
+    counted = F.transform(
+        able,
+        lambda h: F.struct(
+            h["place"].alias("place"), h["keyword"].alias("keyword"),
+            F.regexp_count("text", h["pattern"]).cast("int").alias("n"),
+        ),
+    )
+    if everywhere:
+        tried = [patterns[i] for i in everywhere]
+        counted = F.concat(counted, F.array(*[
+            F.struct(F.lit(i).alias("place"), F.lit(name).alias("keyword"), n.alias("n"))
+            for i, (name, _), n in zip(everywhere, tried, _counts(F.col("text"), tried))
+        ]))
+    hits = F.array_sort(F.filter(counted, lambda h: h["n"] > 0))
+    return held.select(
+        *[F.col(f"`{c}`") for c in pages.columns], F.explode(F.array(hits)).alias("_hits")
+    )
+
+
 def wide_matches(pages: DataFrame, patterns: Patterns) -> DataFrame:
     """``text, volid, seq`` plus one count column per keyword, for pages with a match."""
     patterns = pattern_list(patterns)
     if not patterns:
         return pages.select("text", "volid", "seq").where(F.lit(False))
-    counted = pages.select(
-        "text", "volid", "seq",
-        F.explode(F.array(F.array(*_counts(F.col("text"), patterns)))).alias("_n"),
-    )
-    return counted.where(F.exists("_n", lambda n: n > 0)).select(
+    if len(patterns) > BLOCK_PATTERNS:
+        counted = page_hits(pages.select("text", "volid", "seq"), patterns).where(F.size("_hits") > 0)
+        # zeros up to each hit, the hit, and zeros after the last one
+        zeros = lambda n: F.array_repeat(F.lit(0), n)
+        before = lambda i: F.coalesce(F.get("_hits", i - 1)["place"], F.lit(-1))
+        filled = F.flatten(F.transform(
+            "_hits", lambda h, i: F.concat(zeros(h["place"] - before(i) - 1), F.array(h["n"]))))
+        rest = zeros(F.lit(len(patterns) - 1) - F.element_at("_hits", -1)["place"])
+        counted = counted.select("text", "volid", "seq", F.explode(F.array(F.concat(filled, rest))).alias("_n"))
+    else:
+        counted = pages.select(
+            "text", "volid", "seq",
+            F.explode(F.array(F.array(*_counts(F.col("text"), patterns)))).alias("_n"),
+        ).where(F.exists("_n", lambda n: n > 0))
+    return counted.select(
         "text", "volid", "seq",
         *[
             F.coalesce(F.get("_n", F.lit(i)), F.lit(0)).alias(name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
@@ -66,39 +66,32 @@ def fuse_phrases(
         return _fuse_literal(pages, [r["phrase"] for r in head])
 
     multi = phrases.where(F.contains("phrase", F.lit(" ")))
-    # a phrase matches only where its first run of letters is a whole run of the text
-    first_run = F.regexp_extract("phrase", r"\p{L}+", 0)
-    odd = multi.where(~F.col("phrase").rlike(_PLAIN))
+    # A phrase matches only where its first run of letters is a whole run of the text, one
+    # without letters where its first run of digits is, another one where its first
+    # character stands.
+    odd = multi.where(~F.col("phrase").rlike(_PLAIN)).withColumn(
+        "_key", F.regexp_extract("phrase", r"\p{L}+", 0)
+    )
+    lettered = odd.where(F.col("_key") != "")
+    digits, other = F.regexp_extract("phrase", r"\p{N}+", 0), F.substring("phrase", 1, 1)
+    bare = odd.where(F.col("_key") == "").withColumn("_key", F.when(digits != "", digits).otherwise(other))
     plain = multi.where(F.col("phrase").rlike(_PLAIN)).withColumn(
         "_words", F.least(F.size(F.split("phrase", " ")), F.lit(KEY_WORDS))
     )
     keyed = plain.select(
         F.array_join(F.slice(F.split("phrase", " "), 1, F.col("_words")), " ").alias("form"),
         "rank", "phrase",
-    ).union(odd.where(first_run != "").select(first_run.alias("form"), "rank", "phrase"))
-    everywhere = odd.where(first_run == "").orderBy("rank").limit(literal_phrases + 1).collect()
-    if len(everywhere) > literal_phrases:
-        raise ValueError(f"more than {literal_phrases} phrases without a letter")
-    # 2 .. KEY_WORDS, whichever occur; 1 for phrases with other characters in them
+    ).union(lettered.union(bare).select(F.col("_key").alias("form"), "rank", "phrase"))
+    # 2 .. KEY_WORDS, whichever occur; 1 for phrases with other characters in them, and 0
+    # for those without a letter
     lengths = sorted(
         {r["_words"] for r in plain.select("_words").distinct().collect()}
-        | ({1} if not odd.where(first_run != "").isEmpty() else set())
+        | ({1} if not lettered.isEmpty() else set())
+        | ({0} if not bare.isEmpty() else set())
     )
     joined = row_lookup(
         pages, _ngrams(lengths), keyed, F.struct("rank", "phrase"), max_broadcast_rows
     )
-    if everywhere:
-        rank_type = phrases.schema["rank"].dataType
-        extra = F.array(
-            *[
-                F.struct(
-                    _literal(r["rank"]).cast(rank_type).alias("rank"),
-                    F.lit(r["phrase"]).alias("phrase"),
-                )
-                for r in everywhere
-            ]
-        )
-        joined = joined.withColumn("hits", F.concat("hits", extra))
     ordered = F.transform(F.sort_array(F.array_distinct("hits")), lambda h: h["phrase"])
     return joined.withColumn(
         "text",
@@ -107,10 +100,12 @@ def fuse_phrases(
 
 
 def _ngrams(lengths: Sequence[int]) -> Column:
-    """Runs of n neighbouring words of ``text``, joined by single blanks, for each n."""
+    """Runs of n neighbouring words of ``text``, joined by single blanks, for each n; for
+    n = 0 runs of digits and single characters that are neither."""
     text = F.coalesce("text", F.lit(""))
     found = [
-        F.regexp_extract_all(
+        F.regexp_extract_all(text, F.lit(r"\p{N}+|[^\p{L}\p{N}]"), F.lit(0)) if n == 0
+        else F.regexp_extract_all(
             text, F.lit(rf"(?<!\p{{L}})(?=(\p{{L}}+(?: \p{{L}}+){{{n - 1}}}))"), F.lit(1)
         )
         for n in lengths
@@ -118,12 +113,6 @@ def _ngrams(lengths: Sequence[int]) -> Column:
     return F.concat(*found) if found else F.array().cast("array<string>")
 
 
-def _literal(value) -> Column:
-    if isinstance(value, Row):
-        return F.struct(*[_literal(v).alias(n) for n, v in value.asDict().items()])
-    return F.lit(value)
-
-
 def _fuse_literal(pages: DataFrame, phrases: Sequence[str]) -> DataFrame:
     if not phrases:
         return pages
