@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelens.operators.joins import attach_catalogue, attach_labels
-from quirelens.operators.scale import BROADCAST_ROWS, durable, top_per_group
+from quirelens.operators.scale import BROADCAST_ROWS, durable, lookup_join, top_per_group
 
 SENTINEL_YEAR = "9999"
 
@@ -102,24 +102,30 @@ def representative_pages(
 ) -> DataFrame:
     """Per topic the ``top`` highest and ``bottom`` lowest pages, with metadata.
 
-    A page can be in both slices.  The pages are chosen first: at most
-    ``k * (top + bottom)``, so their volume ids can be broadcast to cut the
-    catalogue down in its scan, and no part of the catalogue is shuffled for others.
+    A page can be in both slices.  Both ends come from one scan: each weight goes up for
+    both ends with its sign turned for one of them, and one ranking cuts both, first
+    inside each slice of tasks.  The chosen pages, at most ``k * (top + bottom)``, then
+    cut the catalogue down to their volumes.
     """
     long = explode_topics(pages)
-    page = ("htid", "seq")
-
-    def cut(order: Column, n: int, name: str) -> DataFrame:
-        ranked = top_per_group(long, ["topic"], [order, *page], n)
-        return ranked.withColumn("slice", F.lit(name))
-
-    chosen = durable(
-        cut(F.desc("weight"), top, "top").unionByName(cut(F.asc("weight"), bottom, "bottom"))
+    ends = long.select(
+        "*",
+        F.inline(
+            F.array(
+                F.struct(F.lit("top").alias("slice"), (-F.col("weight")).alias("_order"), F.lit(top).alias("_most")),
+                F.struct(F.lit("bottom").alias("slice"), F.col("weight").alias("_order"), F.lit(bottom).alias("_most")),
+            )
+        ),
+    )
+    # a weight that is null is the lowest of all at either end
+    order = [F.when(F.col("slice") == "top", F.col("weight").isNull()).otherwise(F.col("weight").isNotNull()), "_order", "htid", "seq"]
+    ranked = top_per_group(ends, ["topic", "slice"], order, max(top, bottom))
+    chosen = durable(ranked.where(F.col("rank") <= F.col("_most")).drop("_order", "_most"))
+    details = lookup_join(
+        catalogue.select("htid", "rights_date_used", "title", "author", "access", "rights"),
+        chosen.select("htid").distinct(), "htid", "left_semi", ["htid"],
     )
-    details = catalogue.select(
-        "htid", "rights_date_used", "title", "author", "access", "rights"
-    ).join(F.broadcast(chosen.select("htid").distinct()), "htid", "left_semi")
-    return chosen.join(details, "htid", "left").select(
+    return lookup_join(chosen, details, "htid", "left", ["topic", "slice", "rank"]).select(
         "topic", "slice", "rank", "htid", "seq", "weight",
         "rights_date_used", "title", "author", "access", "rights",
     )

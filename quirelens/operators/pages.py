@@ -29,7 +29,7 @@ def line_key(line: Column) -> Column:
 
 
 def strip_running_lines(
-    pages: DataFrame, repeats: int = 2, within: int = 5, block: int = BLOCK
+    pages: DataFrame, repeats: int = 2, within: int = 5, block: int = BLOCK, keep_block: bool = False
 ) -> DataFrame:
     """Page body without running headers and footers.
 
@@ -38,6 +38,11 @@ def strip_running_lines(
     ``repeats`` other pages of the volume whose ``seq`` is at most ``within``
     away.  Pages near a block edge are also sent, without their text, to the
     neighbouring block.
+
+    Text is shuffled and sorted once: both lines are compared within one window in
+    ``seq`` order, whose frame holds at most ``2 * within + 1`` short keys.
+    ``keep_block`` leaves the column ``_block`` in place; ``stitch_pages`` of the same
+    ``block`` then works on the partitions and the order that are already there.
     """
     if within >= block:
         raise ValueError("within must be smaller than the block size")
@@ -60,17 +65,18 @@ def strip_running_lines(
         .withColumn("text", F.when(F.col("_own"), F.col("text")))
         .repartition(*_KEY)
     )
+    around = Window.partitionBy(*_KEY).orderBy("seq").rangeBetween(-within, within)
 
     def others(line: str) -> Column:
-        window = (
-            Window.partitionBy(*_KEY, line).orderBy("seq").rangeBetween(-within, within)
-        )
-        return F.count(line).over(window) - 1
+        # the frame is a column of its own: the filter looks at it once per page
+        return F.size(F.filter(f"{line}s", lambda other: other == F.col(line))) - 1
 
     flagged = (
-        keyed.withColumn("_drop_head", others("_head") >= repeats)
-        .withColumn("_drop_foot", others("_foot") >= repeats)
+        keyed.withColumn("_heads", F.collect_list("_head").over(around))
+        .withColumn("_foots", F.collect_list("_foot").over(around))
         .where("_own")
+        .withColumn("_drop_head", others("_head") >= repeats)
+        .withColumn("_drop_foot", others("_foot") >= repeats)
     )
     headless = F.when(
         F.col("_drop_head"), F.regexp_replace("text", r"^[^\n]*\n?", "")
@@ -78,9 +84,10 @@ def strip_running_lines(
     body = F.when(
         F.col("_drop_foot"), F.regexp_replace(headless, r"(?:^|\n)[^\n]*\z", "")
     ).otherwise(headless)
-    return flagged.withColumn("text", body).drop(
-        "_head", "_foot", "_own", "_block", "_drop_head", "_drop_foot"
+    done = flagged.withColumn("text", body).drop(
+        "_head", "_foot", "_heads", "_foots", "_own", "_drop_head", "_drop_foot"
     )
+    return done if keep_block else done.drop("_block")
 
 
 def sentence_pages(pages: DataFrame, abbreviations: tuple[str, ...] = ()) -> DataFrame:
@@ -118,18 +125,20 @@ def stitch_pages(
     Without long volumes (``has_long_volumes``, checked here when not given) every
     volume is one block and a single shuffle does.  Otherwise the exchange of
     the sentences is read twice, for the pages and for the block summaries.
-    Pages with a null key are no pages (see ``quality.split_pages``).
+    Pages with a null key are no pages (see ``quality.split_pages``).  Pages that have
+    ``_block`` (``strip_running_lines``) lie by it already and are not shuffled again.
     """
     if long_volumes is None:
         long_volumes = has_long_volumes(pages, block)
     order = Window.partitionBy(*_KEY).orderBy("seq")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        pages.withColumn("_block", block_of(F.col("seq"), block))
-        .withColumn("_n", F.size("sentences"))
-        .where(F.col("volid").isNotNull() & F.col("_block").isNotNull())
+    dealt = "_block" in pages.columns
+    if not dealt:
+        pages = pages.withColumn("_block", block_of(F.col("seq"), block))
+    placed = pages.withColumn("_n", F.size("sentences")).where(
+        F.col("volid").isNotNull() & F.col("_block").isNotNull()
     )
-    if long_volumes:
+    if long_volumes and not dealt:
         placed = placed.repartition(*_KEY)
     placed = (
         placed.withColumn("_i", F.row_number().over(order))
@@ -178,7 +187,7 @@ def stitch_pages(
     )
     return solved.withColumn(
         "sentences", F.when(F.col("_extra").isNotNull(), grown).otherwise(own)
-    ).select(*pages.columns)
+    ).select(*[c for c in pages.columns if c != "_block"])
 
 
 def _block_edges(inner: DataFrame) -> DataFrame:
