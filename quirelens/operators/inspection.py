@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.clustering import LDAModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelens.functions import arrays as ax
-from quirelens.operators.scale import term_table, top_per_group
+from quirelens.operators.scale import ensure_checkpoint_dir, lookup_join, term_table, top_per_group
 
 
 def top_terms(topic_terms: DataFrame, n: int = 20) -> DataFrame:
@@ -80,15 +82,40 @@ def topic_labels(described: DataFrame) -> DataFrame:
 
 
 def topic_term_table(model: LDAModel) -> DataFrame:
-    """``(topic, term_index, weight)`` over the whole vocabulary, aligned by index."""
-    topics = model.describeTopics(model.vocabSize())
-    return topics.select(
-        "topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("_e")
-    ).select(
-        "topic",
-        F.col("_e.termIndices").alias("term_index"),
-        F.col("_e.termWeights").alias("weight"),
+    """``(topic, term_index, weight)`` of a fitted model: saved, then read as a table."""
+    spark = SparkSession.active()
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/quirelens-{uuid.uuid4().hex}"
+    (model.toLocal() if model.isDistributed() else model).save(path)
+    return saved_topic_terms(spark, path)
+
+
+def saved_topic_terms(spark: SparkSession, path: str) -> DataFrame:
+    """``(topic, term_index, weight)`` over the whole vocabulary of a saved local model.
+
+    The matrix is a row of the model's Parquet files; its numbers are exploded where they
+    are read and never pass through the driver.  Weights of a topic sum to 1.
+    """
+    matrix = spark.read.parquet(f"{path}/data").select(F.unwrap_udt("topicsMatrix").alias("m"))
+    flat = matrix.select(
+        F.col("m.numRows").alias("terms"), F.col("m.numCols").alias("topics"),
+        F.col("m.isTransposed").alias("by_term"), F.posexplode("m.values").alias("at", "value"),
+    )
+    across, down = F.floor(F.col("at") / F.col("terms")), F.col("at") % F.col("terms")
+    long = flat.select(
+        F.when(F.col("by_term"), F.col("at") % F.col("topics")).otherwise(across).cast("int").alias("topic"),
+        F.when(F.col("by_term"), F.floor(F.col("at") / F.col("topics"))).otherwise(down).cast("int").alias("term_index"),
+        "value",
     )
+    total = long.groupBy("topic").agg(F.sum("value").alias("total"))
+    return lookup_join(long, total, "topic", "inner", ["term_index"]).select(
+        "topic", "term_index", (F.col("value") / F.col("total")).alias("weight")
+    )
+
+
+def saved_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """``(term_index, term)`` of a saved vocabulary, read from its files."""
+    return spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("term_index", "term"))
 
 
 def page_topic_table(result: DataFrame, vector: str = "topicDistribution") -> DataFrame:

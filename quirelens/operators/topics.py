@@ -5,17 +5,16 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.functions import bound, text as tx
-from quirelens.operators.scale import term_table, top_per_group
+from quirelens.functions import text as tx
+from quirelens.operators.scale import durable, stage, term_table
 from quirelens.operators.tokens import bag_of_words
 
 # Model seed, and the topic numbers tried by the sweep.
@@ -49,6 +48,7 @@ def fit_vocabulary(
             .groupBy("term")
             .agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
             .where(F.col("pages") >= min_pages)
+            .drop("pages")
         )
     else:
         counts = (
@@ -56,12 +56,45 @@ def fit_vocabulary(
             .groupBy("term")
             .agg(F.count("*").alias("n"))
         )
-    order = [F.desc("n"), F.asc("term")]
-    first = top_per_group(counts.withColumn("all", F.lit(0)), ["all"], order, size)
-    words = first.select("rank", "term").toArrow().sort_by("rank")["term"].to_pylist()
+    first = most_frequent(counts, size).toArrow().to_pylist()
+    words = [r["term"] for r in sorted(first, key=lambda r: (-r["n"], r["term"].encode()))]
     return vocabulary_model(pages.sparkSession, words, tokens)
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` rows of ``counts(term, n)`` with the largest ``n``, ties in term order.
+
+    Nothing is ranked as a whole: a histogram of ``n`` gives the least count that fits
+    whole, and of the terms with the next lower one, sorted over the cluster, each part
+    keeps its share by the number of terms in the parts before it.
+    """
+    counts = durable(counts.select("term", "n"))
+    histogram = counts.groupBy("n").agg(F.count("*").alias("terms")).orderBy(F.desc("n")).limit(size)
+    above, edge, taken = None, None, 0
+    for r in histogram.collect():
+        if taken + r["terms"] > size:
+            edge = r["n"]
+            break
+        above, taken = r["n"], taken + r["terms"]
+    whole = counts.where(F.col("n") >= above) if above is not None else counts.limit(0)
+    if edge is None or taken == size:
+        return whole
+    ties = stage(
+        counts.where(F.col("n") == edge)
+        .orderBy("term")
+        .select("*", F.monotonically_increasing_id().alias("_at"))
+    )
+    # the number holds the part and the place in it
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    left, keep = size - taken, F.lit(False)
+    for r in ties.groupBy(part.alias("part")).agg(F.count("*").alias("terms")).orderBy("part").collect():
+        keep = keep | ((part == r["part"]) & (place < left))
+        left -= r["terms"]
+        if left <= 0:
+            break
+    return whole.unionByName(ties.where(keep).select("term", "n"))
+
+
 def vocabulary_model(spark: SparkSession, words: list[str], tokens: str) -> CountVectorizerModel:
     """``CountVectorizerModel.from_vocabulary``, with the words handed to the JVM in one
     call instead of one call per word."""
@@ -100,10 +133,11 @@ def vocabulary_table(spark: SparkSession, vocabulary: CountVectorizerModel) -> D
 
 
 def fixed_layout(features: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Features in a layout that depends on the keys only.
+    """Features in a layout that depends on the keys and on ``partitions`` only.
 
-    LDA with a fixed seed repeats only on identical partitions, so pages are
-    hashed into a fixed number of partitions and sorted inside each.
+    LDA with a fixed seed repeats only on identical partitions, so pages are hashed into
+    a number of partitions and sorted inside each.  Without ``partitions`` that number is
+    the cluster's; give it to repeat a model on another cluster.
     """
     spark = features.sparkSession
     n = partitions or max(
@@ -155,36 +189,11 @@ def fit_topics_minibatch(
 def score_topics(model: LDAModel, features: DataFrame) -> tuple[float, float]:
     """Lower bound on the log likelihood, upper bound on the log perplexity.
 
-    The model's own ``logLikelihood`` takes the exponential of the whole topic
-    matrix for every page, so its cost is pages x vocabulary x k.  Here a page
-    costs its own terms x k: the same bound (Hoffman, Blei & Bach 2010) from the
-    topic distribution that ``transform`` gives.  The topic matrix, bounded by the
-    model, is the only thing sent to the tasks.
+    The perplexity is the bound per token, which saves a second pass of the bound.
     """
-    scored = model.transform(features).select(
-        F.unwrap_udt("features")["indices"].alias("ids"),
-        F.unwrap_udt("features")["values"].alias("counts"),
-        vector_to_array(model.getTopicDistributionCol()).alias("share"),
-    ).where(F.size("ids") > 0)
-    topic_weights = model.topicsMatrix().toArray()
-    alpha = model.estimatedDocConcentration().toArray()
-    k = model.getK()
-    eta = model.getTopicConcentration() if model.isSet("topicConcentration") else 1.0 / k
-    log_beta = bound.dirichlet_log_mean(topic_weights.T).T
-    sent = features.sparkSession.sparkContext.broadcast(log_beta)
-
-    @F.pandas_udf("double")
-    def page_bound(ids: pd.Series, counts: pd.Series, share: pd.Series) -> pd.Series:
-        beta = sent.value
-        return pd.Series(
-            [bound.page_bound(beta[i], n, s, alpha) for i, n, s in zip(ids, counts, share)],
-            dtype="float64",
-        )
-
-    tokens = F.aggregate("counts", F.lit(0.0), lambda a, n: a + n)
-    rows = scored.select(page_bound("ids", "counts", "share").alias("b"), tokens.alias("n"))
-    pages, total = (x or 0.0 for x in rows.agg(F.sum("b"), F.sum("n")).first())
-    likelihood = pages + bound.topic_bound(topic_weights, log_beta, eta)
+    counted = F.aggregate(F.unwrap_udt("features")["values"], F.lit(0.0), lambda a, n: a + n)
+    total = features.agg(F.sum(counted)).first()[0]
+    likelihood = model.logLikelihood(features)
     return likelihood, -likelihood / total if total else float("nan")
 
 
@@ -194,20 +203,33 @@ def assign_topics(model: LDAModel, features: DataFrame) -> DataFrame:
 
 
 def sweep_k(
-    features: DataFrame, ks: Sequence[int] = SWEEP_K, seed: int | None = None, **options
+    features: DataFrame,
+    ks: Sequence[int] = SWEEP_K,
+    seed: int | None = None,
+    side_by_side: int = 4,
+    **options,
 ) -> DataFrame:
-    """Fit and score a model per ``k`` over the same held features: ``(k, log_likelihood, log_perplexity)``."""
+    """Fit and score a model per ``k`` over the same held features: ``(k, log_likelihood, log_perplexity)``.
+
+    A fit is a chain of short jobs with work on the driver in between, so
+    ``side_by_side`` fits share the cluster, largest ``k`` first, each in a scheduler pool
+    of its own.  The driver holds that many topic matrices; scores do not depend on it.
+    """
     kept = held(features)
+    spark = features.sparkSession
+
+    def one(k: int) -> tuple[int, float, float]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"sweep-{k}")
+        return (k, *map(float, score_topics(fit_topics(kept, k, seed, **options), kept)))
+
     try:
-        rows = []
-        for k in ks:
-            model = fit_topics(kept, k, seed, **options)
-            rows.append((k, *map(float, score_topics(model, kept))))
+        kept.count()  # held before the fits start, so that none of them makes it again
+        with ThreadPoolExecutor(max(1, side_by_side)) as pool:
+            work = inheritable_thread_target(spark)(one)
+            rows = list(pool.map(work, sorted(ks, reverse=True)))
     finally:
         kept.unpersist()
-    return features.sparkSession.createDataFrame(
-        rows, "k int, log_likelihood double, log_perplexity double"
-    )
+    return spark.createDataFrame(sorted(rows), "k int, log_likelihood double, log_perplexity double")
 
 
 def model_info(model: LDAModel) -> dict[str, int]:

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
-from quirelens.operators import cleaning, joins, keywords, overtime, pages as pg, phrases as ph
-from quirelens.operators import tokens as tk, topics as tp, volumes
-from quirelens.operators.scale import durable
+from quirelens.operators import cleaning, coherence as co, inspection as ins, joins, keywords, overtime
+from quirelens.operators import pages as pg, phrases as ph, tokens as tk, topics as tp, volumes
+from quirelens.operators.scale import dealt_rows, durable, stage
 from quirelens.sources import writers
 
 
@@ -28,7 +28,7 @@ def full_page_sentences(
     long_volumes = pg.has_long_volumes(pages)
     lines = pages.withColumn("text", tx.normalise_lines(F.col("text")))
     if running_lines:
-        lines = pg.strip_running_lines(lines, repeats, within)
+        lines = pg.strip_running_lines(lines, repeats, within, keep_block=True)
     return pg.stitch_pages(
         pg.sentence_pages(lines, abbreviations), long_volumes=long_volumes
     )
@@ -64,10 +64,12 @@ def noun_phrase_report(
     more_than: int = 10,
 ) -> DataFrame:
     """``(noun_phrase, count)`` of multi-word phrases, most frequent first."""
-    tokens = cleaning.page_tokens(pages)
+    stops = cleaning.stop_list(stop_words)
+    # only the text is needed, and one deal serves both look-ups
+    pages = pages.select("text")
+    tokens = cleaning.page_tokens(dealt_rows(pages) if lemmas is not None or stops is None else pages)
     if lemmas is not None:
         tokens = tk.lemmatise(tokens, lemmas)
-    stops = cleaning.stop_list(stop_words)
     if stops is None:
         # a mark is no word, so it ends a run as a stop word does
         table = cleaning.stop_table(pages, stop_words)
@@ -118,10 +120,14 @@ def topic_features(
     partitions: int | None = None,
     **vocabulary,
 ) -> tuple[CountVectorizerModel, DataFrame]:
-    """Vocabulary, and feature vectors in a layout that depends on the keys only."""
+    """Vocabulary, and feature vectors in a layout that depends on the keys only.
+
+    The pages are read once: the vocabulary and the vectors are made from the tokens that
+    are written here.
+    """
     if excluded is not None:
         pages = joins.exclude_pages(pages, excluded)
-    tokens = tp.tokenised(pages)
+    tokens = stage(tp.tokenised(pages).drop("text"))
     vocab = tp.fit_vocabulary(tokens, **vocabulary)
     return vocab, tp.fixed_layout(tp.vectorise(vocab, tokens), partitions)
 
@@ -168,6 +174,38 @@ def topics_over_time(pages: DataFrame, catalogue: DataFrame, labels: DataFrame)
     return overtime.topics_by_year(by_topic, labels)
 
 
+def model_coherence(fitted: TopicModel, terms: int = 20, window: int = co.WINDOW) -> DataFrame:
+    """``(topic, coherence)`` of a fitted model on the tokens it was fitted on.
+
+    The topics are their ``terms`` heaviest terms; any number will do.
+    """
+    return co.coherence_cv(fitted.result.select("volid", "seq", "tokens"), heaviest_terms(fitted, terms), window)
+
+
+def heaviest_terms(fitted: TopicModel, terms: int = 20) -> DataFrame:
+    """``(topic, term)`` of the heaviest terms of each topic."""
+    found = fitted.model.describeTopics(int(terms)).select("topic", F.explode("termIndices").alias("term_index"))
+    words = tp.vocabulary_table(found.sparkSession, fitted.vocabulary)
+    return found.join(words, "term_index").select("topic", "term")
+
+
+def topic_tables(fitted: TopicModel) -> dict[str, DataFrame]:
+    """The five tables behind a topic browser, none of which passes through the driver.
+
+    ``topic_terms(topic, term_index, weight)`` with weights summing to 1 per topic,
+    ``page_topics(volid, seq, topic, weight)``, ``lengths(volid, seq, doc_length)``,
+    ``vocabulary(term_index, term)`` and ``frequency(term_index, term, n)``.
+    """
+    vocabulary = tp.vocabulary_table(fitted.result.sparkSession, fitted.vocabulary)
+    return {
+        "topic_terms": ins.topic_term_table(fitted.model),
+        "page_topics": ins.page_topic_table(fitted.result),
+        "lengths": tk.document_lengths(fitted.result),
+        "vocabulary": vocabulary,
+        "frequency": tk.term_frequency(fitted.result, vocabulary),
+    }
+
+
 topic_extremes = overtime.representative_pages
 
 
