@@ -39,3 +39,12 @@ def volume_path(volid: Column) -> Column:
 def valid_volume_id(volid: Column) -> Column:
     """A library prefix, a dot and a non-empty local part."""
     return F.coalesce(volid.rlike(r"(?s)^[^.\s]+\..+$"), F.lit(False))
+
+
+# Folders of a page store are named by this and their number.
+BUCKET = "bucket_of_"
+
+
+def page_bucket(volid: Column, buckets: int) -> Column:
+    """Folder of a page store that holds a volume."""
+    return F.pmod(F.xxhash64(volid), F.lit(buckets)).cast("int")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quirelens.functions.ids import volume_path
 
 _FILE = "array<struct<_MIMETYPE: string, _SEQ: string>>"
-# Levels of file groups that are read; metadata in use has two or three.
+# Levels of file groups that are read at least; deeper documents ask for more.
 DEPTH = 8
+_GROUP_TAG = r"</?(?:[\w.-]+:)?fileGrp(?=[\s/>])[^>]*>"
 # What may follow the root element: white space, comments, processing instructions.
 _AFTER = r"(?:\s|<!--(?:(?!-->)[\s\S])*-->|<\?(?:(?!\?>)[\s\S])*\?>)*"
 
@@ -44,16 +45,31 @@ def well_ended(xml: Column) -> Column:
     return tail.rlike(f"^{_AFTER}$")
 
 
-def mets_last_seq(xml: Column, strict: bool = False) -> Column:
+def group_levels(xml: Column) -> Column:
+    """How deep the tags of file groups are nested; never less than the document's levels."""
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def walk(state: Column, tag: Column) -> Column:
+        closing = F.startswith(tag, F.lit("</"))
+        inside = F.when(closing, state["open"] - 1).otherwise(state["open"] + 1)
+        after = F.when(F.endswith(tag, F.lit("/>")), state["open"]).otherwise(inside)
+        return F.struct(after.alias("open"), F.greatest(state["most"], inside).alias("most"))
+
+    tags = F.regexp_extract_all(xml, F.lit(_GROUP_TAG), F.lit(0))
+    return F.aggregate(tags, start, walk, lambda state: state["most"])
+
+
+def mets_last_seq(xml: Column, strict: bool = False, depth: int = DEPTH) -> Column:
     """SEQ of the last plain-text file in the OCR file group, on whatever level it is.
 
     Null when the document does not parse, goes on after its root element or has no such
     file.  ``strict`` accepts the file only if it is the last of any type in its group.
+    ``depth`` levels of groups are read.
     """
-    schema = f"fileSec struct<fileGrp: array<{_group(DEPTH)}>>"
+    schema = f"fileSec struct<fileGrp: array<{_group(depth)}>>"
     whole = F.when(well_ended(xml), xml)
     parsed = F.from_xml(whole, F.lit(schema), {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
-    nested = _all_groups(parsed["fileSec"]["fileGrp"], DEPTH)
+    nested = _all_groups(parsed["fileSec"]["fileGrp"], depth)
     ocr = F.filter(nested, lambda g: (g["use"] == "ocr") & g["file"].isNotNull())
 
     def plain(files: Column) -> Column:
@@ -71,8 +87,13 @@ def mets_last_seq(xml: Column, strict: bool = False) -> Column:
 
 
 def volume_last_seq(mets: DataFrame, strict: bool = False) -> DataFrame:
-    """``(id, last_seq)`` for every volume whose metadata gives a page number."""
-    parsed = mets.select("id", F.explode(F.array(mets_last_seq(F.col("xml"), strict))).alias("last_seq"))
+    """``(id, last_seq)`` for every volume whose metadata gives a page number.
+
+    Groups of any depth are read: the deepest document says how many levels there are.
+    """
+    levels = mets.agg(F.max(group_levels(F.col("xml")))).first()[0] or 0
+    seq = mets_last_seq(F.col("xml"), strict, max(DEPTH, levels))
+    parsed = mets.select("id", F.explode(F.array(seq)).alias("last_seq"))
     return parsed.where(F.col("last_seq").isNotNull())
 
 

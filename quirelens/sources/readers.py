@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 from pyspark.ml.clustering import DistributedLDAModel, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelens.functions.ids import BUCKET, page_bucket, volume_path
 from quirelens.operators.joins import only_volumes
 from quirelens.operators.scale import spread
 
 STAGE_SCHEMA = "text string, volid string, seq string"
+# Names of files that one scan is cut down to.
+LISTED = 10_000
 CATALOGUE = ("htid", "title", "author", "rights_date_used", "access", "rights")
 
 
@@ -24,13 +30,23 @@ def read_pages(
 ) -> DataFrame:
     """Pages ``(volid, seq, text)``, of the listed volumes if ``ids`` is given.
 
-    ``fmt``: ``parquet``, ``csv`` (a headerless stage file) or ``text`` (one file
-    per page, named ``<volid>/<seq>.txt``).  A file scan skips files of length 0;
+    ``fmt``: ``parquet``, ``store`` (``writers.write_pages``; of its folders, only those
+    that can hold a listed volume are read), ``csv`` (a headerless stage file) or
+    ``text`` (one file per page, named ``<volid>/<seq>.txt``).  A file scan skips files of length 0;
     ``index(volid, seq)`` brings such pages back as empty ones, which matters for
     stitching.
     """
     if fmt == "parquet":
         pages = spark.read.parquet(path).select("volid", "seq", "text")
+    elif fmt == "store":
+        stored = spark.read.parquet(path)
+        (bucket,) = [c for c in stored.columns if c.startswith(BUCKET)]
+        if ids is not None:
+            own = page_bucket(F.col("volid"), int(bucket.removeprefix(BUCKET))).alias("b")
+            # no more buckets than the store has folders
+            wanted = [r["b"] for r in ids.where("volid is not null").select(own).distinct().collect()]
+            stored = stored.where(F.col(bucket).isin(wanted))
+        pages = stored.select("volid", "seq", "text")
     elif fmt == "csv":
         pages = read_stage_csv(spark, path)
     elif fmt == "text":
@@ -131,18 +147,36 @@ def read_ids(spark: SparkSession, path: str, num_partitions: int | None = None)
     return ids.repartition(num_partitions) if num_partitions else ids
 
 
-def read_mets(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, xml)`` of all metadata files below a tree root, paths relative to it."""
+def read_mets(
+    spark: SparkSession, root: str, ids: DataFrame | None = None, batch: int = LISTED
+) -> DataFrame:
+    """``(path, xml)`` of the metadata files below a tree root, paths relative to it.
+
+    With ``ids(volid)`` only files with the name of a listed volume are opened: names are
+    taken from the id table ``batch`` at a time and cut the list of files before it is
+    dealt out to tasks.  The list itself is made once.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.mets.xml")
         .load(root)
     )
-    return files.select(
-        F.regexp_extract("path", r"([^/]+/pairtree_root/.*)$", 1).alias("path"),
-        F.decode("content", "UTF-8").alias("xml"),
-    )
+
+    def texts(chosen: DataFrame) -> DataFrame:
+        return chosen.select(
+            F.regexp_extract("path", r"([^/]+/pairtree_root/.*)$", 1).alias("path"),
+            F.decode("content", "UTF-8").alias("xml"),
+        )
+
+    if ids is None:
+        return texts(files)
+    name = F.try_element_at(F.split(volume_path(F.col("volid")), "/"), F.lit(-1))
+    names = ids.select(name.alias("name")).where("name is not null").distinct()
+    rows, parts = iter(r["name"] for r in names.toLocalIterator()), []
+    while wanted := list(islice(rows, batch)):
+        parts.append(texts(files.where(F.col("_metadata.file_name").isin(wanted))))
+    return reduce(DataFrame.union, parts) if parts else texts(files).limit(0)
 
 
 def load_model(path: str, distributed: bool = False) -> tuple[CountVectorizerModel, LDAModel]:

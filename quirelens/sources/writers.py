@@ -9,6 +9,8 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelens.functions.ids import BUCKET, page_bucket
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Headerless CSV, comma, UTF-8; blanks and tabs at the ends of a text are kept."""
@@ -66,3 +68,21 @@ def write_quarantine(bad: DataFrame, path: str, mode: str = "errorifexists") ->
 def write_stage(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: Sequence[str] = ()) -> None:
     """Parquet between stages: keeps empty texts, nulls and types apart."""
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+
+
+def write_pages(pages: DataFrame, path: str, buckets: int = 256, mode: str = "errorifexists") -> None:
+    """Pages as a store that an id list prunes: a folder per hash bucket of the volume.
+
+    Tasks get ranges of (bucket, volume, seq), so a bucket has few files, a volume lies
+    together in order, and a volume with a third of all pages is written by many tasks.
+    """
+    folder = f"{BUCKET}{buckets}"
+    order = [folder, "volid", "seq"]
+    (
+        pages.withColumn(folder, page_bucket(F.col("volid"), buckets))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .write.mode(mode)
+        .partitionBy(folder)
+        .parquet(path)
+    )
