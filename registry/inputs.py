@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.operators.scale import spread
+from quirelens.operators.scale import ensure_checkpoint_dir, spread
 
 # --- pages ---------------------------------------------------------------
 
@@ -194,3 +196,9 @@ def clean_token_sql(text: str) -> str:
         r"'\x01\p{L}+(?:(?:\x02-\x01|_{1,2})\p{L}+)*\x02|\x01(?:1[89][0-9]{2}|20[01][0-9])\x02')"
     )
     return rf"list_transform({found}, lambda w: replace(replace(w, chr(1), ''), chr(2), ''))"
+
+
+def new_folder(spark) -> str:
+    """A folder of its own below the one that the cluster shares, for files that are read back."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/quirelens-{uuid.uuid4().hex}"

@@ -11,7 +11,8 @@ from quirelens.plans import jobs
 from registry import query
 from registry.cleaning import BAG, WORDS
 from registry.inputs import (
-    DOCS, STOP_WORDS, TERMS, TOPICS, documents, table, topic_pages, topic_terms,
+    DOCS, STOP_SQL, STOP_WORDS, TERMS, TOPICS, WORD, clean_token_sql, documents, table, topic_pages,
+    topic_terms,
 )
 from registry.overtime import r6
 
@@ -76,6 +77,21 @@ def topic_model_minibatch(spark, sf):
         "volid", "seq", ax.topic_array(F.col("topicDistribution"), narrow=True).alias("weights"))
 
 
+@query("minibatch_score")
+def minibatch_score(spark, sf):
+    """Log perplexity of the second model, and the bound it comes from."""
+    fitted = model(spark, sf, minibatch=True)
+    return spark.createDataFrame(
+        [(tp.model_info(fitted.model)["topics"], fitted.log_likelihood, fitted.log_perplexity)],
+        "k int, log_likelihood double, log_perplexity double")
+
+
+@query("model_coherence")
+def model_coherence(spark, sf):
+    """Coherence of the fitted model's topics by their twenty heaviest terms."""
+    return jobs.model_coherence(model(spark, sf), 20)
+
+
 @query("describe_topics")
 def describe_topics(spark, sf):
     fitted = model(spark, sf)
@@ -97,6 +113,59 @@ def sweep_k(spark, sf):
     return tp.sweep_k(vectors, seed=tp.SEED)
 
 
+# The pages that the topic model is fitted on, as in cleaned_pages.
+MODELLED = f"""lowered AS (SELECT volid, seq, array_to_string(list_filter(list_transform(
+    regexp_extract_all(text, '{WORD}'), lambda x: lower(x)),
+    lambda x: x NOT IN ({STOP_SQL}) AND NOT contains(x, '__') AND NOT contains(x, 'º')), ' ') AS t FROM docs),
+clean AS (SELECT volid, seq, list_filter({clean_token_sql('t')}, lambda x: length(x) > 2) AS t FROM lowered),
+often AS (SELECT token FROM (SELECT unnest(list_distinct(t)) AS token FROM clean) GROUP BY token HAVING count(*) >= 5),
+modelled AS (SELECT volid, seq, term FROM (SELECT volid, seq, unnest(t) AS term FROM clean)
+  WHERE term IN (SELECT token FROM often) AND seq NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+def tables(spark, sf):
+    """A small model will do here: what the tables say of it does not depend on its fit."""
+    return jobs.topic_tables(model(spark, sf, k=5, maxIter=3))
+
+
+@query("topic_term_table")
+def topic_term_table(spark, sf):
+    return tables(spark, sf)["topic_terms"]
+
+
+@query("topic_term_sums", f"""WITH {DOCS}, {MODELLED}, v AS (SELECT count(DISTINCT term) AS terms FROM modelled)
+    SELECT CAST(topic AS INTEGER) AS topic, terms, 1.0::DOUBLE AS total FROM v, (SELECT unnest(range(5)) AS topic)""")
+def topic_term_sums(spark, sf):
+    """A topic has a weight for every term of the vocabulary, and they sum to 1."""
+    return topic_term_table(spark, sf).groupBy("topic").agg(
+        F.count_distinct("term_index").alias("terms"), F.round(F.sum("weight"), 6).alias("total"))
+
+
+@query("page_topic_sums", f"""WITH {DOCS}, {MODELLED}
+    SELECT DISTINCT volid, seq, CAST(5 AS BIGINT) AS topics, 1.0::DOUBLE AS total FROM modelled""")
+def page_topic_sums(spark, sf):
+    """Every page that keeps a word has a weight for each topic, and they sum to 1."""
+    long = tables(spark, sf)["page_topics"]
+    return long.groupBy("volid", "seq").agg(F.count("*").alias("topics"), F.round(F.sum("weight"), 6).alias("total"))
+
+
+@query("model_lengths", f"""WITH {DOCS}, {MODELLED}
+    SELECT volid, seq, CAST(count(*) AS INTEGER) AS doc_length FROM modelled GROUP BY volid, seq""")
+def model_lengths(spark, sf):
+    return tables(spark, sf)["lengths"]
+
+
+@query("model_vocabulary", f"""WITH {DOCS}, {MODELLED}, c AS (SELECT term, count(*) AS n FROM modelled GROUP BY term)
+    SELECT CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS term_index, term FROM c""")
+def model_vocabulary(spark, sf):
+    return tables(spark, sf)["vocabulary"]
+
+
+@query("model_term_frequency", f"""WITH {DOCS}, {MODELLED} SELECT term, count(*) AS n FROM modelled GROUP BY term""")
+def model_term_frequency(spark, sf):
+    return tables(spark, sf)["frequency"].select("term", "n")
+
+
 LEN = "dl AS (SELECT CAST(doc_id AS INTEGER) AS seq, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS doc_length FROM documents)"
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from quirelens.functions import text as tx
 from quirelens.operators import joins, keywords as kw, pages as pg, quality
 from quirelens.plans import jobs
-from quirelens.sources import readers
+from quirelens.sources import readers, writers
 from registry import query
 from registry.inputs import (
-    CATALOGUE, CONV, DOCS, PATTERNS, catalogue, conversations, documents, table,
+    CATALOGUE, CONV, DOCS, PATTERNS, catalogue, conversations, documents, new_folder, table,
 )
 
 LIST = "'|'"
@@ -56,8 +56,71 @@ stitched AS (
         WHERE volid IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1)""",
 )
 def read_pages(spark, sf):
+    """The turns of conversations written as a page store, and the listed volumes read back."""
     ids = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("volid"))
-    return joins.only_volumes(conversations(spark, sf), ids)
+    path = new_folder(spark)
+    writers.write_pages(conversations(spark, sf), path, buckets=16)
+    return readers.read_pages(spark, path, "store", ids)
+
+
+@query("read_pages_csv", f"WITH {DOCS} SELECT volid, CAST(seq AS VARCHAR) AS seq, text FROM docs WHERE text <> ''")
+def read_pages_csv(spark, sf):
+    """Pages through a headerless stage file and back; their texts hold line breaks."""
+    path = new_folder(spark)
+    writers.write_csv(documents(spark, sf).select("text", "volid", "seq"), path)
+    return readers.read_stage_csv(spark, path, multiline=True).where("text is not null")
+
+
+@query("read_lists", """SELECT 'word' AS list, concat_ws(' ', l.quality, l.toxic) AS first, '' AS second FROM labels l
+    UNION ALL SELECT 'page', CAST(doc_id AS VARCHAR), CAST(toxic AS VARCHAR) FROM labels
+    UNION ALL SELECT 'id', 'lib.' || CAST(doc_id AS VARCHAR), '' FROM labels
+    UNION ALL SELECT 'phrase', CAST(item_id AS VARCHAR) || ' x', CAST(item_id % 7 AS VARCHAR) FROM benchmark
+    UNION ALL SELECT 'pattern', 'k' || CAST(item_id AS VARCHAR), 'a{' || CAST(item_id AS VARCHAR) || '}' FROM benchmark
+    UNION ALL SELECT 'refused line', 'k' || CAST(item_id AS VARCHAR), '' FROM benchmark WHERE item_id % 5 = 0""")
+def read_lists(spark, sf):
+    """Word list, exclusions, ids, phrases and patterns, each through its file."""
+    marks, items = table(spark, sf, "labels"), table(spark, sf, "benchmark")
+    number = F.col("item_id").cast("string")
+    words, pages, ids, phrases, patterns = (new_folder(spark) for _ in range(5))
+    writers.write_csv(marks.select(F.concat_ws(" ", "quality", "toxic")), words)
+    writers.write_csv(marks.select(F.col("doc_id").cast("string"), F.col("toxic").cast("string")), pages)
+    marks.select(F.concat(F.lit("  lib."), F.col("doc_id").cast("string"), F.lit(" "))).write.text(ids)
+    writers.write_csv(items.select(F.concat(number, F.lit(" x")), (F.col("item_id") % 7)), phrases)
+    name = F.concat(F.lit("k"), number)
+    lines = items.select(F.concat_ws("\t", name, F.concat(F.lit("a{"), number, F.lit("}")))).union(
+        items.where("item_id % 5 = 0").select(name))
+    lines.coalesce(1).write.text(patterns)
+    good, bad = readers.read_patterns(spark, patterns)
+
+    def rows(df, kind, first, second=F.lit("")):
+        return df.select(F.lit(kind).alias("list"), first.alias("first"), second.alias("second"))
+
+    return (
+        rows(readers.read_word_list(spark, words), "word", F.col("word"))
+        .union(rows(readers.read_exclusions(spark, pages), "page", F.col("volid"), F.col("seq")))
+        .union(rows(readers.read_ids(spark, ids), "id", F.col("volid")))
+        .union(rows(readers.read_phrase_list(spark, phrases), "phrase", F.col("phrase"), (-F.col("rank.n")).cast("string")))
+        .union(rows(good, "pattern", F.col("name"), F.col("pattern")))
+        .union(rows(bad, "refused line", F.col("value")))
+    )
+
+
+@query("write_quarantine", f"""WITH {DOCS} SELECT 'x' || volid AS volid, seq FROM docs WHERE seq % 3 = 0""")
+def write_quarantine(spark, sf):
+    """An error report is written when there is one, and read back; an empty one is not."""
+    bad = documents(spark, sf).where("seq % 3 = 0").select(F.concat(F.lit("x"), "volid").alias("volid"), "seq")
+    path, none = new_folder(spark), new_folder(spark)
+    written = writers.write_quarantine(bad, path)
+    if not written or writers.write_quarantine(bad.limit(0), none):
+        raise AssertionError("the report is written exactly if it has rows")
+    return spark.read.parquet(path)
+
+
+@query("write_header", "SELECT 'volid,seq,text' AS value")
+def write_header(spark, sf):
+    path = new_folder(spark)
+    writers.write_header(documents(spark, sf).select("volid", "seq", "text"), path)
+    return spark.read.text(path)
 
 
 @query(
@@ -66,7 +129,10 @@ def read_pages(spark, sf):
         access, rights FROM cat""",
 )
 def read_catalogue(spark, sf):
-    return readers.catalogue_columns(catalogue(spark, sf), typed=True)
+    """The catalogue through its tab-separated file."""
+    path = new_folder(spark)
+    catalogue(spark, sf).write.option("header", True).option("sep", "\t").csv(path)
+    return readers.read_catalogue(spark, path, typed=True)
 
 
 @query(
@@ -127,6 +193,13 @@ def strip_running_lines(spark, sf):
     return pg.strip_running_lines(lines, repeats=2, within=100).select("volid", "seq", "text")
 
 
+@query("running_lines_blocks", f"WITH {FRAMED}, {BODY} SELECT volid, seq, text FROM body")
+def running_lines_blocks(spark, sf):
+    """The same in blocks that a volume fills many of."""
+    lines = framed(spark, sf).withColumn("text", tx.normalise_lines(F.col("text")))
+    return pg.strip_running_lines(lines, repeats=2, within=100, block=128).select("volid", "seq", "text")
+
+
 @query(
     "split_sentences",
     f"""WITH {DOCS}, s AS (SELECT volid, seq, {SENTENCES.replace('{t}', 'text')} AS s FROM docs)
@@ -170,6 +243,18 @@ def stitch_pages(spark, sf):
     return stitched.select("volid", "seq", F.size("sentences").alias("n"), F.array_join("sentences", "|").alias("sentences"))
 
 
+@query(
+    "stitch_pages_blocks",
+    f"""WITH RECURSIVE {DOCS}, {stitched_sql('docs', sentences_sql('text'))}
+        SELECT volid, seq, CAST(len(s) AS INTEGER) AS n, array_to_string(s, {LIST}) AS sentences FROM stitched""",
+)
+def stitch_pages_blocks(spark, sf):
+    """Volumes of many blocks: what crosses a block's edge goes through its summary row."""
+    lines = documents(spark, sf).withColumn("text", tx.normalise_lines(F.col("text")))
+    stitched = pg.stitch_pages(pg.sentence_pages(lines.select("volid", "seq", "text")), block=16)
+    return stitched.select("volid", "seq", F.size("sentences").alias("n"), F.array_join("sentences", "|").alias("sentences"))
+
+
 # The same with one-sentence pages only: every sentence of a document is a page.
 @query(
     "stitch_single_sentence_pages",
@@ -215,6 +300,37 @@ def count_keywords(spark, sf):
     return kw.count_keywords(documents(spark, sf), PATTERNS)
 
 
+MANY = """many AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark)
+    WHERE length(word) >= 3),
+pw AS (SELECT volid, seq, lower(w) AS w FROM (SELECT volid, seq, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM docs))"""
+
+
+def many_patterns(spark, sf):
+    """Every ASCII word of the benchmark as a whole word of any case."""
+    words = table(spark, sf, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
+    edge = r"[\p{L}\p{N}_]"
+    return [(r["w"], rf"(?i)(?<!{edge}){r['w']}(?!{edge})") for r in words.where("length(w) >= 3").orderBy("w").collect()]
+
+
+@query("count_keywords_many", f"""WITH {DOCS}, {MANY}
+    SELECT volid, seq, word AS keyword, CAST(count(*) AS INTEGER) AS n FROM many JOIN pw ON lower(word) = w
+    GROUP BY volid, seq, word""")
+def count_keywords_many(spark, sf):
+    """More patterns than are tried on every page: an index of letters picks the candidates."""
+    return kw.count_keywords(documents(spark, sf), many_patterns(spark, sf))
+
+
+@query("refused_patterns", """SELECT CAST(item_id AS VARCHAR) AS name, '(' || CAST(item_id AS VARCHAR) AS pattern
+    FROM benchmark WHERE item_id % 4 = 0""")
+def refused_patterns(spark, sf):
+    """Every fourth item gives a pattern that is no regular expression."""
+    number = F.col("item_id").cast("string")
+    listed = table(spark, sf, "benchmark").select(
+        number.alias("name"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("("), number)).otherwise(number).alias("pattern"))
+    return jobs.refused_patterns(documents(spark, sf), listed).where("reason <> ''").select("name", "pattern")
+
+
 @query("any_match", f"WITH {DOCS}, {WIDE} SELECT volid, seq FROM wide WHERE {ANY}")
 def any_match(spark, sf):
     return kw.any_match(count_keywords(spark, sf))
