@@ -7,30 +7,33 @@ from quirelens.functions import text as tx
 from quirelens.operators import pages as pg
 from quirelens.plans import jobs
 
-VOLUME = [
-    ("shelf.77", 1, "\n  Rain fell on\nthe roof.  Nobody\nwent out-\nside, so they read.\n\n  Then at noon\n"),
-    ("shelf.77", 2, "\nthe post came. A letter\nlay on top.\n"),
-    ("shelf.77", 3, ""),
-    ("shelf.77", 4, "\nIt was late in May."),
-    ("shelf.77", 5, ""),
-]
-EXPECTED = {
-    1: ["Rain fell on\nthe roof.", "Nobody\nwent outside,\nso they read.", "Then at noon the post came."],
-    2: ["A letter\nlay on top."],
-    3: [],
-    4: ["It was late in May."],
-    5: [],
+# volume -> page number -> (text, sentences once pages are joined)
+VOLUMES = {
+    "loom.wool": {
+        10: ("Wool was dyed in\nvats?  Yes! And", ["Wool was dyed in\nvats?", "Yes!", "And then dried on racks."]),
+        11: ("   then dried on racks.\nNo one hur-\nried; all waited", ["No one hurried;\nall waited for noon."]),
+        14: ("for noon.", []),
+    },
+    "loom.flax": {1: (" \n\t", []), 2: ("Only this.", ["Only this."])},
+    "loom.silk": {
+        0: ("\n \nOne (of many). Two", ["One (of many).", "Two"]),
+        7: ("", []),
+        8: ("three. Four", ["three.", "Four five"]),
+        9: ("five", []),
+        12: ("Six.", ["Six."]),
+    },
 }
+ROWS = [(v, n, text) for v, numbered in VOLUMES.items() for n, (text, _) in numbered.items()]
 
 
 def one(spark, col):
     return spark.range(1).select(col.alias("x")).first()["x"]
 
 
-def test_fixture_volume(spark):
-    df = spark.createDataFrame(VOLUME, "volid string, seq int, text string")
-    got = {r["seq"]: r["sentences"] for r in jobs.full_page_sentences(df, running_lines=False).collect()}
-    assert got == EXPECTED
+def test_volumes_by_hand(spark):
+    df = spark.createDataFrame(ROWS, "volid string, seq int, text string").repartition(3)
+    got = {(r["volid"], r["seq"]): r["sentences"] for r in jobs.full_page_sentences(df, running_lines=False).collect()}
+    assert got == {(v, n): want for v, numbered in VOLUMES.items() for n, (_, want) in numbered.items()}
 
 
 def stitch_by_hand(volume):
@@ -107,7 +110,7 @@ def test_adjacent_pages(spark):
 
 def test_lines_and_hyphens(spark):
     assert one(spark, tx.normalise_lines(F.lit("  a b \n \t\n\n c  d\r\n"))) == "a b\nc  d"
-    assert one(spark, tx.dehyphenate(F.lit("sen-\ntence, and\nnon-stop 5-\n6"))) == "sentence,\nand\nnon-stop 5-\n6"
+    assert one(spark, tx.dehyphenate(F.lit("can-\ndle; lit\nwell-kept 5-\n6"))) == "candle;\nlit\nwell-kept 5-\n6"
 
 
 def test_sentences(spark):
@@ -118,6 +121,6 @@ def test_sentences(spark):
 
 
 def test_no_python_in_plan(spark):
-    df = spark.createDataFrame(VOLUME, "volid string, seq int, text string")
+    df = spark.createDataFrame(ROWS, "volid string, seq int, text string")
     plan = jobs.page_matches(df, [("x", "the")])._jdf.queryExecution().toString()
     assert "Python" not in plan

@@ -110,3 +110,64 @@ def test_empty_pages_are_not_modelled(spark):
 
     df = spark.createDataFrame([("a", 1, ""), ("a", 2, None), ("a", 3, "one two")], "volid string, seq int, text string")
     assert [r["seq"] for r in tp.tokenised(df).collect()] == [3]
+
+
+def test_coherence_of_a_fitted_model(fitted):
+    model = fitted[0]
+    got = {r["topic"]: r["coherence"] for r in jobs.model_coherence(model, 20).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(-1 <= c <= 1 for c in got.values())
+    terms = jobs.heaviest_terms(model, 20).collect()
+    assert len(terms) == 80 and {t["term"] for t in terms} <= set(model.vocabulary.vocabulary)
+
+
+def test_coherence_of_a_hundred_terms(spark):
+    """Masks of two numbers: pair counts by hand over all windows."""
+    import random
+
+    from quirelens.operators import coherence as co
+
+    rnd = random.Random(9)
+    words = [f"w{i:03d}" for i in range(100)]
+    docs = [[rnd.choice(words) for _ in range(rnd.choice([1, 40, 300]))] for _ in range(12)]
+    size = 15
+    want = {}
+    for d in docs:
+        for s in range(max(len(d) - size + 1, 1)):
+            seen = set(d[s : s + size])
+            for x in seen:
+                for y in seen:
+                    want[x, y] = want.get((x, y), 0) + 1
+    df = spark.createDataFrame([("v", i, d) for i, d in enumerate(docs)], "volid string, seq int, tokens array<string>")
+    topics = spark.createDataFrame([(0, w) for w in words] + [(1, "w000"), (1, "none")], "topic int, term string")
+    bits = co.topic_term_bits(topics)
+    masks = co.window_masks(df, bits, size)
+    assert masks.select(F.max(F.size("mask"))).first()[0] == 2
+    got = {(r["term_a"], r["term_b"]): r["windows"] for r in co.pair_counts(masks, bits).where("topic = 0").collect()}
+    assert got == {(x, y): want.get((x, y), 0) for x in words for y in words}
+    scores = {r["topic"]: r["coherence"] for r in co.coherence_cv(df, topics, size).collect()}
+    assert set(scores) == {0, 1}
+
+
+def test_topic_tables_of_a_job(spark, fitted):
+    model = fitted[0]
+    tables = jobs.topic_tables(model)
+    terms = {(r["topic"], r["term_index"]): r["weight"] for r in tables["topic_terms"].collect()}
+    for r in model.model.describeTopics(6).collect():
+        for i, w in zip(r["termIndices"], r["termWeights"]):
+            assert terms[r["topic"], i] == pytest.approx(w)
+    words = {r["term_index"]: r["term"] for r in tables["vocabulary"].collect()}
+    assert [words[i] for i in range(len(words))] == list(model.vocabulary.vocabulary)
+    counts = {r["term"]: r["n"] for r in tables["frequency"].collect()}
+    assert sum(counts.values()) == sum(r["doc_length"] for r in tables["lengths"].collect())
+    saved = ins.saved_vocabulary(spark, f"{fitted[2]}/vocab")
+    assert {r["term_index"]: r["term"] for r in saved.collect()} == words
+
+
+def test_fits_side_by_side_score_alike(spark, fitted):
+    _, features = jobs.topic_features(fitted[1])
+    ks = (2, 3, 4, 6)
+    alone = tp.sweep_k(features, ks, seed=5, side_by_side=1, maxIter=3).collect()
+    together = tp.sweep_k(features, ks, seed=5, side_by_side=4, maxIter=3).collect()
+    assert [r["k"] for r in together] == list(ks)
+    for a, b in zip(alone, together):
+        assert a["log_likelihood"] == pytest.approx(b["log_likelihood"], rel=1e-9)
