@@ -10,17 +10,21 @@ from __future__ import annotations
 
 import base64
 import codecs
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces kept by a worker before it starts afresh; bounds its memory, not the result.
-CACHE = 400_000
-#: Characters handled at a time.
-BLOCK = 1 << 20
+from quirelens.llm import arrays
+
+#: Bytes of merged pieces that a worker keeps before it starts afresh, as it counts them.
+CACHE = 16 << 20
+#: Characters, bytes or ids handled at a time.
+BLOCK = 1 << 18
 #: Fixed value: the splitting pattern that array operations stand for; others go by regex.
 BYTE_LEVEL = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,7 +62,7 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     out = []
     for b in (base, inverse):
-        factors = np.full(2 * BLOCK, b, np.uint64)
+        factors = np.full(2 << 18, b, np.uint64)
         factors[0] = 1
         out.append(np.cumprod(factors))
     return tuple(out)
@@ -136,15 +140,20 @@ class Codec:
         self._at = np.cumsum(self._width) - self._width
         self._flat = np.frombuffer(b"".join(self._bytes.get(r, b"") for r in range(most)), np.uint8)
         self._pieces: dict[str, bytes] = {}
+        self._kept = 0
 
     def _ids(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
         if found is None:
             spelling = piece.encode().decode("latin-1").translate(self._spell)
             found = np.array([t.id for t in self._model.tokenize(spelling)], "<u4").tobytes()
-            if len(self._pieces) >= CACHE:
+            size = 200 + 4 * len(piece) + len(found)
+            if self._kept + size > CACHE:
                 self._pieces.clear()
-            self._pieces[piece] = found
+                self._kept = 0
+            if size <= CACHE:
+                self._pieces[piece] = found
+                self._kept += size
         return found
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +173,8 @@ class Codec:
                 [[m.start() + b for m in self._split.finditer(t)] for t, b in zip(texts, begins)]
             ).astype(np.int64)
         end = np.append(start[1:], len(codes))
-        if len(codes) < 2 * BLOCK:
-            power, inverse = powers()
+        power, inverse = powers()
+        if len(codes) < len(power):
             sums = np.zeros(len(codes) + 1, np.uint64)
             np.cumsum((codes + np.uint64(1)) * power[: len(codes)], out=sums[1:])
             key = (sums[end] - sums[start]) * inverse[start]
@@ -273,19 +282,44 @@ class BytePairs:
     def _function(self, kind: str, work):
         blob, pattern = self._blob, self._pattern
 
-        def run(values: pa.Array) -> pa.Array:
-            return work(codec(blob.value, pattern), values)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = codec(blob.value, pattern)
+            for batch in batches:
+                for part in arrays.steps(batch, BLOCK):
+                    yield work(own, part)
 
         return F.arrow_udf(run, kind)
 
     def encode(self, text: Column) -> Column:
         """array<int> of token ids."""
+        return self._function("array<int>", _encoded)(text)
+
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids array<int>, decoded binary, same boolean>: ids, the bytes made from the
+        ids alone, and whether these are the text's bytes."""
 
         def work(own: Codec, texts: pa.Array) -> pa.Array:
-            ids, sizes = own.encode(texts.to_pylist())
-            return pa.ListArray.from_arrays(_edges(sizes), pa.array(ids.view(np.int32)))
+            ids = _encoded(own, texts)
+            decoded = _decoded(own, ids)
+            want = texts.fill_null("").cast(pa.binary())
+            return pa.StructArray.from_arrays(
+                [ids, decoded, pc.equal(decoded, want)], names=["ids", "decoded", "same"]
+            )
 
-        return self._function("array<int>", work)(text)
+        return self._function("ids array<int>, decoded binary, same boolean", work)(text)
+
+    def packed(self, text: Column) -> Column:
+        """struct<n_tokens long, ids binary, decoded binary>: ids as unsigned 32-bit integers,
+        little-endian, and the bytes made from them."""
+
+        def work(own: Codec, texts: pa.Array) -> pa.Array:
+            ids = _encoded(own, texts)
+            return pa.StructArray.from_arrays(
+                [ids.value_lengths().cast(pa.int64()), _little_endian(ids), _decoded(own, ids)],
+                names=["n_tokens", "ids", "decoded"],
+            )
+
+        return self._function("n_tokens long, ids binary, decoded binary", work)(text)
 
     def starts(self, text: Column) -> Column:
         """array<int>: where in the text, in characters, each token starts."""
@@ -339,14 +373,25 @@ def _decoded(own: Codec, lists: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edge), pa.py_buffer(data)])
 
 
+def _encoded(own: Codec, texts: pa.Array) -> pa.Array:
+    ids, sizes = own.encode(texts.to_pylist())
+    return pa.ListArray.from_arrays(_edges(sizes), pa.array(ids.view(np.int32)))
+
+
+def _little_endian(lists: pa.Array) -> pa.Array:
+    flat, sizes = _flat(lists)
+    edge = (4 * np.concatenate([[0], np.cumsum(sizes)])).astype(np.int32)
+    data = np.ascontiguousarray(flat.astype("<i4"))
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edge), pa.py_buffer(data)])
+
+
 def little_endian(ids: Column) -> Column:
     """binary: the ids as unsigned 32-bit integers, little-endian."""
 
-    def packed(lists: pa.Array) -> pa.Array:
-        flat, sizes = _flat(lists)
-        edge = (4 * np.concatenate([[0], np.cumsum(sizes)])).astype(np.int32)
-        data = np.ascontiguousarray(flat.astype("<i4"))
-        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edge), pa.py_buffer(data)])
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in arrays.steps(batch, BLOCK):
+                yield _little_endian(part)
 
     return F.arrow_udf(packed, "binary")(ids)
 
@@ -364,10 +409,9 @@ def digests(docs: DataFrame, pairs: BytePairs) -> DataFrame:
     Null and empty text give no tokens and the digest of no bytes.  Rows are handled
     one by one, so repeated rows and null ids stay as they are; other columns are dropped.
     """
-    ids = docs.select("doc_id", pairs.encode(F.col("text")).alias("ids"))
-    return ids.select(
+    return docs.select("doc_id", pairs.packed(F.col("text")).alias("_packed")).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(pairs.decode_bytes(F.col("ids")), 256).alias("decoded_sha256"),
+        F.col("_packed.n_tokens").alias("n_tokens"),
+        F.sha2("_packed.ids", 256).alias("ids_sha256"),
+        F.sha2("_packed.decoded", 256).alias("decoded_sha256"),
     )
