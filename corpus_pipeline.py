@@ -39,16 +39,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids and their number; ``decoded_ok`` tells that they give the text back."""
-    pairs = byte_pairs(spark)
-    ids = docs.withColumn("ids", pairs.encode(F.col("text")))
-    return ids.select(
-        *docs.columns,
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        (pairs.decode_bytes(F.col("ids")) == F.coalesce("text", F.lit("")).cast("binary")).alias(
-            "decoded_ok"
-        ),
+    """Adds the token ids and their number; ``decoded_ok`` tells that they give the text back.
+
+    Null and empty texts get no ids.  Rows are handled one by one, repeated ones too, and
+    a text of any length whole.  Columns of ``docs`` with the new names are replaced.
+    """
+    new = ("ids", "n_tokens", "decoded_ok")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    coded = docs.select(*rest, byte_pairs(spark).round_trip(F.col("text")).alias("_coded"))
+    return coded.select(
+        *rest,
+        F.size("_coded.ids").cast("long").alias("n_tokens"),
+        F.col("_coded.ids").alias("ids"),
+        F.col("_coded.same").alias("decoded_ok"),
     )
 
 
