@@ -12,7 +12,7 @@ from quirelens.llm import (
     bpe, decontaminate, fim, hnsw, langid, lexicon, lines, lm, minhash, periods, substrings, suffixes,
     toxicity,
 )
-from quirelens.llm.rows import remainder, written
+from quirelens.llm.rows import labelled_sample, remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,9 +105,9 @@ def labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    learned = docs.join(labels(spark, sf_dir, "toxic"), "doc_id").where(
-        remainder(F.col("doc_id"), 4) != 2
-    )
+    usable = (remainder(F.col("doc_id"), 4) != 2) & toxicity.usable_text(F.col("text"))
+    marks = labels(spark, sf_dir, "toxic").where("toxic in (0, 1)")
+    learned = labelled_sample(docs, marks, "toxic", usable, toxicity.FIT_ROWS)
     found = toxicity.detect(docs, toxicity.fit(learned))
     return found.select(
         "doc_id",
@@ -134,12 +134,7 @@ def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = lexicon.WordPieces.fitted(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return lexicon.encoded(docs, pieces).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return lexicon.digests(docs, pieces)
 
 
 @query

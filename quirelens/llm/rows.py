@@ -88,7 +88,9 @@ def bounded_sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
     a label still has too many of is cut by that hash, so no label meets in one task
     and the sample does not depend on the partitioning.
     """
-    counts = [r.asDict() for r in rows.groupBy(label).count().limit(bound).collect()]
+    # beyond ``bound`` different labels, the most frequent ones
+    most = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(bound)
+    counts = [r.asDict() for r in most.collect()]
     if not counts:
         return rows.limit(0)
     share = max(1, bound // len(counts))
@@ -109,3 +111,23 @@ def bounded_sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
         .where(F.col("_n") <= share)
         .select(*rows.columns)
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, bound: int) -> DataFrame:
+    """``(text, label)`` of at most ``bound`` usable documents, evenly over the labels.
+
+    ``labels(doc_id, label)`` has one row per id.  Ids and a hash of the text alone meet
+    the labels; the texts of those drawn, a bounded number, are read in a second scan that
+    the drawn ids are broadcast to.  So no text is shuffled, whatever the size.  Equal
+    texts of one id count once.
+    """
+    mark = F.xxhash64("text").alias("_mark")
+    narrow = docs.where(usable).select("doc_id", mark).distinct()
+    drawn = written(bounded_sample(narrow.join(labels.select("doc_id", label), "doc_id"), label, bound))
+    return (
+        docs.where(usable)
+        .select("doc_id", "text", mark)
+        .join(F.broadcast(drawn), ["doc_id", "_mark"])
+        .dropDuplicates(["doc_id", "_mark"])
+        .select("text", label)
+    )

@@ -8,19 +8,20 @@ window.  It is trained in numpy: a text's loss is that of the window it scores b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.arrays import gathered, mixed, span_hashes
+from quirelens.llm.arrays import gathered, mixed, span_hashes, steps
 from quirelens.llm.langid import _is_letter
 from quirelens.llm.rows import bounded_sample
 
 #: Words in a window and between the starts of two windows.
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 6
 WORD, CHAR, HIDDEN = 12, 12, 8
 TRIGRAMS = 8192
 #: Prefixes of so many letters go with the trigrams: stems that take unseen endings.
@@ -33,8 +34,8 @@ FIT_GROUP = 200
 EPOCHS, TEXTS_PER_STEP = 4, 64
 #: A small sample is passed more often, until there were this many steps.
 LEAST_STEPS = 150
-#: Characters and windows handled at a time.
-BLOCK, WINDOWS = 1 << 20, 4096
+#: Characters and windows handled at a time, and windows that blocks of a text share.
+BLOCK, WINDOWS, SHARED = 1 << 19, 4096, 8
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,6 +210,11 @@ def _worst(network: Network, x: np.ndarray, word: np.ndarray, count: np.ndarray)
     return best, which, index
 
 
+def usable_text(text: Column, chars: int = FIT_CHARS) -> Column:
+    """Whether the network can be fitted on a text: it has a letter and is not too long."""
+    return (F.length(text) <= chars) & text.rlike(r"\p{L}")
+
+
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed: int = 5) -> Network:
     """Network of ``labelled(text, toxic)``, on at most ``rows`` rows of both labels alike.
 
@@ -217,7 +223,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed:
     a constant.
     """
     usable = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where(
-        F.col("toxic").isin(0, 1) & (F.length("text") <= chars) & F.col("text").rlike(r"\p{L}")
+        F.col("toxic").isin(0, 1) & usable_text(F.col("text"), chars)
     )
     got = bounded_sample(usable, "toxic", rows).toArrow().to_pylist()
     got = sorted((r["text"], r["toxic"]) for r in got)
@@ -293,7 +299,9 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed:
 def scores(network: Network, texts: list[str | None]) -> np.ndarray:
     """Score of each whole text; 0 for texts without a word."""
     if network.constant is not None:
-        return np.array([network.constant if t else 0.0 for t in texts])
+        letter = _is_letter()
+        some = [letter[np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4")].any() for t in texts]
+        return np.where(some, network.constant, 0.0)
     out = np.zeros(len(texts))
     waiting: list[tuple[int, str]] = []
     held = 0
@@ -310,7 +318,7 @@ def scores(network: Network, texts: list[str | None]) -> np.ndarray:
         np.maximum.at(out, [i for i, _ in waiting], got)
 
     for i, text in enumerate(texts):
-        for part in _parts(text or ""):
+        for part in _parts((text or "").lower()):
             if held + len(part) > BLOCK and waiting:
                 flush()
                 waiting, held = [], 0
@@ -322,35 +330,42 @@ def scores(network: Network, texts: list[str | None]) -> np.ndarray:
 
 
 def _parts(text: str) -> list[str]:
-    """Blocks of a long text that share WINDOW words, so that no window is lost."""
+    """Blocks of a long lower-case text whose windows together are those of the text.
+
+    A block starts at a word whose number is a multiple of STRIDE and, unless it is the
+    last, ends with the last word of a whole window; the next one shares some windows.
+    """
     if len(text) <= BLOCK:
         return [text]
-    out, at = [], 0
-    while at < len(text):
-        end = text.find(" ", at + BLOCK)
-        end = len(text) if end < 0 else end
-        out.append(text[at:end])
-        if end >= len(text):
-            break
-        back = end
-        for _ in range(WINDOW):
-            back = text.rfind(" ", at + 1, back)
-            if back < 0:
-                break
-        at = back if back > at else end
-    return out
+    letter = _is_letter()
+    out, at, size = [], 0, BLOCK
+    while at + size < len(text):
+        inside = letter[np.frombuffer(text[at : at + size].encode("utf-32-le", "surrogatepass"), "<u4")]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
+        start, end = edge[::2], edge[1::2]  # a word that the block cuts has no end
+        full = (len(end) - WINDOW) // STRIDE
+        if full <= SHARED:  # words of no end: a longer block
+            size *= 2
+            continue
+        out.append(text[at : at + int(end[WINDOW + full * STRIDE - 1])])
+        at, size = at + int(start[(full - SHARED) * STRIDE]), BLOCK
+    return [*out, text[at:]]
 
 
 def detect(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFrame:
     """``docs`` with toxicity (0 to 1) and is_toxic (toxicity >= threshold).
 
-    Only the whole text is read.  Null and empty texts, and texts without a letter, score
-    0.  Rows are scored one by one, repeated ones and ones without an id too.
+    Null and empty texts, and texts without a letter, score 0.  Rows are scored one by one,
+    repeated ones and ones without an id too, and a text of any length whole, by the same
+    windows whatever blocks it is read in.  Columns of ``docs`` with the new names are
+    replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
-    def work(texts: pa.Array) -> pa.Array:
-        return pa.array(scores(shared.value, texts.to_pylist()), pa.float64())
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in steps(batch, 4 * BLOCK):
+                yield pa.array(scores(shared.value, texts.to_pylist()), pa.float64())
 
     scored = F.arrow_udf(work, "double")
     return docs.withColumn("toxicity", scored(F.col("text"))).withColumn(
