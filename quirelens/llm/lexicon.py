@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -32,9 +32,7 @@ WORDS = 1 << 18
 #: A word is worth a place when it is seen this often.
 SEEN = 2
 #: Bytes of text handled at a time.
-STEP = 1 << 18
-#: Words a task counts before it passes them on.
-HELD = 100_000
+STEP = 1 << 19
 #: Merged words that a worker remembers, and the longest of them in bytes.
 MERGED, MERGED_BYTES = 50_000, 64
 _FIRST_SLOT = 256
@@ -153,10 +151,31 @@ class Transducer:
         self.root = len(self.base) - 1
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Number of each word data[start:end] in the sorted lexicon, or -1."""
-        out = np.full(len(start), -1, np.int64)
+        """Number of each word data[start:end] in the sorted lexicon, or -1.
+
+        Of short words, each different one walks once: up to seven bytes and the length
+        fit into one number, so equal numbers are equal words.
+        """
         if not len(self.ids):
-            return out
+            return np.full(len(start), -1, np.int64)
+        size = end - start
+        short = np.flatnonzero(size < 8)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data) + 1, 8), (1, 1))
+        key = np.ascontiguousarray(eight[start[short]]).view("<u8").ravel()
+        key &= (np.uint64(1) << (8 * size[short]).astype(np.uint64)) - np.uint64(1)
+        key |= size[short].astype(np.uint64) << np.uint64(56)
+        _, one, back = np.unique(key, return_index=True, return_inverse=True)
+        long = np.flatnonzero(size >= 8)
+        walked = np.concatenate([short[one], long])
+        found = self._walk(data, start[walked], end[walked])
+        out = np.empty(len(start), np.int64)
+        out[short] = found[: len(one)][back]
+        out[long] = found[len(one) :]
+        return out
+
+    def _walk(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.full(len(start), -1, np.int64)
         alive = np.flatnonzero(end > start)
         at, stop = start[alive], end[alive]
         state = np.full(len(alive), self.root, np.int32)
@@ -218,7 +237,7 @@ class Codec:
     def _unseen(self, word: bytes) -> bytes:
         found = self._merged.get(word)
         if found is None:
-            found = np.array(self.merge(word), "<u4").tobytes()
+            found = array("I", self.merge(word)).tobytes()
             if len(word) <= MERGED_BYTES:
                 if len(self._merged) >= MERGED:
                     self._merged.clear()
@@ -311,35 +330,10 @@ def _codec(name: str, file: str) -> Codec:
 # -- Spark -----------------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame, file: str) -> DataFrame:
+def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts: how often each match of the splitting pattern occurs."""
-    sent = docs.sparkSession.sparkContext.broadcast(file)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codec(sent.value)
-        counts: Counter[bytes] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            out = [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(out, names=["word", "n"])
-
-        for batch in batches:
-            for texts in arrays.steps(batch["text"], STEP):
-                data, edges = arrays.flat(texts)
-                start, end, _, fixed = own.split(data, edges)
-                raw, plain = data.tobytes(), fixed < 0
-                counts.update([raw[a:b] for a, b in zip(start[plain].tolist(), end[plain].tolist())])
-                if len(counts) >= HELD:
-                    yield rows()
-        yield rows()
-
-    return (
-        docs.select("text")
-        .mapInArrow(work, "word binary, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-    )
+    matches = F.regexp_extract_all("text", F.lit(bpe.BYTE_LEVEL), F.lit(0))
+    return docs.select(F.explode(matches).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int = WORDS, seen: int = SEEN) -> list[bytes]:
@@ -358,7 +352,8 @@ def frequent(counts: DataFrame, most: int = WORDS, seen: int = SEEN) -> list[byt
         least = r.n
     if least is None:
         return []
-    return sorted(kept.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist())
+    words = kept.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist()
+    return sorted(w.encode() for w in words)
 
 
 class WordPieces:
@@ -384,9 +379,7 @@ class WordPieces:
     @classmethod
     def fitted(cls, docs: DataFrame, path: str, most: int = WORDS) -> WordPieces:
         """With the frequent words of all texts of ``docs`` compiled."""
-        with open(path, encoding="utf-8") as f:
-            file = f.read()
-        return cls(docs.sparkSession, path, frequent(word_counts(docs, file), most))
+        return cls(docs.sparkSession, path, frequent(word_counts(docs), most))
 
     def _function(self, kind: str, work):
         name, file = self.name, self._file
@@ -417,6 +410,23 @@ class WordPieces:
         return self._function("ids array<int>, decoded string", work)(text)
 
 
+    def packed(self, text: Column) -> Column:
+        """struct<n_tokens long, ids binary, decoded string>: ids as unsigned 32-bit integers,
+        little-endian, and the text made from them."""
+
+        def work(own: Codec, texts: pa.Array) -> pa.Array:
+            ids = _ids(own, texts)
+            size = ids.value_lengths().cast(pa.int64())
+            edge = np.concatenate([[0], np.cumsum(4 * size.to_numpy())]).astype(np.int32)
+            flat = np.ascontiguousarray(ids.values.to_numpy().astype("<i4"))
+            raw = pa.Array.from_buffers(
+                pa.binary(), len(ids), [None, pa.py_buffer(edge), pa.py_buffer(flat)]
+            )
+            return pa.StructArray.from_arrays([size, raw, _texts(own, ids)], names=["n_tokens", "ids", "decoded"])
+
+        return self._function("n_tokens long, ids binary, decoded string", work)(text)
+
+
 def _ids(own: Codec, texts: pa.Array) -> pa.Array:
     ids, sizes = own.encode(*arrays.flat(texts))
     edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -437,3 +447,17 @@ def encoded(docs: DataFrame, pieces: WordPieces) -> DataFrame:
     return docs.select(*rest, pieces.round_trip(F.col("text")).alias("_pair")).select(
         *rest, F.col("_pair.ids").alias("ids"), F.col("_pair.decoded").alias("decoded")
     )
+
+
+def digests(docs: DataFrame, pieces: WordPieces) -> DataFrame:
+    """One row per document: n_tokens, ids_sha256, decoded_sha256; other columns are dropped.
+
+    Null and empty text give no tokens and the digest of no bytes.  Rows are handled one
+    by one, so repeated rows and null ids stay as they are.
+    """
+    return docs.select("doc_id", pieces.packed(F.col("text")).alias("_packed")).select(
+        "doc_id",
+        F.col("_packed.n_tokens").alias("n_tokens"),
+        F.sha2("_packed.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("_packed.decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
