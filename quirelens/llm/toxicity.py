@@ -35,7 +35,7 @@ EPOCHS, TEXTS_PER_STEP = 4, 64
 #: A small sample is passed more often, until there were this many steps.
 LEAST_STEPS = 150
 #: Characters and windows handled at a time, and windows that blocks of a text share.
-BLOCK, WINDOWS, SHARED = 1 << 19, 4096, 8
+BLOCK, WINDOWS, SHARED = 1 << 19, 2048, 8
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,6 +141,52 @@ class Network:
         logit = pooled @ p["out"] + p["bias"][0]
         return (logit, (states, a, pooled, memory, real)) if keep else logit
 
+    def full(self, x: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Logits like ``forward``, of windows without a gap: in place, no masks."""
+        p, h = self.p, HIDDEN
+        n, steps = index.shape
+        # windows lie side by side, so every gate is one stretch of memory
+        states = np.empty((steps, 2 * h, n), np.float32)
+        columns = np.ascontiguousarray(index.T)
+        for way, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
+            gates = np.ascontiguousarray((x @ p[f"wx{way}"] + p[f"b{way}"]).T)
+            wh = np.ascontiguousarray(p[f"wh{way}"].T)
+            # the sigmoid of v is half of 1 + tanh(v / 2)
+            gates[: 2 * h] *= 0.5
+            wh[: 2 * h] *= 0.5
+            part = slice(0, h) if way == "f" else slice(h, 2 * h)
+            state = np.zeros((h, n), np.float32)
+            for t in order:
+                g = gates.take(columns[t], 1)
+                u = wh @ state
+                zr, new = g[: 2 * h], g[2 * h :]
+                zr += u[: 2 * h]
+                np.tanh(zr, out=zr)
+                zr += 1
+                zr *= 0.5
+                u = u[2 * h :]
+                u *= zr[h:]
+                new += u
+                np.tanh(new, out=new)
+                state -= new
+                state *= zr[:h]
+                state += new
+                states[t, part] = state
+        a = (p["attend"] @ states.swapaxes(0, 1).reshape(2 * h, -1)).reshape(steps, n)
+        a = np.exp(a - a.max(0))
+        a /= a.sum(0)
+        states *= a[:, None]
+        return p["out"] @ states.sum(0) + p["bias"][0]
+
+    def logits(self, x: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Logit of each window, some at a time; windows with a gap are few."""
+        out = np.empty(len(index), np.float32)
+        whole = index[:, -1] >= 0
+        for rows, work in ((np.flatnonzero(whole), self.full), (np.flatnonzero(~whole), self.forward)):
+            for i in range(0, len(rows), WINDOWS):
+                out[rows[i : i + WINDOWS]] = work(x, index[rows[i : i + WINDOWS]])
+        return out
+
     def backward(self, x, index, rest, error):
         """Gradients of the sum of error * logit: of the parameters, and of ``x``."""
         p, h = self.p, HIDDEN
@@ -197,10 +243,7 @@ def _worst(network: Network, x: np.ndarray, word: np.ndarray, count: np.ndarray)
     """Per text the largest logit and the window it comes from; -inf without words."""
     text, index = windows(count)
     index = np.where(index >= 0, np.append(word, -1)[index], -1)
-    logit = np.concatenate(
-        [np.zeros(0, np.float32)]
-        + [network.forward(x, index[i : i + WINDOWS]) for i in range(0, len(index), WINDOWS)]
-    )
+    logit = network.logits(x, index)
     best = np.full(len(count), -np.inf)
     np.maximum.at(best, text, logit)
     order = np.lexsort((-logit, text))

@@ -217,3 +217,148 @@ def test_nearest_odd_rows(spark):
     few = use.where("vec_id in (0, 100)")
     assert sorted((r.query_id, r.vec_id) for r in hnsw.nearest(few, few, 20).collect()) == [(0, 100), (100, 0)]
     assert hnsw.nearest(use.limit(0), use, 5).count() == 0
+
+
+def net_of(words, seed=3):
+    rng = np.random.default_rng(seed)
+    _, key, _, _ = toxicity.words([" ".join(words)])
+    net = toxicity.Network.start(np.unique(key), seed)
+    for p in net.p.values():
+        p += rng.normal(0, 0.5, p.shape).astype(np.float32)
+    return net
+
+
+def plain_score(net, text):
+    """The network written down word by word: no windows at once, no arrays of texts."""
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
+    def vector(word):
+        _, key, tri, _ = toxicity.words([word])
+        own = net.p["word"][net.word_rows(key)[0]]
+        return np.concatenate([own, net.p["char"][tri].mean(0)]).astype(np.float64)
+
+    def gru(xs, way):
+        wx, wh, b = (net.p[f"{n}{way}"].astype(np.float64) for n in ("wx", "wh", "b"))
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            g, u = x @ wx + b, h @ wh
+            k = toxicity.HIDDEN
+            z, r = sigmoid(g[:k] + u[:k]), sigmoid(g[k : 2 * k] + u[k : 2 * k])
+            h = (1 - z) * np.tanh(g[2 * k :] + r * u[2 * k :]) + z * h
+            out.append(h)
+        return out
+
+    found = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    if not found:
+        return 0.0
+    best, start = -np.inf, 0
+    while True:
+        xs = [vector(w) for w in found[start : start + toxicity.WINDOW]]
+        states = np.column_stack([gru(xs, "f"), gru(xs[::-1], "b")[::-1]])
+        a = np.exp(states @ net.p["attend"])
+        best = max(best, float((a / a.sum()) @ states @ net.p["out"] + net.p["bias"][0]))
+        if start + toxicity.WINDOW >= len(found):
+            return sigmoid(best)
+        start += toxicity.STRIDE
+
+
+def test_scores_by_a_plain_network():
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "so", "ti", "vex")]
+    net = net_of(words)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(words + ["other", "1", "Ünd"], n)) for n in (1, 5, 24, 25, 60, 133)] + ["", "12 !"]
+    got = toxicity.scores(net, texts)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_a_text_scores_alike_in_blocks(monkeypatch):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "so", "ti", "vex")]
+    net = net_of(words)
+    rng = np.random.default_rng(1)
+    for gap in (" ", "\n", "  7  "):
+        text = gap.join(rng.choice(words, 900))
+        whole = toxicity.scores(net, [text])
+        monkeypatch.setattr(toxicity, "BLOCK", 1000)
+        assert len(toxicity._parts(text)) > 2
+        assert np.allclose(toxicity.scores(net, [text]), whole, atol=1e-5)
+        monkeypatch.undo()
+
+
+def test_a_phrase_is_whole_in_some_window_wherever_it_stands():
+    longest = toxicity.WINDOW - toxicity.STRIDE + 1
+    for at in range(60):
+        _, index = toxicity.windows(np.array([200]))
+        assert any(set(range(at, at + longest)) <= set(row) for row in index.tolist())
+
+
+def test_one_label_scores_texts_without_a_letter_zero(spark):
+    rows = spark.createDataFrame([("bad words", 1), ("worse words", 1)], "text string, toxic int")
+    net = toxicity.fit(rows)
+    odd = spark.createDataFrame([("bad",), ("12 !",), ("",), (None,)], "text string")
+    got = {r.text: r.toxicity for r in toxicity.detect(odd, net).collect()}
+    assert got == {"bad": 1.0, "12 !": 0.0, "": 0.0, None: 0.0}
+
+
+def test_sample_without_shuffling_texts(spark):
+    from pyspark.sql import functions as F
+
+    from quirelens.llm.rows import labelled_sample
+
+    docs = spark.createDataFrame(
+        [(i, f"text {i}") for i in range(300)] + [(5, "text 5"), (5, "other"), (None, "n"), (7, None)],
+        "doc_id long, text string",
+    )
+    labels = spark.createDataFrame([(i, i % 10 == 0) for i in range(200)], "doc_id long, bad boolean")
+    got = labelled_sample(docs, labels, "bad", F.col("text").isNotNull(), 40).collect()
+    assert sum(r.bad for r in got) == 20 and 15 <= len(got) - 20 <= 20
+    assert len({r.text for r in got}) == len(got)
+    every = labelled_sample(docs, labels, "bad", F.col("text").isNotNull(), 10_000)
+    assert every.count() == 201
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_nearest_with_repeated_ids_and_uneven_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    twice = rows + [(20, [9.0, 9.0, 9.0, 9.0]), rows[3], (70, [1.0, 2.0]), (80, [1.0, 2.0, 3.0, 4.0, 5.0])]
+    df = hnsw.usable(spark.createDataFrame(twice, "vec_id long, embedding array<double>"))
+    got: dict = {}
+    for r in hnsw.nearest(df, df.where("vec_id % 20 = 0"), 8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    single = {i: np.array(min(v for j, v in twice if j == i)) for i in range(60)}
+    want = brute_nearest(list(single.items()), [(i, single[i]) for i in (0, 20, 40)], 8)
+    assert set(got) == {0, 20, 40}  # 80 has another length
+    for q, near in want.items():
+        assert [i for _, i in got[q]] == [i for _, i in near]
+        assert np.allclose([s for s, _ in got[q]], [s for s, _ in near])
+
+
+def test_new_columns_replace_those_of_the_same_name(spark):
+    from quirelens.llm import langid
+
+    docs = spark.createDataFrame(
+        [(1, "the words of it", "en", 7, "a", 2.0), (2, None, "en", 7, "b", 2.0)],
+        "doc_id long, text string, lang string, n_tokens int, lang_pred string, _lm double",
+    )
+    found = langid.identify(docs, langid.fit(docs))
+    assert found.columns == ["doc_id", "text", "lang", "n_tokens", "_lm", "lang_pred", "lang_score", "lang_rejected"]
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "en", 2: "und"}
+    marked = docs.withColumn("is_target", F.lit(True)).withColumn("_number", F.lit(3))
+    models = lm.fit(marked)
+    scored = lm.score(marked, models)
+    assert scored.columns.count("n_tokens") == 1 and {r._number for r in scored.collect()} == {3}
+    again = lm.score(marked, models, fitted=True)
+    key = lambda r: r.doc_id
+    assert sorted(again.collect(), key=key) == sorted(scored.collect(), key=key)
+    judged = toxicity.detect(docs.withColumn("toxicity", F.lit("x")), toxicity.Network(np.zeros(0, np.uint64), constant=1.0))
+    assert {r.doc_id: r.toxicity for r in judged.collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_small_shards_find_every_vector(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(150)], "vec_id long, embedding array<double>")
+    use = hnsw.usable(df)
+    got = hnsw.nearest(use, use.where("vec_id in (0, 77, 149)"), 200).groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in got) == [(0, 149), (77, 149), (149, 149)]
