@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.rows import written
+from quirelens.llm.rows import own_tables, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,15 +34,16 @@ def components(edges: DataFrame) -> DataFrame:
     their joins can be split, so a component may hold any part of the nodes.  Loops and
     repeated edges are harmless; a node with loops only is not returned.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = written(edges.where("a <> b").distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
-        edges = written(_small_star(_large_star(edges)).where("a <> b").distinct())
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return nodes.union(roots)
+    with own_tables(edges.sparkSession) as result:
+        edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        edges = written(edges.where("a <> b").distinct())
+        state = None
+        while True:
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == state or not now[0]:
+                break
+            state = now
+            edges = written(_small_star(_large_star(edges)).where("a <> b").distinct())
+        nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        return result(nodes.union(roots))

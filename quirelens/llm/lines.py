@@ -2,9 +2,15 @@
 
 A document is a sequence of line ids.  Level 0 ranks single lines; each later level
 ranks twice as many lines by the pair (rank at i, rank at i + width), sorted over the
-cluster, so ranks keep the order of the suffixes.  Suffixes of one rank form the
-longest-common-prefix interval of that depth; a suffix alone in its interval shares no
-longer prefix and is dropped, so levels shrink quickly.
+cluster, so ranks keep the order of the suffixes.
+
+A run is worth deleting when its lines that are not blank have ``min_chars`` characters
+together.  Whatever run repeats, each of its lines is in the shortest such run that
+starts, or that ends, at some line of it; so two depths for each line are enough for all
+runs of any length.  The suffixes that agree to a depth of m lines are an interval of the
+longest common prefix; its name is m and the ranks of the first and the last 2 ** k of
+the m lines, 2 ** k <= m < 2 ** (k + 1).  All suffixes of an interval but the first one
+repeat it, and what they cover together are the maximal repeated runs.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelens.llm.rows import keyed, written
+from quirelens.llm.rows import keyed, own_tables, written
 
 #: Characters that a repeated run of lines must have to be deleted.
 MIN_CHARS = 200
@@ -40,52 +46,88 @@ def _ranked(places: DataFrame, key: tuple[str, ...]) -> DataFrame:
     )
 
 
-def repeated_runs(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(_row, begin, end)``: maximal runs of lines [begin, end) that stand earlier too.
+def _depths(lines: DataFrame, min_chars: int) -> DataFrame:
+    """``(_row, pos, m)``: for each line the shortest runs of m > 1 lines that start or end
+    there and have ``min_chars`` characters or more.
 
-    A run is what windows of 1, 2, 4, 8, ... lines cover that have at least
-    ``min_chars`` characters together and also start earlier, in a smaller row or
-    further up in the same one.  Blank lines are in no window.
+    ``lines(_row, pos, chars)`` with 0 characters for a blank line.  A line belongs to the
+    shortest run from a line on if fewer characters than that stand between the starts of
+    the two, which is a range of running sums; so no run is ever walked.
     """
-    lines = rows.select("_row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
-        F.translate("line", " \t\x0b\x0c\r", "") != ""
+    order = Window.partitionBy("_row").orderBy("pos")
+    summed = lines.select("_row", "pos", "chars", F.sum("chars").over(order).alias("_sum"))
+    summed = summed.withColumn("_before", F.col("_sum") - F.col("chars"))
+    ahead = Window.partitionBy("_row").orderBy("_before").rangeBetween(0, min_chars - 1)
+    behind = Window.partitionBy("_row").orderBy("_sum").rangeBetween(-(min_chars - 1), 0)
+    found = (
+        summed.withColumn("_last", F.max("pos").over(ahead))
+        .withColumn("_end", F.max("_sum").over(ahead))
+        .withColumn("_first", F.min("pos").over(behind))
+        .withColumn("_begin", F.min("_before").over(behind))
     )
-    level = _ranked(
-        lines.select(
-            "_row", "pos", F.length("line").cast("long").alias("chars"),
-            F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"),
-        ),
-        ("a", "b"),
+    from_here = F.struct(F.col("pos").alias("pos"), (F.col("_last") - F.col("pos") + 1).alias("m"),
+                         (F.col("_end") - F.col("_before")).alias("c"))
+    to_here = F.struct(F.col("_first").alias("pos"), (F.col("pos") - F.col("_first") + 1).alias("m"),
+                       (F.col("_sum") - F.col("_begin")).alias("c"))
+    return (
+        found.where(F.col("chars") < min_chars)
+        .select("_row", F.inline(F.array(from_here, to_here)))
+        .where((F.col("m") > 1) & (F.col("c") >= min_chars))
+        .select("_row", "pos", "m")
+        .distinct()
     )
-    width, found = 1, None
-    while True:
-        later = level.where(~F.col("first") & (F.col("chars") >= min_chars)).select(
-            "_row", F.col("pos").alias("begin"), (F.col("pos") + width).alias("end")
+
+
+def repeated_runs(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(_row, begin, end)``: maximal runs of lines [begin, end) that stand earlier too.
+
+    A run is what repeated runs of at least ``min_chars`` characters cover together, each
+    of which also starts earlier, in a smaller row or further up in the same one.  Blank
+    lines belong to runs and have no characters; lines are compared as they are.
+    """
+    with own_tables(rows.sparkSession) as result:
+        blank = F.translate("line", " \t\x0b\x0c\r", "") == ""
+        split = rows.select("_row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        lines = written(
+            split.select(
+                "_row", "pos", F.when(blank, 0).otherwise(F.length("line")).cast("long").alias("chars"),
+                F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"),
+            )
         )
-        found = later if found is None else found.union(later)
-        after = level.select(
-            "_row", (F.col("pos") - width).alias("pos"),
-            F.col("rank").alias("after"), F.col("chars").alias("_chars"),
+        depths = written(_depths(lines.select("_row", "pos", "chars"), min_chars))
+        level = _ranked(lines, ("a", "b"))
+        found = level.where(~F.col("first") & (F.col("chars") >= min_chars)).select(
+            "_row", F.col("pos").alias("begin"), (F.col("pos") + 1).alias("end")
         )
-        if level.isEmpty():
-            break
-        level = _ranked(
-            level.join(after, ["_row", "pos"]).select(
-                "_row", "pos", (F.col("chars") + F.col("_chars")).alias("chars"), "rank", "after"
-            ).withColumnRenamed("rank", "before"),
-            ("before", "after"),
+        deepest = depths.agg(F.max("m")).first()[0] or 1
+        width = 1
+        while 2 * width <= deepest and not level.isEmpty():
+            after = level.select("_row", (F.col("pos") - width).alias("pos"), F.col("rank").alias("after"))
+            width *= 2
+            pairs = level.withColumnRenamed("rank", "before").join(after, ["_row", "pos"])
+            level = _ranked(pairs.select("_row", "pos", "chars", "before", "after"), ("before", "after"))
+            front = level.select("_row", "pos", F.col("rank").alias("front"))
+            back = level.select("_row", (F.col("pos") + width).alias("_end"), F.col("rank").alias("back"))
+            own = (
+                depths.where((F.col("m") >= width) & (F.col("m") < 2 * width))
+                .join(front, ["_row", "pos"])
+                .withColumn("_end", F.col("pos") + F.col("m"))
+                .join(back, ["_row", "_end"])
+            )
+            place = F.struct("_row", "pos")
+            first = own.groupBy("m", "front", "back").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
+            repeated = own.join(written(first.where("_n > 1")), ["m", "front", "back"]).where(place != F.col("_first"))
+            found = found.union(repeated.select("_row", F.col("pos").alias("begin"), F.col("_end").alias("end")))
+        order = Window.partitionBy("_row").orderBy("begin", "end")
+        reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        starts = F.when(F.col("begin") <= reach, 0).otherwise(1)
+        return result(
+            found.withColumn("_new", starts)
+            .withColumn("_run", F.sum("_new").over(order))
+            .groupBy("_row", "_run")
+            .agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+            .drop("_run")
         )
-        width *= 2
-    order = Window.partitionBy("_row").orderBy("begin", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(F.col("begin") <= reach, 0).otherwise(1)
-    return (
-        found.withColumn("_new", starts)
-        .withColumn("_run", F.sum("_new").over(order))
-        .groupBy("_row", "_run")
-        .agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-        .drop("_run")
-    )
 
 
 def _with_kept(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -149,7 +191,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     return rows.where("_runs is null or _kept <> ''").select(*columns)
 
 
-#: The same in SQL; windows of up to 2**15 lines.
+#: The same in SQL: each shortest run of MIN_CHARS characters from a line on, and up to a
+#: line, that is not the first of its content.
 REPORT_SQL = f"""
 WITH line AS (
   SELECT doc_id, UNNEST(string_split(text, chr(10))) AS t,
@@ -157,32 +200,35 @@ WITH line AS (
   FROM documents
 ),
 marked AS (
-  SELECT *, length(t) AS c,
-         CASE WHEN translate(t, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') = '' THEN 1 ELSE 0 END AS e
+  SELECT *, CASE WHEN translate(t, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') = '' THEN 0 ELSE length(t) END AS c
   FROM line
 ),
-summed AS (
-  SELECT *, sum(c) OVER w AS chars, sum(e) OVER w AS blank
-  FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+summed AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM marked),
+ends AS (
+  SELECT doc_id, pos,
+         max(pos) OVER (PARTITION BY doc_id ORDER BY s - c RANGE BETWEEN CURRENT ROW AND {MIN_CHARS - 1} FOLLOWING) AS z,
+         max(s) OVER (PARTITION BY doc_id ORDER BY s - c RANGE BETWEEN CURRENT ROW AND {MIN_CHARS - 1} FOLLOWING) - (s - c) AS fc,
+         min(pos) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {MIN_CHARS - 1} PRECEDING AND CURRENT ROW) AS a,
+         s - min(s - c) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {MIN_CHARS - 1} PRECEDING AND CURRENT ROW) AS bc
+  FROM summed
 ),
 win AS (
-  SELECT a.doc_id, a.pos, n.n,
-         list_slice(string_split(d.text, chr(10)), a.pos, a.pos + n.n - 1) AS g
-  FROM summed a
-  JOIN (SELECT UNNEST([{", ".join(str(1 << k) for k in range(16))}]) AS n) n ON true
-  JOIN summed z ON z.doc_id = a.doc_id AND z.pos = a.pos + n.n - 1
-  JOIN documents d ON d.doc_id = a.doc_id
-  WHERE z.chars - a.chars + a.c >= {MIN_CHARS} AND z.blank - a.blank + a.e = 0
+  SELECT doc_id, pos AS b, z AS e FROM ends WHERE fc >= {MIN_CHARS}
+  UNION
+  SELECT doc_id, a, pos FROM ends WHERE bc >= {MIN_CHARS}
+),
+keyed AS (
+  SELECT w.doc_id, b, e, md5(array_to_string(list_slice(string_split(d.text, chr(10)), b, e), chr(10))) AS k
+  FROM win w JOIN documents d ON d.doc_id = w.doc_id
 ),
-keyed AS (SELECT doc_id, pos, n, md5(array_to_string(g, chr(10))) AS k FROM win),
 later AS (
-  SELECT doc_id, pos, n FROM (
-    SELECT *, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, pos) AS r FROM keyed
+  SELECT doc_id, b, e FROM (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, b) AS r FROM keyed
   ) WHERE r > 1
 ),
 gone AS (
   SELECT DISTINCT l.doc_id, l.pos FROM line l JOIN later x
-  ON x.doc_id = l.doc_id AND l.pos >= x.pos AND l.pos < x.pos + x.n
+  ON x.doc_id = l.doc_id AND l.pos >= x.b AND l.pos <= x.e
 ),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,

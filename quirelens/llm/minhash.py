@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirelens.llm import arrays
 from quirelens.llm.components import components
-from quirelens.llm.rows import keyed, written
+from quirelens.llm.rows import keyed, own_tables, written
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -71,8 +71,8 @@ def minima(key: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 #: Share of equal minima below which a pair is not verified: for a similarity of 0.75 it
-#: lies four standard deviations down.
-ESTIMATE = 0.6
+#: lies six standard deviations down, a pair in five hundred million.
+ESTIMATE = 0.5
 #: Members of a bucket that are compared in one group; a larger bucket is compared in
 #: pairs of blocks, so none is cut.
 BLOCK = 2048
@@ -172,90 +172,93 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     3. Buckets whose members are all in one component are done, since more links change
        nothing.  In the others members of different components are compared, in blocks.
     """
-    signed = written(rows.select("_row", "text").mapInArrow(sign, SIGNED))
-    some = signed.where("n > 0")
-    classes = some.groupBy("n", "set_a", "set_b").agg(F.min("_row").alias("head"))
-    member = written(
-        some.select("_row", "n", "set_a", "set_b")
-        .join(classes, ["n", "set_a", "set_b"])
-        .select("_row", "head")
-    )
-    heads = some.join(member.where("_row = head").select("_row"), "_row")
-    width = 4 * ROWS
-    keys = F.array(
-        *[
-            F.struct(
-                F.lit(b).alias("band"),
-                F.xxhash64(F.lit(b), F.substring("signature", 1 + b * width, width)).alias("key"),
+    with own_tables(rows.sparkSession) as result:
+        signed = written(rows.select("_row", "text").mapInArrow(sign, SIGNED))
+        some = signed.where("n > 0")
+        classes = some.groupBy("n", "set_a", "set_b").agg(F.min("_row").alias("head"))
+        member = written(
+            some.select("_row", "n", "set_a", "set_b")
+            .join(classes, ["n", "set_a", "set_b"])
+            .select("_row", "head")
+        )
+        heads = some.join(member.where("_row = head").select("_row"), "_row")
+        width = 4 * ROWS
+        keys = F.array(
+            *[
+                F.struct(
+                    F.lit(b).alias("band"),
+                    F.xxhash64(F.lit(b), F.substring("signature", 1 + b * width, width)).alias("key"),
+                )
+                for b in range(BANDS)
+            ]
+        )
+        in_band = heads.select("_row", F.inline(keys))
+        buckets = (
+            in_band.groupBy("band", "key")
+            .agg(F.min("_row").alias("first"), F.count("*").alias("size"))
+            .where("size > 1")
+        )
+        bucketed = written(in_band.join(buckets, ["band", "key"]))
+        involved = bucketed.select("_row").distinct()
+        texts = written(rows.select("_row", "text").join(involved, "_row"))
+        facts = written(signed.drop("set_a", "set_b").join(involved, "_row"))
+
+        def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+            return table.select(F.col("_row").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            whole = pairs.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
+            return written(whole.where(F.arrow_udf(_linked, "boolean")("text_a", "text_b")).select("a", "b"))
+
+        what = ("n", "prints", "signature")
+        stars = (
+            bucketed.where("_row <> first")
+            .select(F.col("first").alias("a"), F.col("_row").alias("b"))
+            .distinct()
+            .join(side(facts, "a", *what), "a")
+            .join(side(facts, "b", *what), "b")
+            .where(
+                F.arrow_udf(_screen, "boolean")(
+                    "n_a", "n_b", "prints_a", "prints_b", "signature_a", "signature_b"
+                )
             )
-            for b in range(BANDS)
-        ]
-    )
-    in_band = heads.select("_row", F.inline(keys))
-    buckets = (
-        in_band.groupBy("band", "key")
-        .agg(F.min("_row").alias("first"), F.count("*").alias("size"))
-        .where("size > 1")
-    )
-    bucketed = written(in_band.join(buckets, ["band", "key"]))
-    involved = bucketed.select("_row").distinct()
-    texts = written(rows.select("_row", "text").join(involved, "_row"))
-    facts = written(signed.drop("set_a", "set_b").join(involved, "_row"))
-
-    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
-        return table.select(F.col("_row").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        whole = pairs.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
-        return written(whole.where(F.arrow_udf(_linked, "boolean")("text_a", "text_b")).select("a", "b"))
-
-    what = ("n", "prints", "signature")
-    stars = (
-        bucketed.where("_row <> first")
-        .select(F.col("first").alias("a"), F.col("_row").alias("b"))
-        .distinct()
-        .join(side(facts, "a", *what), "a")
-        .join(side(facts, "b", *what), "b")
-        .where(
-            F.arrow_udf(_screen, "boolean")(
-                "n_a", "n_b", "prints_a", "prints_b", "signature_a", "signature_b"
+            .select("a", "b")
+        )
+        links = verified(stars)
+        found = components(links)
+        placed = written(
+            bucketed.join(found.withColumnRenamed("node", "_row"), "_row", "left").withColumn(
+                "component", F.coalesce("component", "_row")
             )
         )
-        .select("a", "b")
-    )
-    links = verified(stars)
-    found = written(components(links))
-    placed = written(
-        bucketed.join(found.withColumnRenamed("node", "_row"), "_row", "left").withColumn(
-            "component", F.coalesce("component", "_row")
+        open_ = (
+            placed.groupBy("band", "key")
+            .agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
+            .where("_x <> _y")
+            .select("band", "key")
+        )
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("int")
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1),
+            lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
+        )
+        rest = (
+            placed.join(open_, ["band", "key"])
+            .withColumn("blocks", blocks)
+            .withColumn("block", own)
+            .select("_row", "band", "key", "component", "block", F.inline(pairs))
+            .join(facts.select("_row", *what), "_row")
+            .groupBy("band", "key", "i", "j")
+            .applyInArrow(compare_block, "a long, b long")
+        )
+        links = links.union(verified(rest)).union(member.where("_row <> head").select("_row", "head"))
+        found = components(links)
+        return result(
+            signed.select("_row", F.col("n").alias("n_shingles"))
+            .join(found.withColumnRenamed("node", "_row"), "_row", "left")
+            .select("_row", "n_shingles", F.coalesce("component", "_row").alias("component"))
         )
-    )
-    open_ = (
-        placed.groupBy("band", "key")
-        .agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
-        .where("_x <> _y")
-        .select("band", "key")
-    )
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
-    )
-    rest = (
-        placed.join(open_, ["band", "key"])
-        .withColumn("blocks", blocks)
-        .withColumn("block", own)
-        .select("_row", "band", "key", "component", "block", F.inline(pairs))
-        .join(facts.select("_row", *what), "_row")
-        .groupBy("band", "key", "i", "j")
-        .applyInArrow(compare_block, "a long, b long")
-    )
-    links = links.union(verified(rest)).union(member.where("_row <> head").select("_row", "head"))
-    found = written(components(links))
-    return signed.select("_row", F.col("n").alias("n_shingles")).join(
-        found.withColumnRenamed("node", "_row"), "_row", "left"
-    ).select("_row", "n_shingles", F.coalesce("component", "_row").alias("component"))
 
 
 def component_table(docs: DataFrame) -> DataFrame:
@@ -283,3 +286,35 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     rows = keyed(docs, whole=True)
     later = near_duplicates(rows).where("_row <> component").select("_row")
     return rows.join(later, "_row", "left_anti").select("_doc.*")
+
+
+#: The query in SQL: all links by shared shingles, and what they reach.
+COMPONENTS_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS s
+  FROM (SELECT doc_id, w, UNNEST(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both_ AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+),
+link AS (
+  SELECT a, b FROM both_ JOIN size m ON m.doc_id = a JOIN size k ON k.doc_id = b
+  WHERE 100 * c >= {THRESHOLD} * (m.n + k.n - c)
+),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+)
+SELECT d.doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
+FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +39,10 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     return path.toString()
 
 
+#: Paths of the tables that the open ``own_tables`` scopes have written.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("quirelens_tables", default=())
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: lineage ends here.
 
@@ -43,10 +50,38 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quirelens-{uuid.uuid4().hex}"
+    for scope in _SCOPES.get()[-1:]:
+        scope.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that are written inside, once the block ends.
+
+    Yields a function that writes the block's result so that it outlives the block.
+    """
+    outer = _SCOPES.get()
+    paths: list[str] = []
+    mark = _SCOPES.set((*outer, paths))
+
+    def result(df: DataFrame) -> DataFrame:
+        inner = _SCOPES.set(outer)
+        try:
+            return written(df)
+        finally:
+            _SCOPES.reset(inner)
+
+    try:
+        yield result
+    finally:
+        _SCOPES.reset(mark)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``(_row, doc_id, text)`` where ``_row`` is a unique long in doc_id order.
 
