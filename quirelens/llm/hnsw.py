@@ -25,9 +25,9 @@ from quirelens.llm.rows import written
 #: Neighbours per node; twice as many on the ground level.
 M = 16
 #: Width of the search beam when building and when searching.
-BUILD, SEARCH = 64, 96
+BUILD, SEARCH = 64, 160
 #: Rows that a shard should hold at most, and the number of shards for fewer rows.
-SHARD_ROWS, SHARDS = 50_000, 12
+SHARD_ROWS, SHARDS = 12_500, 12
 #: Queries searched together, and rows entered together.
 BATCH = 256
 INDEX = "shard int, slot int, ids binary, vectors binary, levels binary, ground binary, upper array<binary>"
@@ -64,7 +64,8 @@ def _beam(points, links, queries, start, width: int):
     near[:, :s] = np.where(
         node[:, :s] >= 0, np.einsum("qd,qsd->qs", queries, points[node[:, :s]]), -np.inf
     )
-    seen[rows[:, None], node[:, :s]] = True
+    # the first start is always a node; -1 would mark the last one
+    seen[rows[:, None], np.where(node[:, :s] >= 0, node[:, :s], node[:, :1])] = True
     open_ = np.isfinite(near)
     live = rows
     while len(live):
@@ -263,18 +264,30 @@ def _opened(row: dict, width: int, longest: float, keep: int) -> Graph:
     )
 
 
+def _single(rows: DataFrame) -> DataFrame:
+    """One vector per id; rows are left as they lie where ids are unique."""
+    n, ids = rows.agg(F.count("*"), F.count_distinct("vec_id")).first()
+    return rows if n == ids else rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: nearest rows to ``queries(vec_id, v)`` but itself.
 
-    Both have the columns that ``usable`` returns, and vectors of one length; others
-    fail.  Rows of one id are vectors of their own.  Every query visits every shard: a
-    shard's partition holds its index first and then streams the queries in batches, so
-    a task holds one shard and one batch.  Shards are merged by score, ties by vec_id.
+    Both have the columns that ``usable`` returns.  Vectors of another length than the
+    commonest (the larger of two) take no part, neither as candidates nor as queries.  An
+    id stands for one vector: of rows that share one, the least vector by its components.
+    Every query visits every shard: a shard's partition holds its index first and then
+    streams the queries in batches, so a task holds one shard and one batch.  Shards are
+    merged by score, ties by vec_id.
     """
-    width, n, longest = vectors.agg(
-        F.max(F.size("v")), F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    ).first()
     schema = "query_id long, vec_id long, score double"
+    sizes = vectors.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"))
+    most = sizes.orderBy(F.desc("n"), F.desc("w")).first()
+    width = most["w"] if most else 0
+    vectors, queries = (_single(x.where(F.size("v") == width)) for x in (vectors, queries))
+    n, longest = vectors.agg(
+        F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    ).first()
     if not n:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     longest = float(np.sqrt(longest))
