@@ -308,3 +308,37 @@ def drawn(doc_id: Column, n: Column) -> tuple[Column, Column, Column]:
     a, b = h[0] % (n + 1), h[1] % (n + 1)
     form = F.when(h[2] % 100 >= 90, "plain").when(h[3] % 100 < 20, "spm").otherwise("psm")
     return form, F.least(a, b), F.greatest(a, b)
+
+
+#: The query in SQL.
+DRAWN_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || CAST(doc_id AS VARCHAR)) AS x
+  FROM documents
+),
+h AS (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+         CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4
+  FROM d
+),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+),
+p AS (
+  SELECT *, coalesce(array_to_string(list_slice(u, 1, a), ''), '') AS pre,
+         coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') AS mid,
+         coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') AS suf
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""

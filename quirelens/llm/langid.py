@@ -202,7 +202,8 @@ def identify(docs: DataFrame, model: Model, batch: int = 64) -> DataFrame:
 
     Only the whole text is read.  Null text and text without a letter give ``und``, 0.0
     and a rejection; other texts always get a learned language, and are rejected when
-    they are further from its centroids than texts like them should be.
+    they are further from its centroids than texts like them should be.  Rows are judged
+    one by one, repeated ones too; columns of ``docs`` with the new names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -221,8 +222,11 @@ def identify(docs: DataFrame, model: Model, batch: int = 64) -> DataFrame:
         )
 
     found = F.arrow_udf(predict, "lang string, score double, rejected boolean")
-    return docs.withColumn("_found", found(F.col("text"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+    new = ("lang_pred", "lang_score", "lang_rejected")
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    kept = [F.col(f"_doc.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new]
+    return docs.select(F.struct(*rest).alias("_doc"), found(F.col("text")).alias("_found")).select(
+        *kept,
         F.col("_found.lang").alias("lang_pred"),
         F.col("_found.score").alias("lang_score"),
         F.col("_found.rejected").alias("lang_rejected"),

@@ -225,15 +225,18 @@ def _lists(n: int, parts: list[list[np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(rows, names=[*_GRAM, "n"]))
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
+def score(docs: DataFrame, models: Models, fitted: bool = False) -> DataFrame:
     """``docs`` with n_tokens, target_loss, background_loss and lm_score, per whole text.
 
-    Losses are means per token in nats; null and empty texts have no token and null
+    ``fitted`` tells that the models were fitted on these documents (and perhaps more), so
+    that their n-grams need not be counted again; columns of ``docs`` with the new names
+    are replaced.  Losses are means per token in nats; null and empty texts have no token and null
     losses.  Rows are scored one by one, repeated ones and ones without an id too.
     Frequent n-grams are looked up in memory, and no join has a hot one; where the table
     is larger, a text's other n-grams, distinct and counted, are joined to it.
     """
-    table = losses(models, count_grams(docs.select("text", F.lit(False).alias("is_target"))))
+    grams = models.counts.limit(0) if fitted else count_grams(docs.select("text", F.lit(False).alias("is_target")))
+    table = losses(models, grams)
     whole = table.count() <= HEAD_ROWS
     head = table if whole else table.orderBy(F.desc("total"), *_GRAM).limit(HEAD_ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(Head(head.drop("total").toArrow()))
@@ -267,7 +270,8 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     gram = ", ".join(f"{s}: int" for s in _GRAM)
     scored = F.arrow_udf(work, f"n long, target double, background double, rest array<struct<{gram}, n: bigint>>")
-    rows = docs.withColumn("_lm", scored(F.col("text")))
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.struct(*own).alias("_doc"), scored(F.col("text")).alias("_lm"))
     if not whole:
         # numbered once: the numbers are read from the written rows
         rows = written(rows.withColumn("_number", F.monotonically_increasing_id()))
@@ -286,8 +290,9 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         / F.nullif(F.col("_lm.n"), F.lit(0))
         for c in ("target", "background")
     )
+    new = ("n_tokens", "target_loss", "background_loss", "lm_score")
     return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"_doc.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new],
         F.col("_lm.n").alias("n_tokens"),
         target.alias("target_loss"),
         background.alias("background_loss"),

@@ -60,17 +60,26 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op6_suffix_dedup"] = suffixes.REMOVED_SQL
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeated_words(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op9_substring_dedup"] = substrings.REMOVED_SQL
+
+
 @query
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.component_table(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_minhash_dedup"] = minhash.COMPONENTS_SQL
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = lines.line_report(table(spark, sf_dir, "documents"))
@@ -123,7 +132,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = labels(spark, sf_dir, "quality").where("quality = 1").select("doc_id", F.lit(True).alias("is_target"))
     # the same plan at every size: beyond a small table the labels cannot be broadcast
     marked = docs.join(good.hint("merge"), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    return lm.score(docs, lm.fit(marked)).select(
+    return lm.score(docs, lm.fit(marked), fitted=True).select(
         "doc_id", "n_tokens", "target_loss", "background_loss", F.col("lm_score").alias("score")
     )
 
@@ -147,6 +156,9 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "_sha.*")
 
 
+ORACLES["op12_fill_in_middle"] = fim.DRAWN_SQL
+
+
 def planted_period(doc_id: str | None, words: list[bytes]) -> list[bytes]:
     """One document in ten, by its id, goes on from some word with a period."""
     h = zlib.crc32((doc_id or "").encode())

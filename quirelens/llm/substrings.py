@@ -68,3 +68,32 @@ def remove_repeated_words(docs: DataFrame, length: int = WINDOW) -> DataFrame:
         .select("doc_id", cut(F.col("text"), F.col("spans")).alias("_"))
         .select("doc_id", "_.*")
     )
+
+
+#: The query in SQL.
+REMOVED_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ')) AS k
+  FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})
+),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win
+  ) WHERE r > 1
+),
+word AS (SELECT doc_id, UNNEST(w) AS t, generate_subscripts(w, 1) AS pos FROM d),
+marked AS (
+  SELECT word.doc_id, pos, t,
+         coalesce(max(later.i) OVER (PARTITION BY word.doc_id ORDER BY pos) > pos - {WINDOW}, false) AS gone
+  FROM word LEFT JOIN later ON later.doc_id = word.doc_id AND later.i = word.pos
+),
+kept AS (
+  SELECT doc_id, count(*) AS n, count(CASE WHEN gone THEN 1 END) AS n_removed,
+         string_agg(CASE WHEN NOT gone THEN t END, ' ' ORDER BY pos) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
