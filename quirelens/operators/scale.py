@@ -107,14 +107,15 @@ def row_ids(rows: DataFrame) -> DataFrame:
     """``rows`` with ``_row``, a number of its own for each row that stays the same when a
     task is run again; rows that have one keep it.
 
-    A scan gives the same rows in the same order.  What comes out of a shuffle does not,
-    so such rows are written before the numbers are used.
+    A scan gives the same rows in the same order.  A task behind a shuffle gets the same
+    rows in any order, so there they are sorted by a hash of all they hold, in the task;
+    rows that are equal may change places.
     """
     if "_row" in rows.columns:
         return rows
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    shuffled = "Exchange" in rows._jdf.queryExecution().executedPlan().toString()
-    return stage(numbered) if shuffled else numbered
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = rows.sortWithinPartitions(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    return rows.withColumn("_row", F.monotonically_increasing_id())
 
 
 def dealt_rows(rows: DataFrame) -> DataFrame:

@@ -51,15 +51,12 @@ def map_tokens(
     table = table.withColumn("hit", F.lit(True))
     hit = F.coalesce("hit", F.lit(False)).alias("hit")
     if fits_broadcast(table.drop("hit"), max_broadcast_rows):
-        page = F.struct(*rest, F.lit(True).alias("_first"))
         # the first row of a page carries its columns, the others a token each
-        parts = F.transform(
-            F.concat(F.array(F.lit(None).cast("string")), listed),
-            lambda t, i: F.struct(i.alias("pos"), t.alias("token"), F.when(i == 0, page).alias("_page")),
-        )
+        page = F.when(F.col("pos") == 0, F.struct(*rest, F.lit(True).alias("_first")))
         dealt = numbered if "_row" in pages.columns else numbered.repartition("_row")
         joined = (
-            dealt.select("_row", F.inline(parts))
+            dealt.select("_row", *rest, F.posexplode(F.concat(F.array(F.lit(None).cast("string")), listed)).alias("pos", "token"))
+            .select("_row", "pos", "token", page.alias("_page"))
             .withColumn("form", form)
             .join(F.broadcast(table), "form", "left")
             .withColumn("hit", hit)
