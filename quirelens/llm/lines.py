@@ -99,13 +99,17 @@ def repeated_runs(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         found = level.where(~F.col("first") & (F.col("chars") >= min_chars)).select(
             "_row", F.col("pos").alias("begin"), (F.col("pos") + 1).alias("end")
         )
-        deepest = depths.agg(F.max("m")).first()[0] or 1
+        # the levels that some depth is named by
+        step = F.length(F.bin("m")) - 1
+        named = {1 << r["step"] for r in depths.select(step.alias("step")).distinct().collect()}
         width = 1
-        while 2 * width <= deepest and not level.isEmpty():
+        while any(width < w for w in named) and not level.isEmpty():
             after = level.select("_row", (F.col("pos") - width).alias("pos"), F.col("rank").alias("after"))
             width *= 2
             pairs = level.withColumnRenamed("rank", "before").join(after, ["_row", "pos"])
             level = _ranked(pairs.select("_row", "pos", "chars", "before", "after"), ("before", "after"))
+            if width not in named:
+                continue
             front = level.select("_row", "pos", F.col("rank").alias("front"))
             back = level.select("_row", (F.col("pos") + width).alias("_end"), F.col("rank").alias("back"))
             own = (
@@ -117,7 +121,9 @@ def repeated_runs(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             place = F.struct("_row", "pos")
             first = own.groupBy("m", "front", "back").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
             repeated = own.join(written(first.where("_n > 1")), ["m", "front", "back"]).where(place != F.col("_first"))
-            found = found.union(repeated.select("_row", F.col("pos").alias("begin"), F.col("_end").alias("end")))
+            found = found.union(
+                written(repeated.select("_row", F.col("pos").alias("begin"), F.col("_end").alias("end")))
+            )
         order = Window.partitionBy("_row").orderBy("begin", "end")
         reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
         starts = F.when(F.col("begin") <= reach, 0).otherwise(1)

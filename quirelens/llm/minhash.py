@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirelens.llm import arrays
 from quirelens.llm.components import components
-from quirelens.llm.rows import keyed, own_tables, written
+from quirelens.llm.rows import keyed, light, own_tables, written
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -181,7 +181,7 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
             .join(classes, ["n", "set_a", "set_b"])
             .select("_row", "head")
         )
-        heads = some.join(member.where("_row = head").select("_row"), "_row")
+        heads = some.join(light(member.where("_row = head").select("_row")), "_row")
         width = 4 * ROWS
         keys = F.array(
             *[
@@ -199,7 +199,7 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
             .where("size > 1")
         )
         bucketed = written(in_band.join(buckets, ["band", "key"]))
-        involved = bucketed.select("_row").distinct()
+        involved = light(written(bucketed.select("_row").distinct()))
         texts = written(rows.select("_row", "text").join(involved, "_row"))
         facts = written(signed.drop("set_a", "set_b").join(involved, "_row"))
 
@@ -284,7 +284,7 @@ def component_table(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, but later members of each group."""
     rows = keyed(docs, whole=True)
-    later = near_duplicates(rows).where("_row <> component").select("_row")
+    later = light(near_duplicates(rows).where("_row <> component").select("_row"))
     return rows.join(later, "_row", "left_anti").select("_doc.*")
 
 

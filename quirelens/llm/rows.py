@@ -11,6 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirelens.operators.scale import BROADCAST_ROWS, fits_broadcast
+
 #: Words are runs of anything but these bytes: space, tab, LF, VT, FF, CR.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -56,6 +58,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light(ids: DataFrame) -> DataFrame:
+    """Ids to be joined to texts: broadcast if they are measured to be few, so that no text
+    is shuffled; otherwise as they are, and both sides are."""
+    return F.broadcast(ids) if fits_broadcast(ids, BROADCAST_ROWS) else ids
+
+
 @contextmanager
 def own_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes the tables that are written inside, once the block ends.
