@@ -46,3 +46,48 @@ def test_odd_rows(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
     nothing = langid.fit(fit.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def plain_grams(text):
+    """Hashed n-grams letter by letter, with whole numbers."""
+    codes, gap = [0], True
+    for c in text.lower():
+        if c.isalpha():
+            codes.append(ord(c))
+        elif not gap:
+            codes.append(0)
+        gap = not c.isalpha()
+    codes += [] if gap else [0]
+    keys = [c for c in codes if c]
+    keys += [(a << 21 | b) | 1 << 62 for a, b in zip(codes, codes[1:])]
+    keys += [a << 42 | b << 21 | c for a, b, c in zip(codes, codes[1:], codes[2:])]
+    keys = [(k ^ k >> 29) * 0x9E3779B97F4A7C15 % (1 << 64) for k in keys]
+    return [k >> 50 for k in keys] if any(codes) else []
+
+
+def test_nearest_centroid_by_hand():
+    rng = np.random.default_rng(6)
+    texts = ["one two three", "été à la mer", "1 a", "zz! zz?", "", "12", "the quick brown fox " * 9]
+    idf = rng.uniform(1, 5, langid.DIMENSIONS).astype(np.float32)
+    centroids = np.zeros((5, langid.DIMENSIONS), np.float32)
+    for row, source in zip(centroids, ["one fox", "la mer", "été", "three brown", "zz"]):
+        for g in plain_grams(source):
+            row[g] += rng.uniform(0.5, 1)
+        row /= np.linalg.norm(row)
+    floor = rng.uniform(0, 1.2, (3, 8))
+    model = langid.Model(["a", "b", "c"], idf, centroids, np.array([0, 1, 1, 0, 2]), floor)
+    language, cosine, rejected = model.nearest(langid.counts(texts))
+    for i, text in enumerate(texts):
+        count = {}
+        for g in plain_grams(text):
+            count[g] = count.get(g, 0) + 1
+        if not count:
+            assert language[i] == -1 and rejected[i]
+            continue
+        weight = {g: n**0.5 * float(idf[g]) for g, n in count.items()}
+        norm = sum(w * w for w in weight.values()) ** 0.5
+        near = [sum(w * float(c[g]) for g, w in weight.items()) / norm for c in centroids]
+        best = max(range(5), key=lambda j: near[j])
+        size = min(7, (sum(count.values()).bit_length() - 1) // 2)
+        assert language[i] == model.owner[best] and abs(cosine[i] - near[best]) < 1e-5
+        assert rejected[i] == (cosine[i] < langid.SLACK * floor[model.owner[best], size])
