@@ -1,4 +1,9 @@
+import math
+
+import numpy as np
 import pytest
+from pyspark.ml.clustering import LDAModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from quirelens.functions import arrays as ax
@@ -171,3 +176,30 @@ def test_fits_side_by_side_score_alike(spark, fitted):
     assert [r["k"] for r in together] == list(ks)
     for a, b in zip(alone, together):
         assert a["log_likelihood"] == pytest.approx(b["log_likelihood"], rel=1e-9)
+
+
+def test_score_takes_no_vocabulary_per_page(spark, monkeypatch):
+    """The library's bound without its way, which goes through all terms for every page."""
+    pages = [{i % 7: 1.0 + i % 3, 7 + i % 5: 2.0, 12: 1.0} for i in range(40)]
+    rows = [(Vectors.sparse(13, p),) for p in pages] + [(Vectors.dense([0.0, 3.0] + [1.0] * 11),), (Vectors.sparse(13, {}),)]
+    features = spark.createDataFrame(rows, ["features"]).coalesce(1)
+    models = [tp.fit_topics(features, 3, maxIter=4), tp.fit_topics(features, 2, maxIter=4, optimizer="em"),
+              tp.fit_topics(features, 2, maxIter=4, topicConcentration=0.3, docConcentration=[0.2, 0.7])]
+    wanted = [(m.logLikelihood(features), m.logPerplexity(features)) for m in models]
+
+    def refuse(*_):
+        raise AssertionError("a pass over pages x vocabulary x topics")
+
+    monkeypatch.setattr(LDAModel, "logLikelihood", refuse)
+    for entries in (tp.ENTRIES, 5):
+        monkeypatch.setattr(tp, "ENTRIES", entries)
+        for model, want in zip(models, wanted):
+            assert tp.score_topics(model, features) == pytest.approx(want, rel=1e-3)
+
+
+def test_gamma_functions():
+    x = np.array([1e-4, 0.02, 0.1, 1.0, 1.4616321449683623, 2.0, 9.5, 300.0, 1e7])
+    assert tp.lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-11, abs=1e-12)
+    step = 1e-5
+    slope = [(math.lgamma(v * (1 + step)) - math.lgamma(v * (1 - step))) / (2 * step * v) for v in x]
+    assert tp.digamma(x) == pytest.approx(slope, rel=1e-6, abs=1e-6)
