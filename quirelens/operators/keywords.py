@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
 
@@ -9,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions.literals import LEAST, required_literals
-from quirelens.operators.scale import BROADCAST_ROWS, row_lookup
+from quirelens.functions.text import EDGE_L, EDGE_R
+from quirelens.operators.scale import BROADCAST_ROWS, dealt_rows, lookup_join, row_lookup
 
 Patterns = Sequence[tuple[str, str]]
 
 # Lists up to this length are tried whole on every page; longer ones go through an index.
 BLOCK_PATTERNS = 500
+_WHOLE_WORD = re.compile(rf"(\(\?i\))?{re.escape(EDGE_L)}([A-Za-z]+){re.escape(EDGE_R)}")
 
 
 def pattern_list(patterns: Patterns | DataFrame) -> list[tuple[str, str]]:
@@ -59,10 +62,17 @@ def count_keywords(
 
     Every regex runs once per page: the counts sit inside a generator, which a
     filter cannot be pushed through, and only hits leave it.  With more than
-    ``BLOCK_PATTERNS`` patterns a page runs only those whose letters it holds (``page_hits``).
+    ``BLOCK_PATTERNS`` patterns those that are whole words are counted as words
+    (``word_hits``), and of the others a page runs only those whose letters it holds
+    (``page_hits``).
     """
     patterns = pattern_list(patterns)
     if len(patterns) > BLOCK_PATTERNS:
+        words = [(name, p, word) for name, p in patterns if (word := whole_word(p))]
+        if words:
+            others = [(name, p) for name, p in patterns if not whole_word(p)]
+            found = word_hits(pages.select(*keys, "text"), words, keys, max_broadcast_rows)
+            return found.union(count_keywords(pages, others, keys, max_broadcast_rows)) if others else found
         hit = page_hits(pages.select(*keys, "text"), patterns, max_broadcast_rows)
         return hit.select(*keys, F.inline("_hits")).drop("place")
     hits = F.filter(
@@ -77,6 +87,43 @@ def count_keywords(
     return pages.select(*keys, F.inline(hits))
 
 
+def whole_word(pattern: str) -> str | None:
+    """The form of a pattern that is an ASCII word between the edges of a word, else None.
+
+    Its matches are the words (runs of ``WORD_CHAR``) that are equal to it: as they stand,
+    marked with ``=``, or without regard to the case of ASCII letters.
+    """
+    found = _WHOLE_WORD.fullmatch(pattern)
+    return None if not found else found[2].lower() if found[1] else f"={found[2]}"
+
+
+def word_hits(
+    pages: DataFrame,
+    words: Sequence[tuple[str, str, str]],
+    keys: Sequence[str],
+    max_broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``count_keywords`` for patterns that are whole words, ``(name, pattern, form)``.
+
+    No regex runs per pattern: the words of a page are taken once, meet the table of
+    forms and are counted, in a time that grows with the words and the hits.
+    """
+    table = pages.sparkSession.createDataFrame(
+        [(form, i, name) for i, (name, _, form) in enumerate(words)], "form string, place int, keyword string"
+    )
+    found = F.regexp_extract_all("text", F.lit(f"{EDGE_L}[A-Za-z]+{EDGE_R}"), F.lit(0))
+    lower, cased = F.transform(found, F.lower), F.transform(found, lambda w: F.concat(F.lit("="), w))
+    marked = {form.startswith("=") for _, _, form in words}
+    forms = F.concat(*[f for f, mark in ((lower, False), (cased, True)) if mark in marked])
+    stream = dealt_rows(pages).select("_row", *keys, F.explode(forms).alias("form"))
+    return (
+        lookup_join(stream, table, "form", "inner", ["_row"], max_broadcast_rows)
+        .groupBy("_row", *keys, "place", "keyword")
+        .agg(F.count("*").cast("int").alias("n"))
+        .select(*keys, "keyword", "n")
+    )
+
+
 def literal_index(pages: DataFrame, patterns: Patterns) -> tuple[DataFrame, list[int]]:
     """``(form, literal, place, keyword, pattern)`` and the places of patterns without a key.
 

@@ -214,3 +214,25 @@ def test_fusion_routes_agree(spark):
     assert want != docs
     for rows in (10**6, 0):
         assert texts(ph.fuse_phrases(pages(spark, *docs), listed, literal_phrases=10, max_broadcast_rows=rows)) == want
+
+
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_whole_words_run_no_regex_each(spark, monkeypatch, rows):
+    """Patterns that are whole words are counted as words, with the rows that their regexes give."""
+    texts = ["Cat cat CAT concat cat_ cat-cat Kat", "écat caté cat2 Dog", None, "", "dog, dog", "dog, dog", "kat İcat"]
+    pages = spark.createDataFrame([("v", 1 if t == "dog, dog" else i, t) for i, t in enumerate(texts)], "volid string, seq int, text string")
+    edge = lambda w: f"{tx.EDGE_L}{w}{tx.EDGE_R}"
+    patterns = [("any", "(?i)" + edge("cat")), ("exact", edge("Cat")), ("any", "(?i)" + edge("cat")),
+                ("kat", "(?i)" + edge("kat")), ("dog", edge("dog")), ("part", "cat"), ("none", edge("zebra"))]
+
+    def seen(df):
+        return sorted(map(tuple, df.select("volid", "seq", "keyword", "n").collect()))
+
+    want = seen(kw.count_keywords(pages, patterns))
+    monkeypatch.setattr(kw, "BLOCK_PATTERNS", 2)
+    assert want == seen(kw.count_keywords(pages, patterns, max_broadcast_rows=rows))
+    words = [p for p in patterns if p[0] != "part"]
+    got = kw.count_keywords(pages, words, max_broadcast_rows=rows)
+    assert seen(got) == [r for r in want if r[2] != "part"]
+    assert "regexp_count" not in got._jdf.queryExecution().toString().lower()
+    assert got.dtypes == kw.count_keywords(pages, patterns[-2:-1]).dtypes
