@@ -56,6 +56,7 @@ def lookup_join(
     how: str,
     spread_by: Sequence[str],
     max_rows: int = BROADCAST_ROWS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a look-up table on one column, safe for hot keys.
 
@@ -63,12 +64,13 @@ def lookup_join(
     shuffled; rows of frequent keys are split by ``spread_by`` into as many parts as
     their measured count asks for (``split_factors``), rows without a key likewise, and
     only those keys of the table are repeated, so no key lands in a single task.
+    ``keys`` has the keys of all rows, where they can be had without making the rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), key, how)
-    hot = split_factors(rows, key)
+    hot = split_factors(rows if keys is None else keys, key)
     salted = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
         F.pmod(

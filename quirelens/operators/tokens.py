@@ -68,14 +68,18 @@ def map_tokens(
         found = found.select("_row", "_page.*", F.sort_array("_words").alias("_words"))
     else:
         numbered = stage(numbered)
+        # pages travel whole, so that their tokens are grouped where they lie; the keys are
+        # counted on the pages, without the lists
         posting = (
-            numbered.select("_row", F.posexplode(listed).alias("pos", "token"))
+            numbered.select("_row", listed.alias("_listed")).repartition("_row")
+            .select("_row", F.posexplode("_listed").alias("pos", "token"))
             .groupBy("_row", "token")
             .agg(F.collect_list("pos").alias("_at"))
             .withColumn("form", form)
         )
+        keys = numbered.select(F.explode(F.array_distinct(listed)).alias("token")).select(form.alias("form"))
         joined = (
-            lookup_join(posting, table, "form", "left", ["_row"], max_broadcast_rows)
+            lookup_join(posting, table, "form", "left", ["_row"], max_broadcast_rows, keys)
             .withColumn("hit", hit)
             .withColumn("_word", outcome)
             .where(F.col("_word").isNotNull())

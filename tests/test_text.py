@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +237,14 @@ def test_whole_words_run_no_regex_each(spark, monkeypatch, rows):
     assert seen(got) == [r for r in want if r[2] != "part"]
     assert "regexp_count" not in got._jdf.queryExecution().toString().lower()
     assert got.dtypes == kw.count_keywords(pages, patterns[-2:-1]).dtypes
+
+
+def test_tokens_are_grouped_where_their_page_lies(spark):
+    """On the shuffled route pages travel, not each of their tokens, to be grouped."""
+    df = spark.createDataFrame([("a", ["x", "Y", "x"]), ("b", None)], "note string, tokens array<string>")
+    lemmas = spark.createDataFrame([("y", "z")], "form string, lemma string")
+    found = tk.lemmatise(df, lemmas, max_broadcast_rows=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(_row#\d+L?, \d+\)", plan)
+    assert not re.search(r"hashpartitioning\(_row#\d+L?, token", plan)
+    assert sorted(map(tuple, found.collect())) == [("a", ["x", "z", "x"]), ("b", [])]
