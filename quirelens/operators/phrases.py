@@ -106,7 +106,7 @@ def _ngrams(lengths: Sequence[int]) -> Column:
     found = [
         F.regexp_extract_all(text, F.lit(r"\p{N}+|[^\p{L}\p{N}]"), F.lit(0)) if n == 0
         else F.regexp_extract_all(
-            text, F.lit(rf"(?<!\p{{L}})(?=(\p{{L}}+(?: \p{{L}}+){{{n - 1}}}))"), F.lit(1)
+            text, F.lit(rf"(?<!\p{{L}})(?=(\p{{L}}++(?: \p{{L}}++){{{n - 1}}}))\p{{L}}++"), F.lit(1)
         )
         for n in lengths
     ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -20,6 +20,9 @@ HOT_KEYS = 20_000
 SPLITS = 16
 # Slices of the tasks in a ranking.
 SALTS = 64
+# Slots of a key filter for each key, and the most that it has.
+FILTER_SHARE = 32
+FILTER_SLOTS = 2**18
 
 
 def fits_broadcast(
@@ -105,6 +108,28 @@ def split_factors(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def key_filter(table: DataFrame, key: str = "form") -> Callable[[Column], Column]:
+    """A test that holds for every value of a table's column, and for few others.
+
+    Each value marks the slot that its hash names, of a bounded number, so values that
+    cannot be in the table need not be joined to it.  Of a table with more rows than
+    slots it lets most pass.
+    """
+    size = 2**10
+    wanted = min(FILTER_SHARE * table.limit(FILTER_SLOTS).count(), FILTER_SLOTS)
+    while size < wanted:
+        size *= 2
+
+    def slot(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(size)).cast("int")
+
+    slots = bytearray(size)
+    for r in table.select(slot(F.col(f"`{key}`")).alias("at")).distinct().collect():
+        slots[r["at"]] = 1
+    marks, marked = F.lit(bytes(slots)), F.lit(b"\x01")
+    return lambda value: F.substring(marks, slot(value) + 1, 1) == marked
+
+
 def row_ids(rows: DataFrame) -> DataFrame:
     """``rows`` with ``_row``, a number of its own for each row that stays the same when a
     task is run again; rows that have one keep it.
@@ -137,7 +162,8 @@ def row_lookup(
     ``forms`` is an array expression over a row.  ``hits`` collects ``hit`` (a column of
     the joined row, by default the form) for each distinct form of the row that is in
     the table.  Rows are told apart by a number of their own, so repeated rows and rows
-    with null keys all come back, on either route.
+    with null keys all come back, on either route.  Forms that cannot be in the table are
+    dropped where they arise (``key_filter``).
 
     A table measured to be small is broadcast, in one pass: a row is exploded into its
     forms where it lies, only the first of these carries the columns, forms without a
@@ -145,10 +171,13 @@ def row_lookup(
     Otherwise rows are written once and forms alone travel to the table, hot ones salted.
     """
     value = F.col("form") if hit is None else hit
+    may_hit = key_filter(table)
     numbered = row_ids(rows).select(
         "_row",
         F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_row"]).alias("_page"),
-        F.array_distinct(F.coalesce(forms, F.array().cast("array<string>"))).alias("_forms"),
+        F.array_distinct(
+            F.filter(F.coalesce(forms, F.array().cast("array<string>")), lambda f: may_hit(f))
+        ).alias("_forms"),
     )
     if fits_broadcast(table, max_rows):
         parts = F.transform(

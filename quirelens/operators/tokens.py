@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as tx
 from quirelens.operators.scale import (
-    BROADCAST_ROWS, bounded_list, fits_broadcast, lookup_join, row_ids, stage,
+    BROADCAST_ROWS, bounded_list, fits_broadcast, key_filter, lookup_join, row_ids, stage,
 )
 
 # Up to this many words are written into the plan as an IN set.
 LITERAL_WORDS = 2_000
 SENTENCE_BREAK = "\t"
+_PLACED = "array<struct<pos:int,_word:string>>"
 
 
 def lemma_table(lemmas: DataFrame) -> DataFrame:
@@ -29,55 +30,78 @@ def map_tokens(
     tokens: str,
     table: DataFrame,
     outcome: Column,
+    missed: Callable[[Column, Column], Column],
     lower: bool = False,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Every token of a page replaced by ``outcome``, or dropped where that is null.
 
     ``table`` is keyed by ``form``, one row each; ``outcome`` is an expression over its
-    columns (null without an entry) and ``hit``, ``form`` and ``token``; ``lower`` looks
+    columns (null without an entry) and ``hit``, ``form`` and ``token``; ``missed`` is what
+    it comes to without an entry, from the token and its form.  ``lower`` looks
     tokens up by their lower-case form.  All rows and columns stay, in a time that grows
     with the tokens whatever a page holds; a null list of tokens becomes an empty one.
 
-    With a table measured to be small, pages are dealt by row and exploded; a token finds
+    Tokens that cannot be in the table (``key_filter``) stay in their page.  With a table
+    measured to be small, pages are dealt by row and the other tokens exploded; a token finds
     its entry in the broadcast table and a page is put together in the task that holds
     all of it.  Otherwise a page is written once and sent as posting lists (each distinct
-    token with its positions) to the table, hot forms salted.
+    one of these tokens with its positions) to the table, hot forms salted.
     """
     numbered = row_ids(pages)
     rest = [F.col(f"`{c}`") for c in pages.columns if c not in (tokens, "_row")]
     listed = F.coalesce(F.col(f"`{tokens}`"), F.array().cast("array<string>"))
-    form = F.lower("token") if lower else F.col("token")
+    may_hit = key_filter(table)
+
+    def form_of(token: Column) -> Column:
+        return F.lower(token) if lower else token
+
+    def sought(pages: DataFrame, *columns) -> DataFrame:
+        """``_others``: the words of the tokens that cannot be in the table, null in the
+        places of the rest; ``_sought``: those tokens with their places."""
+        return pages.select("_row", *columns, listed.alias("_tokens"), F.transform(listed, form_of).alias("_forms")).select(
+            "_row", *columns,
+            F.transform("_forms", lambda f, i: F.when(~may_hit(f), missed(F.get("_tokens", i), f))).alias("_others"),
+            F.array_compact(F.transform(
+                "_forms", lambda f, i: F.when(may_hit(f), F.struct(i.alias("pos"), F.get("_tokens", i).alias("token")))
+            )).alias("_sought"),
+        )
+
+    form = form_of(F.col("token"))
     table = table.withColumn("hit", F.lit(True))
     hit = F.coalesce("hit", F.lit(False)).alias("hit")
     if fits_broadcast(table.drop("hit"), max_broadcast_rows):
         # the first row of a page carries its columns, the others a token each
-        page = F.when(F.col("pos") == 0, F.struct(*rest, F.lit(True).alias("_first")))
+        first = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("token")))
+        page = F.when(F.col("pos") < 0, F.struct(*rest, "_others"))
         dealt = numbered if "_row" in pages.columns else numbered.repartition("_row")
         joined = (
-            dealt.select("_row", *rest, F.posexplode(F.concat(F.array(F.lit(None).cast("string")), listed)).alias("pos", "token"))
+            sought(dealt, *rest)
+            .select("_row", *rest, "_others", F.inline(F.concat(first, "_sought")))
             .select("_row", "pos", "token", page.alias("_page"))
             .withColumn("form", form)
             .join(F.broadcast(table), "form", "left")
             .withColumn("hit", hit)
-            .withColumn("_word", F.when(F.col("pos") > 0, outcome))
+            .withColumn("_word", F.when(F.col("pos") >= 0, outcome))
             .where(F.col("_page").isNotNull() | F.col("_word").isNotNull())
         )
         words = F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("pos", "_word")))
-        found = joined.groupBy("_row").agg(F.first("_page", ignorenulls=True).alias("_page"), words.alias("_words"))
-        found = found.select("_row", "_page.*", F.sort_array("_words").alias("_words"))
+        found = joined.groupBy("_row").agg(F.first("_page", ignorenulls=True).alias("_page"), words.alias("_hits"))
+        found = found.select("_row", "_page.*", "_hits")
     else:
         numbered = stage(numbered)
         # pages travel whole, so that their tokens are grouped where they lie; the keys are
         # counted on the pages, without the lists
         posting = (
-            numbered.select("_row", listed.alias("_listed")).repartition("_row")
-            .select("_row", F.posexplode("_listed").alias("pos", "token"))
+            sought(numbered.select("_row", F.col(f"`{tokens}`")).repartition("_row"))
+            .select("_row", F.inline("_sought"))
             .groupBy("_row", "token")
             .agg(F.collect_list("pos").alias("_at"))
             .withColumn("form", form)
         )
-        keys = numbered.select(F.explode(F.array_distinct(listed)).alias("token")).select(form.alias("form"))
+        keys = numbered.select(
+            F.explode(F.array_distinct(F.filter(listed, lambda t: may_hit(form_of(t))))).alias("token")
+        ).select(form.alias("form"))
         joined = (
             lookup_join(posting, table, "form", "left", ["_row"], max_broadcast_rows, keys)
             .withColumn("hit", hit)
@@ -88,12 +112,13 @@ def map_tokens(
         )
         places = F.flatten(F.transform("_lists", lambda x: F.transform(
             x["_at"], lambda p: F.struct(p.alias("pos"), x["_word"].alias("_word")))))
-        words = joined.select("_row", F.sort_array(places).alias("_words"))
-        found = numbered.select("_row", *rest).join(words, "_row", "left")
-    empty = F.array().cast("array<string>")
-    return found.withColumn(
-        tokens, F.coalesce(F.transform("_words", lambda w: w["_word"]), empty)
-    ).select(*[F.col(f"`{c}`") for c in pages.columns])
+        words = joined.select("_row", places.alias("_hits"))
+        found = sought(numbered, *rest).drop("_sought").join(words, "_row", "left")
+    known = F.array_compact(F.transform("_others", lambda w, i: F.when(w.isNotNull(), F.struct(i.alias("pos"), w.alias("_word")))))
+    words = F.sort_array(F.concat(known, F.coalesce("_hits", F.array().cast(_PLACED))))
+    return found.withColumn(tokens, F.transform(words, lambda w: w["_word"])).select(
+        *[F.col(f"`{c}`") for c in pages.columns]
+    )
 
 
 def lemmatise(
@@ -102,9 +127,25 @@ def lemmatise(
     tokens: str = "tokens",
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Lower-case lemma per token; a form without an entry is only lower-cased."""
+    """Lower-case lemma per token; a form without an entry is only lower-cased.
+
+    A short table becomes a map inside the projection, which only its forms are looked up in.
+    """
+    table = lemma_table(lemmas).where("form is not null")
+    short = min(LITERAL_WORDS, max_broadcast_rows)
+    rows = table.limit(short + 1).collect()
+    if 0 < len(rows) <= short:
+        forms = [r["form"] for r in rows]
+        entries = F.map_from_arrays(F.lit(forms), F.array(*[F.lit(r["lemma"]).cast("string") for r in rows]))
+
+        def one(form: Column) -> Column:
+            return F.coalesce(F.when(form.isin(forms), F.element_at(entries, form)), form)
+
+        listed = F.transform(F.coalesce(f"`{tokens}`", F.array().cast("array<string>")), F.lower)
+        return pages.withColumn(tokens, F.array_compact(F.transform(listed, one)))
     return map_tokens(
-        pages, tokens, lemma_table(lemmas), F.coalesce("lemma", "form"), True, max_broadcast_rows
+        pages, tokens, table, F.coalesce("lemma", "form"), lambda token, form: form,
+        True, max_broadcast_rows,
     )
 
 
@@ -127,7 +168,11 @@ def mark_words(
         outcome = F.when(F.col("hit"), F.lit(mark)).otherwise(F.col("token"))
     else:
         outcome = F.when(F.col("hit") if keep_listed else ~F.col("hit"), F.col("token"))
-    return map_tokens(pages, tokens, listed, outcome, lower, max_broadcast_rows)
+
+    def missed(token: Column, form: Column) -> Column:
+        return F.lit(None).cast("string") if keep_listed and mark is None else token
+
+    return map_tokens(pages, tokens, listed, outcome, missed, lower, max_broadcast_rows)
 
 
 def remove_words(

@@ -256,3 +256,47 @@ def test_only_listed_metadata_is_opened(spark, tmp_path):
         return total
 
     assert opened(files) == 3 and opened(readers.read_mets(spark, root)) == 30
+
+
+def test_a_short_lemma_table_is_no_join(spark):
+    pages = spark.createDataFrame([(1, ["Dogs", "run", None]), (2, None)], "k int, tokens array<string>")
+    lemmas = spark.createDataFrame([("dogs", "Dog"), ("Run", None), (None, "x")], "form string, lemma string")
+    found = tk.lemmatise(pages, lemmas)
+    assert "Join" not in plan(found)
+    assert dict(found.collect()) == {1: ["dog", "run"], 2: []}
+
+
+def test_key_filter_holds_for_every_key_and_few_others(spark):
+    table = spark.range(0, 1000).select(F.concat(F.lit("k"), "id").alias("form")).union(spark.sql("select null"))
+    test = scale.key_filter(table)
+    values = spark.range(0, 11_000).select("id", F.concat(F.lit("k"), "id").alias("form"))
+    passed = {r["id"] for r in values.where(test(F.col("form"))).collect()}
+    assert set(range(1000)) <= passed and len(passed) < 2000
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_look_ups_keep_the_tokens_that_stay_in_their_page(spark, most):
+    words = [f"w{i}" for i in range(400)]
+    pages = spark.createDataFrame(
+        [(1, [*words, "Hit", "hit", "w1", None, "hit"]), (2, None), (2, []), (None, ["hit", "other"])],
+        "k int, tokens array<string>",
+    )
+    listed = spark.createDataFrame([("hit",), ("w1",), (None,)], "w string")
+
+    def counted(keep, mark):
+        found = tk.mark_words(pages, listed, mark=mark, keep_listed=keep, max_broadcast_rows=most)
+        return sorted(((r["k"] or 0, r["tokens"]) for r in found.collect()))
+
+    rest = [w for w in words if w != "w1"]
+    assert counted(False, None) == [(0, ["other"]), (1, [*rest, "Hit"]), (2, []), (2, [])]
+    assert counted(True, None) == [(0, ["hit"]), (1, ["w1", "hit", "w1", "hit"]), (2, []), (2, [])]
+    marked = ["-" if w == "w1" else w for w in words] + ["Hit", "-", "-", "-"]
+    assert counted(False, "-") == [(0, ["-", "other"]), (1, marked), (2, []), (2, [])]
+    lemmas = spark.createDataFrame([("hit", "Stroke"), ("w1", None)], "form string, lemma string")
+    found = tk.lemmatise(pages, lemmas, max_broadcast_rows=most).where("k = 1").first()["tokens"]
+    assert found == [*words, "stroke", "stroke", "w1", "stroke"]
+
+
+def test_words_of_ngrams_are_runs_of_letters(spark):
+    row = spark.createDataFrame([("ab cd  ef gh ij-kl mn é",)], "text string").select(ph._ngrams([2, 3]).alias("n")).first()
+    assert row["n"] == ["ab cd", "ef gh", "gh ij", "kl mn", "mn é", "ef gh ij", "kl mn é"]
