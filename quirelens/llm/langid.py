@@ -103,10 +103,13 @@ class Model:
     owner: np.ndarray  # language of each centroid
     floor: np.ndarray  # (languages, 8) least cosine in fitting by length class
 
-    def vectors(self, n: np.ndarray) -> np.ndarray:
-        x = np.sqrt(n) * self.idf
+    def vectors(self, n: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """Normalised vectors of n-gram counts; ``out`` may be the counts themselves."""
+        x = np.sqrt(n, out=out)
+        x *= self.idf
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        return x / np.maximum(norm, 1e-12)[:, None]
+        x /= np.maximum(norm, 1e-12)[:, None]
+        return x
 
     def nearest(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index (-1 without letters), cosine, and whether it is rejected."""
@@ -121,6 +124,11 @@ class Model:
         return language, cosine, (language < 0) | (cosine < SLACK * least)
 
 
+def _mean(x: np.ndarray, rows: np.ndarray, width: int = 1 << 10) -> np.ndarray:
+    """Mean of some rows, a block of columns at a time: they are never copied as a whole."""
+    return np.concatenate([x[rows, at : at + width].mean(0) for at in range(0, x.shape[1], width)])
+
+
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts from texts far from each other."""
     chosen = [0]
@@ -131,7 +139,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     c = x[chosen]
     for _ in range(rounds):
         own = (x @ c.T).argmax(1)
-        means = [x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))]
+        means = [_mean(x, own == j) if (own == j).any() else c[j] for j in range(len(c))]
         c = np.stack([m / max(np.linalg.norm(m), 1e-12) for m in means]).astype(np.float32)
     return c
 
@@ -181,11 +189,14 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS) -
         n = np.zeros((sum(r["lang"] == language for r in got), DIMENSIONS), np.float32)
         for row, r in zip(n, (r for r in got if r["lang"] == language)):
             row[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<f4")
-        x = model.vectors(n)
+        size = length_class(n.sum(1))
+        # the driver holds one dense matrix, of one language, at a time
+        x = model.vectors(n, out=n)
         c = _clusters(x, centroids)
         centres.append(c)
         owner += [j] * len(c)
-        everything.append((length_class(n.sum(1)), (x @ c.T).max(1)))
+        everything.append((size, (x @ c.T).max(1)))
+        del n, x
     if not languages:
         return model
     model.centroids, model.owner = np.concatenate(centres), np.asarray(owner)

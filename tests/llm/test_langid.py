@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -91,3 +93,17 @@ def test_nearest_centroid_by_hand():
         size = min(7, (sum(count.values()).bit_length() - 1) // 2)
         assert language[i] == model.owner[best] and abs(cosine[i] - near[best]) < 1e-5
         assert rejected[i] == (cosine[i] < langid.SLACK * floor[model.owner[best], size])
+
+
+def test_fit_holds_one_matrix(spark):
+    n = 600
+    rows = [(f"the word{chr(97 + i % 26)} and the dog{chr(97 + i // 26)} " * 5, "en") for i in range(n)]
+    fit = spark.createDataFrame(rows, "text string, lang string")
+    tracemalloc.start()
+    try:
+        model = langid.fit(fit)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.owner) == langid.CENTROIDS
+    assert peak < 2 * 4 * n * langid.DIMENSIONS
