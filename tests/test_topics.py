@@ -203,3 +203,67 @@ def test_gamma_functions():
     step = 1e-5
     slope = [(math.lgamma(v * (1 + step)) - math.lgamma(v * (1 - step))) / (2 * step * v) for v in x]
     assert tp.digamma(x) == pytest.approx(slope, rel=1e-6, abs=1e-6)
+
+
+def plain_masks(pages, bits, size):
+    """Window by window; a mask as the set of its bits."""
+    out = {}
+    for tokens in pages:
+        for at in range(max(len(tokens or ()) - size + 1, 1)):
+            window = set((tokens or [])[at : at + size])
+            for topic in {t for t, _, _ in bits}:
+                if mask := frozenset(b for t, term, b in bits if t == topic and term in window):
+                    out[topic, mask] = out.get((topic, mask), 0) + 1
+    return out
+
+
+def bit_set(mask):
+    from quirelens.operators.coherence import BITS
+
+    return frozenset(b for b in range(BITS * len(mask)) if mask[b // BITS] >> b % BITS & 1)
+
+
+@pytest.mark.parametrize("cut", [1, 50, 10_000])
+def test_masks_of_page_slices(monkeypatch, cut):
+    import pyarrow as pa
+
+    from quirelens.operators import coherence as co
+
+    rng = np.random.default_rng(cut)
+    words = [f"w{i}" for i in range(90)]
+    pages = [None, [], *([words[w] for w in rng.integers(0, 90, n)] for n in (1, 3, 7, 8, 40, 200)), [None, "w3"], []]
+    bits = [("a", f"w{i}", i) for i in range(70)] + [("b", "w3", 0), ("b", "w80", 1), ("b", "none", 2)]
+    term, topic = sorted({w for _, w, _ in bits}), ["a", "b"]
+    rows = sorted(bits, key=lambda r: r[1])
+    table = co.TermBits(
+        pa.array(term), np.searchsorted([term.index(r[1]) for r in rows], np.arange(len(term) + 1)),
+        np.array([topic.index(r[0]) for r in rows]), np.array([r[2] for r in rows]), pa.array(topic),
+    )
+    monkeypatch.setattr(co, "SLICE", cut)
+    found, lists = {}, pa.array([["w3"], *pages], pa.list_(pa.string())).slice(1)
+    for part in co.page_slices(lists):
+        for r in co.mask_counts(part, table, 8).to_pylist():
+            key = r["topic"], bit_set(r["mask"])
+            found[key] = found.get(key, 0) + r["windows"]
+    assert found == plain_masks(pages, bits, 8)
+
+
+def test_masks_are_counted_where_pages_lie(spark):
+    from quirelens.operators import coherence as co
+
+    def counted(df):
+        return {(r["topic"], bit_set(r["mask"])): r["windows"] for r in df.collect()}
+
+    pages = [("v", 1, ["x", "y", "z", "x"]), ("v", 2, ["z", "z"]), ("w", 1, None), ("w", 2, []), (None, 3, ["y", "q", "x"])]
+    kind = "volid string, seq int, tokens array<string>"
+    listed = [("a", "x", 0), ("a", "y", 1), ("b", "x", 0), (None, "z", 0)]
+    bits = spark.createDataFrame(listed, "topic string, term string, bit int")
+    masks = co.window_masks(spark.createDataFrame(pages, kind), bits, 2)
+    # no token is a row of its own, and no page is shuffled
+    plan = masks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Repartition" not in plan
+    assert counted(masks) == plain_masks([p[2] for p in pages], listed, 2)
+    # rows that share a key are one page, as they are by the join
+    twice = [*pages, pages[0], ("v", 2, ["y", "z", "x"]), (None, 3, ["x"]), (None, None, ["y"]), (None, None, ["x", "x"])]
+    df = spark.createDataFrame(twice, kind)
+    assert counted(co.window_masks(df, bits, 2)) == counted(co._joined_masks(df, bits, 2, ["volid", "seq"]).groupBy("topic", "mask").agg(F.sum("windows").alias("windows")))
