@@ -267,3 +267,11 @@ def test_masks_are_counted_where_pages_lie(spark):
     twice = [*pages, pages[0], ("v", 2, ["y", "z", "x"]), (None, 3, ["x"]), (None, None, ["y"]), (None, None, ["x", "x"])]
     df = spark.createDataFrame(twice, kind)
     assert counted(co.window_masks(df, bits, 2)) == counted(co._joined_masks(df, bits, 2, ["volid", "seq"]).groupBy("topic", "mask").agg(F.sum("windows").alias("windows")))
+
+
+def test_vectors_alone_are_held(spark, small, monkeypatch):
+    seen = []
+    real = tp.held
+    monkeypatch.setattr(tp, "held", lambda f: seen.append(f.columns) or real(f))
+    jobs.topic_model(M.cleaned_pages(spark, small), 2, maxIter=1)
+    assert seen == [["features"]]
