@@ -49,6 +49,31 @@ def token_pages(spark, n):
     return spark.createDataFrame([("a", 1, " ".join(f"w{i}" for i in range(n)))], "volid string, seq int, text string")
 
 
+@pytest.mark.parametrize("by_kept", [True, False])
+def test_words_are_removed_where_pages_lie(spark, by_kept):
+    """No token is a row of its own and no page is shuffled, where a list can be broadcast."""
+    pages = spark.createDataFrame(
+        [("a", 1, " x  one\ttwo\n", "k1"), ("a", 1, "\x0bone\x0c\r", "k2"), (None, None, None, "k3"), ("b", 2, "", "k4"), ("b", 3, "\u00a0x y", "k5")],
+        "volid string, seq int, text string, note string")
+    drop = spark.createDataFrame([("x",), ("two",), (None,), ("x",)], "w string")
+    kept = spark.createDataFrame([("one",), ("y",), ("\u00a0x",), (None,)], "token string") if by_kept else None
+    left = tk.remove_words(pages, drop, kept=kept, literal_words=0)
+    text = plan(left)
+    assert "Generate" not in text and "Exchange" not in text
+    assert left.columns == pages.columns
+    assert {r["note"]: r["text"] for r in left.collect()} == {"k1": "one", "k2": "one", "k3": "", "k4": "", "k5": "\u00a0x y"}
+
+
+def test_texts_of_a_slice_are_filtered():
+    import pyarrow as pa
+
+    texts = pa.array(["gone", "b a", None, "", "  a  c ", "a"], pa.string()).slice(1, 4)
+    words = pa.array(["a"], pa.large_string())
+    assert tk.filtered_texts(texts, words, True).to_pylist() == ["a", "", "", "a"]
+    assert tk.filtered_texts(texts, words, False).to_pylist() == ["b", "", "", "c"]
+    assert tk.filtered_texts(texts.slice(0, 0), words, True).to_pylist() == []
+
+
 def test_a_page_of_many_words_takes_linear_time(spark):
     def seconds(n):
         listed = spark.range(0, n, 2).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
