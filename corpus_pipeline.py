@@ -11,6 +11,17 @@ from quirelens.llm import decontaminate, langid, lines, minhash
 from quirelens.llm.queries import byte_pairs, table
 from quirelens.llm.rows import remainder, written
 
+#: Rows of an Arrow batch.  The JVM and the Python worker both keep room for a batch of texts
+#: in each task, outside the heap, also while later stages run.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """No batch of the session's Python stages has more than ``BATCH_ROWS`` rows from now on."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those too far from every learned language.
@@ -18,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model is fitted on rows of the stage's own input; ``lang`` becomes the language
     that was found, for labelled and unlabelled rows alike.
     """
+    small_batches(spark)
     model = langid.fit(docs.where(F.coalesce(remainder(F.col("doc_id"), 5), F.lit(1)) != 0))
     found = langid.identify(docs.drop("lang"), model).where("not lang_rejected")
     return found.withColumnRenamed("lang_pred", "lang").select(*docs.columns)
@@ -44,6 +56,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts get no ids.  Rows are handled one by one, repeated ones too, and
     a text of any length whole.  Columns of ``docs`` with the new names are replaced.
     """
+    small_batches(spark)
     new = ("ids", "n_tokens", "decoded_ok")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     coded = docs.select(*rest, byte_pairs(spark).round_trip(F.col("text")).alias("_coded"))

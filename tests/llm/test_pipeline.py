@@ -61,3 +61,17 @@ def test_odd_tables(spark, small):
         for x in run(spark, df, small):
             assert set(docs.columns) <= set(x.columns)
             x.count()
+
+
+def test_python_stages_get_small_batches(spark, small):
+    """And a session that asks for smaller ones keeps them."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, was = spark.read.parquet(f"{small}/documents.parquet").limit(20), spark.conf.get(setting)
+    try:
+        for stage in (cp.language_id, cp.encoding):
+            for own, want in (("10000", cp.BATCH_ROWS), ("0", cp.BATCH_ROWS), ("7", 7)):
+                spark.conf.set(setting, own)
+                stage(spark, docs, small)
+                assert int(spark.conf.get(setting)) == want
+    finally:
+        spark.conf.set(setting, was)
