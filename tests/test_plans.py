@@ -57,11 +57,13 @@ def test_words_are_removed_where_pages_lie(spark, by_kept):
         "volid string, seq int, text string, note string")
     drop = spark.createDataFrame([("x",), ("two",), (None,), ("x",)], "w string")
     kept = spark.createDataFrame([("one",), ("y",), ("\u00a0x",), (None,)], "token string") if by_kept else None
-    left = tk.remove_words(pages, drop, kept=kept, literal_words=0)
+    left = tk.remove_words(pages, drop, kept=kept, literal_words=0, in_place=True)
     text = plan(left)
     assert "Generate" not in text and "Exchange" not in text
     assert left.columns == pages.columns
     assert {r["note"]: r["text"] for r in left.collect()} == {"k1": "one", "k2": "one", "k3": "", "k4": "", "k5": "\u00a0x y"}
+    routes = [tk.remove_words(pages, drop, kept=kept, literal_words=0, max_broadcast_rows=n) for n in (500_000, 0)]
+    assert all(sorted(left.collect(), key=str) == sorted(r.collect(), key=str) for r in routes)
 
 
 def test_texts_of_a_slice_are_filtered():
