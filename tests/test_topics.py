@@ -275,3 +275,31 @@ def test_vectors_alone_are_held(spark, small, monkeypatch):
     monkeypatch.setattr(tp, "held", lambda f: seen.append(f.columns) or real(f))
     jobs.topic_model(M.cleaned_pages(spark, small), 2, maxIter=1)
     assert seen == [["features"]]
+
+
+def sparse_pages(spark, n):
+    """Pages of two sorts, without a common word."""
+    rows = [("v", i, Vectors.sparse(40, {20 * (i % 2) + (i * j) % 20: 1.0 + j for j in range(1, 6)})) for i in range(n)]
+    return spark.createDataFrame(rows, ["volid", "seq", "features"]).coalesce(2)
+
+
+def test_minibatch_reads_a_chunk_per_update(spark, monkeypatch):
+    """Each page is in one chunk, and no update samples all of them."""
+    features = sparse_pages(spark, 90)
+    parts = tp.dealt_chunks(features.select("features"), 4, 23)
+    assert sum(n for _, n in parts) == 90 and [p.count() for p, _ in parts] == [n for _, n in parts]
+    together = parts[0][0].unionByName(parts[1][0]).unionByName(parts[2][0]).unionByName(parts[3][0])
+    assert sorted(map(str, together.collect())) == sorted(map(str, features.select("features").collect()))
+
+    def refuse(*_, **__):
+        raise AssertionError("an update that scans all pages")
+
+    monkeypatch.setattr(tp, "fit_topics", refuse)
+    models = [tp.fit_topics_minibatch(features, 2, chunk=25, passes=5) for _ in range(2)]
+    assert models[0].describeTopics(3).collect() == models[1].describeTopics(3).collect()
+    assert models[0].getK() == 2 and models[0].vocabSize() == 40 and models[0].getMaxIter() == 20
+    # words of one sort of pages make a topic
+    heavy = [{i // 20 for i in r["termIndices"]} for r in models[0].describeTopics(8).collect()]
+    assert sorted(heavy, key=str) == [{0}, {1}]
+    assert tp.score_topics(models[0], features) == pytest.approx(
+        (models[0].logLikelihood(features), models[0].logPerplexity(features)), rel=1e-3)
