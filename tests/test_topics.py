@@ -303,3 +303,38 @@ def test_minibatch_reads_a_chunk_per_update(spark, monkeypatch):
     assert sorted(heavy, key=str) == [{0}, {1}]
     assert tp.score_topics(models[0], features) == pytest.approx(
         (models[0].logLikelihood(features), models[0].logPerplexity(features)), rel=1e-3)
+
+
+def test_fits_wait_for_room_on_the_driver(spark, monkeypatch):
+    import threading
+    import time
+
+    features, lock, running, most, kept = sparse_pages(spark, 30), threading.Lock(), [0], [0], []
+    real_fit, real_held = tp.fit_topics, tp.held
+
+    def fit(*args, **options):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            time.sleep(0.3)
+            return real_fit(*args, **options)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(tp, "fit_topics", fit)
+    monkeypatch.setattr(tp, "held", lambda f: kept.append(f.columns) or real_held(f))
+    monkeypatch.setattr(tp, "fit_room", lambda _: 5 * tp.FIT_MATRICES * 8 * 40)
+    assert [r["k"] for r in tp.sweep_k(features, (3, 4, 6), seed=1, maxIter=1).collect()] == [3, 4, 6]
+    assert most[0] == 1 and kept == [["features"]]
+    monkeypatch.setattr(tp, "fit_room", lambda _: 13 * tp.FIT_MATRICES * 8 * 40)
+    tp.sweep_k(features, (3, 4, 6), seed=1, maxIter=1)
+    assert most[0] > 1
+
+
+def test_topic_bound_takes_some_terms_at_a_time(monkeypatch):
+    topics = np.random.default_rng(3).gamma(2.0, 1.0, (50, 4))
+    whole = tp.topic_bound(topics, 0.25)
+    monkeypatch.setattr(tp, "ENTRIES", 12)
+    assert tp.topic_bound(topics, 0.25) == pytest.approx(whole, rel=1e-12)
