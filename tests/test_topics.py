@@ -338,3 +338,39 @@ def test_topic_bound_takes_some_terms_at_a_time(monkeypatch):
     whole = tp.topic_bound(topics, 0.25)
     monkeypatch.setattr(tp, "ENTRIES", 12)
     assert tp.topic_bound(topics, 0.25) == pytest.approx(whole, rel=1e-12)
+
+
+def test_pages_of_a_model_are_not_shuffled(spark, small, tmp_path):
+    """Neither to exclude some of them nor for the result, and no table but the tokens stays."""
+    from quirelens.operators import joins, scale
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.createDataFrame([("a", i, f"x y w{i % 3}") for i in range(20)] + [(None, 1, "x")], "volid string, seq int, text string")
+        out = spark.createDataFrame([("a", 1), ("a", 1), (None, 1)], "volid string, seq int")
+        rest = joins.exclude_pages(pages, out)
+        assert "SortMergeJoin" not in rest._jdf.queryExecution().executedPlan().toString()
+        assert rest.count() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    clean = scale.stage(pages)
+    assert clean.inputFiles()
+    folder = clean.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    model = jobs.topic_model(jobs.remove_outliers(clean, 2, 10**9, in_place=True), 2, out, maxIter=2, scratch=[clean])
+    plan = model.result._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "Sort" not in plan
+    assert model.result.count() == 20
+    import os
+
+    assert not os.path.exists(folder)
+
+
+def test_only_kept_words_are_written(spark, monkeypatch):
+    written = []
+    real = jobs.stage
+    monkeypatch.setattr(jobs, "stage", lambda df: written.append(df) or real(df))
+    monkeypatch.setattr(jobs, "durable", lambda df: (_ for _ in ()).throw(AssertionError("all words")))
+    pages = spark.createDataFrame([(1, "a b rare"), (2, " a  b"), (3, None)], "seq int, text string")
+    left = jobs.remove_outliers(pages, 2, 10**9, in_place=True)
+    assert {r["seq"]: r["text"] for r in left.collect()} == {1: "a b", 2: "a b", 3: ""}
+    assert [sorted(r["token"] for r in df.collect()) for df in written] == [["a", "b"]]
